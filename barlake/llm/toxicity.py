@@ -27,6 +27,7 @@ VOTERS = 16
 #: Lengths in bytes of the word beginnings looked at; only words that go on count.
 BEGINNINGS = (4, 5, 6, 7)
 _U = np.uint64
+_TWICE = _U(0x5BD1E995C0B3A7F1)
 _SALT = mix64(np.arange(1, 9, dtype=np.uint64))
 
 
@@ -77,8 +78,13 @@ def term_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     for first, last, owner, code in _terms(texts):
-        flat, count = np.unique((owner.astype(_U) << _U(BITS)) | (code >> _U(64 - BITS)), return_counts=True)
-        yield first, last, (flat >> _U(BITS)).astype(np.int64), (flat & _U((1 << BITS) - 1)).astype(np.int64), 1 + np.log(count)
+        once, count = np.unique((owner.astype(_U) << _U(BITS)) | (code >> _U(64 - BITS)), return_counts=True)
+        twice = once[count > 1]
+        twice = np.sort(twice ^ (_TWICE & _U((1 << BITS) - 1)))
+        flat = np.concatenate([once, twice])
+        owner = (flat >> _U(BITS)).astype(np.int64)
+        order = np.argsort(owner, kind="stable")
+        yield first, last, owner[order], (flat[order] & _U((1 << BITS) - 1)).astype(np.int64), np.ones(len(flat))
 
 
 def term_score(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
@@ -143,28 +149,36 @@ def choose(votes: np.ndarray, y: np.ndarray, voters: int = VOTERS) -> list[int]:
     return chosen
 
 
-def label_model(patterns: dict[int, int], voters: int, rounds: int = 200) -> dict[int, float]:
-    """Posterior of the toxic class for each vote pattern (bit j: voter j speaks), from the counts of the patterns."""
+def label_model(patterns: dict[int, int], accuracy: list[float], rounds: int = 50) -> dict[int, float]:
+    """Posterior of the toxic class for each vote pattern (bit j: voter j speaks), from the counts of all patterns.
+
+    A silent voter says nothing. accuracy: first estimates of how often a voter is right when it speaks, refined here
+    together with the share of toxic documents. Voters that speak together more than their shares in the toxic class
+    explain are correlated, and where they do speak together they divide the weight by that.
+    """
+    voters = len(accuracy)
     keys = sorted(patterns)
-    if not keys or not voters:
-        return dict.fromkeys(keys, 0.0)
-    bits = np.array([[k >> j & 1 for j in range(voters)] for k in keys], float)
+    bits = np.array([[k >> j & 1 for j in range(voters)] for k in keys], float).reshape(len(keys), voters)
     n = np.array([patterns[k] for k in keys], float)
-    posterior = np.where(bits.any(axis=1), 0.9, 0.02)
-    weight = np.ones(voters)
+    spoken = bits.any(axis=1)
+    if not keys or not spoken.any():
+        return dict.fromkeys(keys, 0.0)
+    right = np.clip(np.array(accuracy), 0.5, 0.999)
+    posterior = np.where(spoken, 0.9, 0.0)
     for _ in range(rounds):
         before = posterior
-        w1, w0 = n * posterior, n * (1 - posterior)
-        prior = np.clip(w1.sum() / n.sum(), 1e-4, 0.5)
-        on = np.clip(((w1 @ bits) + 0.1) / (w1.sum() + 1), 1e-6, 1 - 1e-6)
-        off = np.clip(((w0 @ bits) + 0.01) / (w0.sum() + 1), 1e-6, 0.2)
-        # what a pair says together in the toxic class beyond chance, as a correlation
-        centred = bits - on
-        cov = (centred * w1[:, None]).T @ centred / max(w1.sum(), 1e-9)
+        prior = np.clip((n @ posterior) / n.sum(), 1e-4, 0.4)
+        base = np.log(prior / (1 - prior))
+        w = n * posterior
+        centred = bits - (w @ bits) / w.sum()
+        cov = (centred * w[:, None]).T @ centred / w.sum()
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        weight = 1 / (1 + np.maximum(cov / np.outer(sd, sd) - np.eye(voters), 0).clip(max=1).sum(axis=1))
-        score = np.log(prior / (1 - prior)) + bits @ (weight * np.log(on / off)) + (1 - bits) @ (weight * np.log((1 - on) / (1 - off)))
-        posterior = 1 / (1 + np.exp(-np.clip(score, -35, 35)))
+        correlation = np.clip(cov / np.outer(sd, sd), 0, 1) * (1 - np.eye(voters))
+        share = bits / (1 + bits @ correlation)
+        score = base + share @ (np.log(right / (1 - right)) - base)
+        posterior = np.where(spoken, 1 / (1 + np.exp(-np.clip(score, -35, 35))), 0.0)
+        seen = n @ bits
+        right = np.clip((w @ bits + 20 * np.array(accuracy)) / (seen + 20), 0.5, 0.999)
         if np.abs(posterior - before).max() < 1e-6:
             break
     return dict(zip(keys, posterior.tolist(), strict=True))
@@ -174,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Weights of the classifier. Labels are read only of rows whose crc32(id) mod 3 is not 1."""
     usable = ~held_out(F.col(key), 3, 1)
     sample = bounded_sample(docs, labels, "toxic", usable, key, text, rows).persist()
-    candidates = lexicon(sample)
+    candidates, accuracy = lexicon(sample), []
     if candidates:
         def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -183,7 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
         seen = sample.select("text", "y").mapInArrow(cast, "v binary, y double").collect()  # bounded like the sample
         votes = np.unpackbits(np.array([np.frombuffer(r["v"], np.uint8) for r in seen]), axis=1)[:, : len(candidates)].astype(bool)
-        candidates = [candidates[k] for k in choose(votes, np.array([r["y"] > 0.5 for r in seen]))]
+        y = np.array([r["y"] > 0.5 for r in seen])
+        chosen = choose(votes, y)
+        candidates = [candidates[k] for k in chosen]
+        accuracy = [(votes[y, k].sum() + 1) / (votes[:, k].sum() + 2) for k in chosen]
     voters = candidates
 
     @F.arrow_udf("long")
@@ -194,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     # bounded: 2^VOTERS patterns at most, counted over all documents
     counts = docs.select(pattern(F.col(text).cast("string")).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
-    posterior = label_model({r["p"]: r["n"] for r in counts}, len(voters))
+    posterior = label_model({r["p"]: r["n"] for r in counts}, accuracy)
     known = docs.sparkSession.sparkContext.broadcast(posterior)
 
     @F.arrow_udf("double")
