@@ -25,11 +25,14 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colum
     ids = labels.where(usable & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id")).agg(F.max(F.col(label).cast("double")).alias("y"))
     chosen = ids.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     own = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return own.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]) .select("_id", "text", "y")
+    return own.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_id", "text", "y")
 
 
-def fit(sample: DataFrame, featurise=linear.feature_rows, l1: float = L1, passes: int = PASSES) -> np.ndarray:
-    """Weights, the bias first, from a bounded sample (text, y). Tasks make the features, only those reach the driver."""
+def fit(sample: DataFrame, featurise=linear.feature_rows, l1: float = L1, passes: int = PASSES, alpha: float = 0.1, raised_in: int = 0) -> np.ndarray:
+    """Weights, the bias first, from a bounded sample (text, y). Tasks make the features, only those reach the driver.
+
+    With raised_in, only features of that many rows of label 1 count that are twice as usual there as elsewhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,7 +45,13 @@ def fit(sample: DataFrame, featurise=linear.feature_rows, l1: float = L1, passes
     made = sample.select("_id", "text", "y").mapInArrow(run, "id long, i binary, v binary, y double")
     rows = [(r["id"], np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float16), r["y"]) for r in made.toLocalIterator()]
     rows.sort(key=lambda r: r[0])
-    return linear.Ftrl(l1=l1).fit([r[1:] for r in rows], passes).weights().astype(np.float32)
+    if raised_in and rows:
+        high = np.array([r[3] > 0.5 for r in rows])
+        count = lambda part: np.bincount(np.concatenate([np.zeros(0, np.int32), *part]), minlength=1 << linear.BITS)
+        inside, outside = count([r[1] for r, h in zip(rows, high, strict=True) if h]), count([r[1] for r, h in zip(rows, high, strict=True) if not h])
+        keep = (inside >= raised_in) & (inside / max(high.sum(), 1) > 2 * outside / max((~high).sum(), 1))
+        rows = [(r[0], r[1][keep[r[1]]], r[2][keep[r[1]]], r[3]) for r in rows]
+    return linear.Ftrl(l1=l1, alpha=alpha).fit([r[1:] for r in rows], passes).weights().astype(np.float32)
 
 
 def scorer(docs: DataFrame, weights: np.ndarray, text: str, score=linear.score):

@@ -97,7 +97,7 @@ def ratios() -> dict[str, Column]:
         "symbols_per_word": per_word(F.col("n_symbols")),
         "marks_per_word": per_word(F.regexp_count("text", F.lit("[!?]"))),
         "stop_word_share": per_word(stop_count),
-        "capital_word_share": per_word(F.regexp_count("text", F.lit(r"\b\p{Lu}{2,}\b"))),
+        "capital_word_share": per_word(F.regexp_count("text", F.lit(r"\p{Lu}{2,}"))),
         "dup_line_share": F.coalesce(F.try_divide(F.col("n_dup_lines"), F.size("lines")), F.lit(0.0)),
     }
 

@@ -6,18 +6,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, quality_model, quality_rules, token_files, toxicity, url_filter
+from . import decontaminate, fixity, html_extract, jaccard, packing, quality_model, quality_rules, token_files, toxicity, url_filter
 from .shared import load, shared_dir
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.measure(load(spark, sf_dir, "documents"))
+    found = quality_rules.measure(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
 
+def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the archives made of all pages against a replica with known damage."""
+    pages = load(spark, sf_dir, "pages")
+    found = fixity.audit(fixity.archive_index(pages), fixity.archive_index(fixity.damaged_replica(pages)))
+    return found.withColumnRenamed("key", "page_id")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"))
 
@@ -26,6 +34,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.scan_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(load(spark, sf_dir, "pages"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -44,5 +56,54 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_url_filter, op5_decontaminate, op7_quality_model, op8_token_files, op9_toxicity, op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_best_fit_packing, op3_merkle_fixity, op4_url_filter, op5_decontaminate,
+        op6_html_extract, op7_quality_model, op8_token_files, op9_toxicity, op10_jaccard_join,
+    )
+}
+
+_RECORD = (
+    "'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(cast(page_id as varchar), '') || '>' || e"
+    " || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: '"
+    " || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e"
+)
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": r"""
+with d as (select cast(doc_id as bigint) as doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) as lines from d),
+g as (select doc_id, unnest(range(1, greatest(len(words) - 1, 1))) as i, words from w where len(words) >= 3),
+t as (select doc_id, i, count(*) over (partition by doc_id, words[i], words[i + 1], words[i + 2]) as n from g),
+r as (select doc_id, count(*) as n_repeat from (select distinct doc_id, unnest([i, i + 1, i + 2]) as p from t where n > 1) group by 1),
+c as (select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(length(array_to_string(words, '')), 0) as bigint) as word_chars,
+  cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+  cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(lines) as n_lines,
+  len(regexp_extract_all(text, '[!?]')) as marks, len(regexp_extract_all(text, '\p{Lu}{2,}')) as capitals,
+  len(list_filter(words, lambda x: lower(x) in ({STOPS}))) as stops, cast(coalesce(n_repeat, 0) as bigint) as n_repeat_words
+  from w left join r using (doc_id))
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed
+  and word_chars / n_words between 2.0 and 12.0 and n_symbols / n_words <= 0.1 and marks / n_words <= 0.4
+  and stops / n_words >= 0.02 and capitals / n_words <= 0.4 and n_dup_lines / n_lines <= 0.5 as kept from f""".replace("{STOPS}", ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)),
+    "op3_merkle_fixity": f"""
+with p as (select page_id, url, html, chr(13) || chr(10) as e from pages),
+q as (select page_id, url, case when page_id % 97 = 13 then left(html, greatest(length(html) - 1, 0)) else html end as html, e from p where page_id % 389 <> 7),
+a as (select page_id, cast(floor(page_id / 4096) as bigint) as archive, cast(strlen({_RECORD}) as bigint) as length, sha256({_RECORD}) as s from p),
+b as (select page_id, sha256({_RECORD}) as s from q),
+o as (select *, cast(sum(length) over (partition by archive order by page_id) - length as bigint) as "offset" from a)
+select o.page_id, archive, "offset", length, o.s as primary_sha256, b.s as replica_sha256, case when b.s is null then 'missing' else 'changed' end as status
+from o left join b using (page_id) where b.s is null or b.s <> o.s""",
+    "op4_url_filter": """
+with u as (select page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path from pages),
+r as (select *, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+  when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+  when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+  when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from u)
+select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
+  when regexp_matches(host, '(^|\\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\\.example\\.(com|net|org)$') then 'block' else 'allow' end as verdict
+from r""",
+}

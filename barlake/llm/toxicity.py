@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return pa.array([known.value.get(p, 0.0) for p in patterns.to_pylist()], pa.float64())
 
     judged = sample.select("_id", "text", soft(pattern(F.col("text"))).alias("y"))
-    return fit(judged, term_features, l1=1.0, passes=4)
+    return fit(judged, term_features, l1=0.1, passes=5, alpha=0.5, raised_in=5)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.7, rows: int = SAMPLE_ROWS) -> DataFrame:
