@@ -83,7 +83,7 @@ c as (select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(leng
   cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(lines) as n_lines,
   len(regexp_extract_all(text, '[!?]')) as marks, len(regexp_extract_all(text, '\p{Lu}{2,}')) as capitals,
   len(list_filter(words, lambda x: lower(x) in ({STOPS}))) as stops, cast(coalesce(n_repeat, 0) as bigint) as n_repeat_words
-  from w left join r using (doc_id))
+  from w left join r using (doc_id)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed
   and word_chars / n_words between 2.0 and 12.0 and n_symbols / n_words <= 0.1 and marks / n_words <= 0.4

@@ -6,15 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.llm import jaccard
+from barlake.llm import decontaminate, jaccard, packing, quality_model, toxicity
 from barlake.llm.shared import load, materialize
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return toxicity.drop_toxic(docs, load(spark, sf_dir, "labels"))
+
+
+def low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_model.drop_low_quality(docs, load(spark, sf_dir, "labels"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
     return jaccard.drop_near_copies(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("ngram_jaccard_join", near_copies)]
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, packed into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic_documents),
+    ("quality_classifier", low_quality),
+    ("ngram_jaccard_join", near_copies),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("best_fit_packing", packed),
+]
+#: The classifiers and the packing have no SQL form; the stages are tested against brute force instead.
 ORACLE_SQL: str | None = None
 
 
