@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from . import factor_queries  # noqa: F401
+from . import factor_queries, strategy_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
-
-flagship = next(iter(QUERIES.values()))
+from .strategy_queries import flagship
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
