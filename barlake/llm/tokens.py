@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
+from array import array
 
-import numpy as np
-
-END_OF_CACHE = 400_000
+#: Stretches kept by one worker, some 200 bytes each.
+KEPT = 1_000_000
 _loaded: dict[str, Encoder] = {}
 
 
@@ -16,14 +16,45 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Spacing(Exception):
+    """A stretch that is empty or begins or ends with white space."""
+
+
+class _Stretches(dict):
+    """Ids of stretches that follow a space, made when first asked for. Emptied when full."""
+
+    def __init__(self, tokenizer):
+        self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+        self.space = self.split(" a")[0][0][0]  # the character of the byte-level alphabet that stands for a space
+        self.marks: dict[str, bytes] = {}
+
+    def ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model(piece)]).tobytes()
+
+    def __missing__(self, text: str) -> bytes:
+        if not text or text[0].isspace() or text[-1].isspace():
+            raise _Spacing
+        if len(self) >= KEPT:
+            self.clear()
+        head, mark = (text, "") if text.isalpha() else (text[:-1], text[-1])
+        if head.isascii() and head.isalpha() and (not mark or mark in ".,!?;:"):
+            # a word and at most one mark: two tokens' worth of text, whatever comes next
+            found = self.ids(self.space + head)
+            if mark:
+                found += self.marks.get(mark) or self.marks.setdefault(mark, self.ids(mark))
+        else:
+            found = b"".join([self.ids(p) for p, _ in self.split(" " + text)])
+        self[text] = found
+        return found
+
+
 class Encoder:
     """Ids of a byte-level BPE vocabulary file as little-endian uint32 bytes.
 
     A text is cut before every single space that stands between two characters that are not white space. The
     pre-tokenizer's pattern always ends a token there (a space is taken only as the first character of a token, and
     no token holds a space between two others), so encoding the stretches one by one gives the ids of the whole; a
-    text with other spacing, where that may fail, is encoded whole. Stretches are kept with their ids; the store is
-    emptied when it is full.
+    text with other spacing, where that may fail, is encoded whole. Stretches are kept with their ids.
     """
 
     def __init__(self, path: str):
@@ -32,41 +63,19 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.split, self.model = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
-        self.pieces: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= END_OF_CACHE:
-                self.pieces.clear()
-            found = self.pieces[piece] = np.array([t.id for t in self.model(piece)], "<u4").tobytes()
-        return found
-
-    def _stretch(self, text: str) -> bytes | None:
-        """Ids of one stretch that follows a space; None if it starts or ends with white space or is empty."""
-        if not text or text[0].isspace() or text[-1].isspace():
-            return None
-        ids = b"".join([self._piece(p) for p, _ in self.split(" " + text)])
-        if len(self.stretches) >= END_OF_CACHE:
-            self.stretches.clear()
-        self.stretches[text] = ids
-        return ids
+        self.stretches = _Stretches(self.whole)
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if rest and first and not first[-1].isspace():
             try:
-                kept = self.stretches
-                out = [kept[x] if x in kept else self._stretch(x) for x in rest]
-                return b"".join([self._whole(first), *out])
-            except TypeError:  # a stretch of another kind: None among the parts
+                return self._whole(first) + b"".join(map(self.stretches.__getitem__, rest))
+            except _Spacing:
                 pass
         return self._whole(text)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def encoder(path: str) -> Encoder:
