@@ -51,9 +51,9 @@ def membership_periods(selections: DataFrame, sessions: DataFrame, causal: bool
 
 
 def merge_adjacent(periods: DataFrame, gap_days: int = 4) -> DataFrame:
-    """Periods of a symbol that overlap or lie within gap_days become one; an open end stays open."""
+    """Periods of a symbol that overlap or lie within gap_days become one; an open end stays open, one not begun is left out."""
     far = F.lit("9999-12-31").cast("date")
-    rows = periods.withColumn("_end", F.coalesce("end", far))
+    rows = periods.where("start is not null").withColumn("_end", F.coalesce("end", far))
     w = Window.partitionBy("symbol").orderBy("start", "_end")
     reach = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_new", F.when(reach.isNull() | (F.datediff("start", reach) > gap_days), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w))

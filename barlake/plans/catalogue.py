@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import factor_queries, strategy_queries, table_queries  # noqa: F401
+from . import factor_queries, intraday_queries, strategy_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .strategy_queries import flagship
 

@@ -225,7 +225,7 @@ def i04_causal_periods(spark, sf_dir):
   SELECT *, SUM(brk) OVER (PARTITION BY symbol ORDER BY "start", e) AS island FROM (
     SELECT *, CASE WHEN reach IS NULL OR DATE_DIFF('day', reach, "start") > 40 THEN 1 ELSE 0 END AS brk FROM (
       SELECT *, MAX(e) OVER (PARTITION BY symbol ORDER BY "start", e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (
-        SELECT symbol, "start", COALESCE("end", DATE '9999-12-31') AS e FROM causal)))) GROUP BY symbol, island""",
+        SELECT symbol, "start", COALESCE("end", DATE '9999-12-31') AS e FROM causal WHERE "start" IS NOT NULL)))) GROUP BY symbol, island""",
         extra=_CAND + _PERIODS,
     )
 )
