@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,41 +33,41 @@ _CORR = (
 )
 
 #: name: (column, SQL expression over p)
-FACTORS: dict[str, tuple[Column, str]] = {
-    "c01_ts_delay": (X.ts_delay("close", 3), f"LAG(close, 3) OVER ({_S})"),
-    "c02_ts_delta": (X.ts_delta("close", 3), f"close - LAG(close, 3) OVER ({_S})"),
-    "c03_ts_returns": (X.ts_returns("close", 2), f"close / LAG(close, 2) OVER ({_S}) - 1"),
-    "c04_ts_mean": (X.ts_mean("close", 5), _full("AVG(close)", "close", 5)),
-    "c05_ts_std": (X.ts_std("close", 5), _full("STDDEV_SAMP(close)", "close", 5)),
-    "c06_ts_min": (X.ts_min("low", 5), _full("MIN(low)", "low", 5)),
-    "c07_ts_max": (X.ts_max("high", 5), _full("MAX(high)", "high", 5)),
-    "c08_ts_rank": (X.ts_rank("close", 5), f"CASE WHEN COUNT(close) {_w(5)} = 5 THEN LEN(LIST_FILTER(LIST(close) {_w(5)}, lambda v: v <= close)) / 5.0 END"),
-    "c10_ts_corr": (X.ts_corr("close", "volume", 5), _CORR),
-    "c11_ts_cov": (X.ts_cov("close", "volume", 5), _full("COVAR_SAMP(close, volume)", "close + volume", 5)),
-    "c12_ts_downside_std": (X.ts_downside_std("r", 5), f"CASE WHEN COUNT(*) {_w(5)} = 5 THEN STDDEV_SAMP({_DOWN}) {_w(5)} END"),
-    "c13_cs_rank": (X.cs_rank("close"), _RANK),
-    "c14_cs_percentile": (X.cs_percentile("close"), f"({_RANK}) / NULLIF(COUNT(close) {_X}, 0)"),
-    "c15_cs_zscore": (X.cs_zscore("close"), f"(close - AVG(close) {_X}) / NULLIF(STDDEV_SAMP(close) {_X}, 0)"),
-    "c16_cs_demean": (X.cs_demean("close"), f"close - AVG(close) {_X}"),
-    "c17_cs_neutralize": (X.cs_neutralize("r"), f"r - AVG(r) {_X}"),
-    "c18_cs_winsor": (X.cs_winsor("r", 0.1), _WINSOR.format(p=0.1)),
-    "c19_add": (X.add("open", "close"), "open + close"),
-    "c20_subtract": (X.subtract("high", "low"), "high - low"),
-    "c21_multiply": (X.multiply("close", "volume"), "close * volume"),
-    "c22_divide": (X.divide("high", X.subtract("close", "close")), "high / NULLIF(close - close, 0)"),
-    "c23_signed_power": (X.signed_power("r", 0.5), "SIGN(r) * POW(ABS(r), 0.5)"),
-    "c24_abs": (X.absolute("r"), "ABS(r)"),
-    "c25_neg": (X.negate("r"), "-r"),
-    "c26_min": (X.lesser("open", "close"), "CASE WHEN open IS NOT NULL AND close IS NOT NULL THEN LEAST(open, close) END"),
-    "c27_max": (X.greater("r", X.negate("r")), "CASE WHEN r IS NOT NULL THEN GREATEST(r, -r) END"),
-    "c28_clip": (X.clip("r", -0.001, 0.001), "CASE WHEN r IS NOT NULL THEN LEAST(GREATEST(r, -0.001), 0.001) END"),
-    "c32_sign_orientation": (X.oriented("r", -1), "-r"),
+FACTORS: dict[str, tuple[Callable[[], Column], str]] = {
+    "c01_ts_delay": (lambda: X.ts_delay("close", 3), f"LAG(close, 3) OVER ({_S})"),
+    "c02_ts_delta": (lambda: X.ts_delta("close", 3), f"close - LAG(close, 3) OVER ({_S})"),
+    "c03_ts_returns": (lambda: X.ts_returns("close", 2), f"close / LAG(close, 2) OVER ({_S}) - 1"),
+    "c04_ts_mean": (lambda: X.ts_mean("close", 5), _full("AVG(close)", "close", 5)),
+    "c05_ts_std": (lambda: X.ts_std("close", 5), _full("STDDEV_SAMP(close)", "close", 5)),
+    "c06_ts_min": (lambda: X.ts_min("low", 5), _full("MIN(low)", "low", 5)),
+    "c07_ts_max": (lambda: X.ts_max("high", 5), _full("MAX(high)", "high", 5)),
+    "c08_ts_rank": (lambda: X.ts_rank("close", 5), f"CASE WHEN COUNT(close) {_w(5)} = 5 THEN LEN(LIST_FILTER(LIST(close) {_w(5)}, lambda v: v <= close)) / 5.0 END"),
+    "c10_ts_corr": (lambda: X.ts_corr("close", "volume", 5), _CORR),
+    "c11_ts_cov": (lambda: X.ts_cov("close", "volume", 5), _full("COVAR_SAMP(close, volume)", "close + volume", 5)),
+    "c12_ts_downside_std": (lambda: X.ts_downside_std("r", 5), f"CASE WHEN COUNT(*) {_w(5)} = 5 THEN STDDEV_SAMP({_DOWN}) {_w(5)} END"),
+    "c13_cs_rank": (lambda: X.cs_rank("close"), _RANK),
+    "c14_cs_percentile": (lambda: X.cs_percentile("close"), f"({_RANK}) / NULLIF(COUNT(close) {_X}, 0)"),
+    "c15_cs_zscore": (lambda: X.cs_zscore("close"), f"(close - AVG(close) {_X}) / NULLIF(STDDEV_SAMP(close) {_X}, 0)"),
+    "c16_cs_demean": (lambda: X.cs_demean("close"), f"close - AVG(close) {_X}"),
+    "c17_cs_neutralize": (lambda: X.cs_neutralize("r"), f"r - AVG(r) {_X}"),
+    "c18_cs_winsor": (lambda: X.cs_winsor("r", 0.1), _WINSOR.format(p=0.1)),
+    "c19_add": (lambda: X.add("open", "close"), "open + close"),
+    "c20_subtract": (lambda: X.subtract("high", "low"), "high - low"),
+    "c21_multiply": (lambda: X.multiply("close", "volume"), "close * volume"),
+    "c22_divide": (lambda: X.divide("high", X.subtract("close", "close")), "high / NULLIF(close - close, 0)"),
+    "c23_signed_power": (lambda: X.signed_power("r", 0.5), "SIGN(r) * POW(ABS(r), 0.5)"),
+    "c24_abs": (lambda: X.absolute("r"), "ABS(r)"),
+    "c25_neg": (lambda: X.negate("r"), "-r"),
+    "c26_min": (lambda: X.lesser("open", "close"), "CASE WHEN open IS NOT NULL AND close IS NOT NULL THEN LEAST(open, close) END"),
+    "c27_max": (lambda: X.greater("r", X.negate("r")), "CASE WHEN r IS NOT NULL THEN GREATEST(r, -r) END"),
+    "c28_clip": (lambda: X.clip("r", -0.001, 0.001), "CASE WHEN r IS NOT NULL THEN LEAST(GREATEST(r, -0.001), 0.001) END"),
+    "c32_sign_orientation": (lambda: X.oriented("r", -1), "-r"),
 }
 
 for _name, (_column, _sql) in FACTORS.items():
     register(
         _name,
-        lambda spark, sf_dir, column=_column: panel_of(spark, sf_dir).select("timestamp", "symbol", F.round(column, 6).alias("value")),
+        lambda spark, sf_dir, column=_column: panel_of(spark, sf_dir).select("timestamp", "symbol", F.round(column(), 6).alias("value")),
         with_panel(f"SELECT timestamp, symbol, ROUND({_sql}, 6) AS value FROM p"),
     )
 

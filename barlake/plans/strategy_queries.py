@@ -25,29 +25,29 @@ def _full(agg: str, x: str, n: int) -> str:
 _VOL = _full("STDDEV_SAMP(r)", "r", 20)
 #: Features of weekly bars: name: (column, SQL). Windows are counted in rows of the panel.
 FEATURES = {
-    "d01_risk_adjusted_momentum": (F.try_divide(X.ts_returns("close", 26), X.ts_std("r", 20) * F.sqrt(F.lit(252.0))), f"(close / LAG(close, 26) OVER ({_S}) - 1) / NULLIF(({_VOL}) * SQRT(252.0), 0)"),
+    "d01_risk_adjusted_momentum": (lambda: F.try_divide(X.ts_returns("close", 26), X.ts_std("r", 20) * F.sqrt(F.lit(252.0))), f"(close / LAG(close, 26) OVER ({_S}) - 1) / NULLIF(({_VOL}) * SQRT(252.0), 0)"),
     "d02_trend_strength": (
-        F.try_divide(F.try_divide(X.ts_mean("close", 10), X.ts_mean("close", 40)) - 1 + X.ts_returns("close", 20), X.ts_std("r", 20)),
+        lambda: F.try_divide(F.try_divide(X.ts_mean("close", 10), X.ts_mean("close", 40)) - 1 + X.ts_returns("close", 20), X.ts_std("r", 20)),
         f"(({_full('AVG(close)', 'close', 10)}) / ({_full('AVG(close)', 'close', 40)}) - 1 + close / LAG(close, 20) OVER ({_S}) - 1) / NULLIF({_VOL}, 0)",
     ),
-    "d03_short_reversal": (-F.try_divide(X.ts_returns("close", 5), X.ts_std("r", 20)), f"-((close / LAG(close, 5) OVER ({_S}) - 1) / NULLIF({_VOL}, 0))"),
+    "d03_short_reversal": (lambda: -F.try_divide(X.ts_returns("close", 5), X.ts_std("r", 20)), f"-((close / LAG(close, 5) OVER ({_S}) - 1) / NULLIF({_VOL}, 0))"),
     "d04_skip_momentum": (
-        F.try_divide(F.try_divide(X.ts_delay("close", 4), X.ts_delay("close", 52)) - 1, X.ts_std("r", 20)),
+        lambda: F.try_divide(F.try_divide(X.ts_delay("close", 4), X.ts_delay("close", 52)) - 1, X.ts_std("r", 20)),
         f"(LAG(close, 4) OVER ({_S}) / LAG(close, 52) OVER ({_S}) - 1) / NULLIF({_VOL}, 0)",
     ),
-    "d08_annual_volatility": (X.ts_std("r", 20) * F.sqrt(F.lit(252.0)), f"({_VOL}) * SQRT(252.0)"),
+    "d08_annual_volatility": (lambda: X.ts_std("r", 20) * F.sqrt(F.lit(252.0)), f"({_VOL}) * SQRT(252.0)"),
     "d08_downside_volatility": (
-        F.sqrt(X.ts_mean(F.pow(X.lesser("r", F.lit(0.0)), 2), 20)) * F.sqrt(F.lit(252.0)),
+        lambda: F.sqrt(X.ts_mean(F.pow(X.lesser("r", F.lit(0.0)), 2), 20)) * F.sqrt(F.lit(252.0)),
         f"SQRT({_full('AVG(POW(CASE WHEN r IS NOT NULL THEN LEAST(r, 0.0) END, 2))', 'r', 20)}) * SQRT(252.0)",
     ),
-    "d09_scaled_trend": (F.try_divide(F.try_divide(F.col("close"), X.ts_mean("close", 40)) - 1, X.ts_std("r", 20)), f"(close / ({_full('AVG(close)', 'close', 40)}) - 1) / NULLIF({_VOL}, 0)"),
-    "d18_dollar_volume": (F.col("close") * F.col("volume"), "close * volume"),
-    "d20_prior_volatility": (X.ts_std_pop("r", 20) * F.sqrt(F.lit(252.0)), f"({_full('STDDEV_POP(r)', 'r', 20)}) * SQRT(252.0)"),
+    "d09_scaled_trend": (lambda: F.try_divide(F.try_divide(F.col("close"), X.ts_mean("close", 40)) - 1, X.ts_std("r", 20)), f"(close / ({_full('AVG(close)', 'close', 40)}) - 1) / NULLIF({_VOL}, 0)"),
+    "d18_dollar_volume": (lambda: F.col("close") * F.col("volume"), "close * volume"),
+    "d20_prior_volatility": (lambda: X.ts_std_pop("r", 20) * F.sqrt(F.lit(252.0)), f"({_full('STDDEV_POP(r)', 'r', 20)}) * SQRT(252.0)"),
 }
 for _name, (_column, _sql) in FEATURES.items():
     register(
         _name,
-        lambda spark, sf_dir, column=_column: panel_of(spark, sf_dir, "weekly10").select("timestamp", "symbol", F.round(column, 6).alias("value")),
+        lambda spark, sf_dir, column=_column: panel_of(spark, sf_dir, "weekly10").select("timestamp", "symbol", F.round(column(), 6).alias("value")),
         with_panel(f"SELECT timestamp, symbol, ROUND({_sql}, 6) AS value FROM p", "weekly10"),
     )
 
