@@ -6,7 +6,7 @@ import os
 from array import array
 
 #: Stretches kept by one worker, some 200 bytes each.
-KEPT = 1_000_000
+KEPT = 400_000
 _loaded: dict[str, Encoder] = {}
 
 
