@@ -5,10 +5,26 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver was started; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f"{package.name}/{f.relative_to(package)}")
+        context.addPyFile(str(path))
+        _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

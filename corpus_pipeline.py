@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barlake.llm import decontaminate, jaccard, packing, quality_model, toxicity
-from barlake.llm.shared import load, materialize
+from barlake.llm.shared import load, materialize, ship_package
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    ship_package(spark)
     return jaccard.drop_near_copies(docs)
 
 
@@ -32,6 +33,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of what is left, packed into sequences."""
+    ship_package(spark)
     return packing.pack_documents(docs)
 
 
