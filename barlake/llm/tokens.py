@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 from array import array
 
-#: Stretches kept by one worker, some 200 bytes each.
-KEPT = 400_000
+#: Stretches kept by one worker, some 200 bytes each. A full store stays as it is, for what is frequent comes early,
+#: and is renewed after ten times as many stretches had no place in it.
+KEPT = 600_000
 _loaded: dict[str, Encoder] = {}
 
 
@@ -21,12 +22,13 @@ class _Spacing(Exception):
 
 
 class _Stretches(dict):
-    """Ids of stretches that follow a space, made when first asked for. Emptied when full."""
+    """Ids of stretches that follow a space, made when first asked for."""
 
     def __init__(self, tokenizer):
         self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
         self.space = self.split(" a")[0][0][0]  # the character of the byte-level alphabet that stands for a space
         self.marks: dict[str, bytes] = {}
+        self.unkept = 0
 
     def ids(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model(piece)]).tobytes()
@@ -34,8 +36,6 @@ class _Stretches(dict):
     def __missing__(self, text: str) -> bytes:
         if not text or text[0].isspace() or text[-1].isspace():
             raise _Spacing
-        if len(self) >= KEPT:
-            self.clear()
         head, mark = (text, "") if text.isalpha() else (text[:-1], text[-1])
         if head.isascii() and head.isalpha() and (not mark or mark in ".,!?;:"):
             # a word and at most one mark: two tokens' worth of text, whatever comes next
@@ -44,7 +44,13 @@ class _Stretches(dict):
                 found += self.marks.get(mark) or self.marks.setdefault(mark, self.ids(mark))
         else:
             found = b"".join([self.ids(p) for p, _ in self.split(" " + text)])
-        self[text] = found
+        if len(self) < KEPT:
+            self[text] = found
+        else:
+            self.unkept += 1
+            if self.unkept > 10 * KEPT:
+                self.clear()
+                self.unkept = 0
         return found
 
 
