@@ -90,8 +90,17 @@ def close_summary(reconciled: DataFrame, band: float) -> DataFrame:
 
 
 def rebalance_due(sessions: DataFrame, last: DataFrame, every: int) -> DataFrame:
-    """For each account whether at least `every` sessions came after its last rebalance; never rebalanced is due."""
-    counts = last.join(sessions, F.col("session") > F.col("last_rebalance"), "left").groupBy("account").agg(F.count("session").alias("sessions_since"), F.max("last_rebalance").alias("_last"))
+    """For each account whether at least `every` distinct sessions came after its last rebalance; never rebalanced is due.
+
+    Only days are put in order: the sessions and the accounts' last days, each once; an account takes the place of its day.
+    """
+    accounts = last.groupBy("account").agg(F.max("last_rebalance").alias("_last"))
+    days = sessions.select(F.col("session").alias("_day"), F.lit(1).alias("_n")).where("_day is not null").distinct()
+    days = days.unionByName(accounts.select(F.col("_last").alias("_day"), F.lit(0).alias("_n")).where("_day is not null").distinct())
+    places = days.groupBy("_day").agg(F.max("_n").alias("_n"))
+    after = Window.orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
+    places = places.select(F.col("_day").alias("_last"), F.coalesce(F.sum("_n").over(after), F.lit(0)).cast("long").alias("_since"))
+    counts = accounts.join(F.broadcast(places), "_last", "left").withColumn("sessions_since", F.coalesce("_since", F.lit(0).cast("long")))
     return counts.select("account", "sessions_since", (F.col("_last").isNull() | (F.col("sessions_since") >= every)).alias("due"))
 
 

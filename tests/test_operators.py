@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlake.functions import factors as X
-from barlake.operators import evaluate, intraday, lineage, orders, statistics, universe, weights
+from barlake.operators import evaluate, intraday, lineage, orders, statistics, tables, universe, weights
+from barlake.plans.catalogue import QUERIES
 from barlake.sources import bars as B
 from barlake.sources import ingest
 from barlake.streaming import jobs
@@ -157,3 +158,13 @@ def test_fills_follow_the_next_quote(spark, tmp_path):
     assert got[1].pnl == pytest.approx(0.049)
     jobs.run_available(jobs.track_fills(stream), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/data")).count() == 2
+
+
+def test_rebalance_due_counts_every_session_once(spark, sf):
+    days = spark.createDataFrame([(dt.date(1996, 1, 1) + dt.timedelta(days=i // 2),) for i in range(400)], "session date")
+    last = spark.createDataFrame([(1, dt.date(1996, 1, 1)), (2, dt.date(1996, 7, 17)), (3, None), (4, dt.date(1990, 1, 1)), (5, dt.date(2000, 1, 1)), (6, dt.date(1996, 1, 1))], "account int, last_rebalance date")
+    due = tables.rebalance_due(days, last, 150)
+    assert {r.account: (r.sessions_since, r.due) for r in due.collect()} == {1: (199, True), 2: (1, False), 3: (0, True), 4: (200, True), 5: (0, False), 6: (199, True)}
+    assert "NestedLoop" not in due._jdf.queryExecution().toString()
+    whole, cut = (QUERIES[n](spark, sf).agg(F.max("sessions_since")).first()[0] for n in ("j06_rebalance_due_all_sessions", "j06_rebalance_due"))
+    assert whole > cut
