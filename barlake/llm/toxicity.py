@@ -1,16 +1,21 @@
 """Toxicity by weak supervision.
 
-1. Voters. Words and word beginnings whose presence (once, or twice and more) goes with toxic labels in the training
-   rows become voters of a lexicon; a voter speaks or is silent.
-2. Label model. All documents vote. The counts of vote patterns (at most 2^VOTERS rows) fit a two-class mixture by
-   expectation maximisation: for each voter how often it speaks in either class, and for each pair how far it agrees
-   beyond that (its correlation). Correlated voters share their weight. It yields a posterior for each pattern.
-3. Classifier. A linear model over hashed words, beginnings and pairs is fitted to the posteriors of a bounded sample
-   and scores every text.
+1. Voters. Words, word beginnings, spellings (small letters, figures read as letters, stretched letters once) and four
+   patterns (stretched letters, letters mixed with figures, repeated words, capitals) that go with toxic or with clean
+   labels in the training rows, once or twice and more, become voters: all of them whose damped odds ratio is
+   clear of RATIO. A voter speaks for its side or is silent.
+2. Label model. All documents vote; a document's votes are a sparse list. Rounds of expectation maximisation in Spark
+   sum for each voter how often it is right when it speaks, and for each pair of one side how far it agrees beyond that
+   (its correlation); the sums grow with the voters, not with the documents. Correlated voters share their weight. A
+   document for which no voter speaks is at a level of its own: the one with which the posteriors of all documents have the
+   share of toxic rows on average.
+3. Classifier. A linear model over hashed words, beginnings, spellings and patterns is fitted to the posteriors of a
+   bounded sample, in which a row's own label votes too, and scores every text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +26,27 @@ from pyspark.sql import functions as F
 from . import linear
 from .linear import BITS, _tokens
 from .quality_model import SAMPLE_ROWS, bounded_sample, fit, held_out, scorer
-from .textops import _BYTE_VALUE, _LOWER, SLICE_BYTES, _powers, buffers, mix64
-
-VOTERS = 16
+from .shared import materialize
+from .textops import _BYTE_VALUE, _IS_SPACE, _LOWER, SLICE_BYTES, _powers, buffers, mix64
+
+#: A voter's odds ratio, less one standard deviation, is this at least, for one side or the other.
+RATIO = 10
+#: Rounds of expectation maximisation over all documents at most, and the weight of the labelled rows in them.
+ROUNDS, DAMP = 8, 20
+#: Share of labels that are right.
+LABEL = 0.999
 #: Lengths in bytes of the word beginnings looked at; only words that go on count.
 BEGINNINGS = (4, 5, 6, 7)
 _U = np.uint64
 _TWICE = _U(0x5BD1E995C0B3A7F1)
 _SALT = mix64(np.arange(1, 9, dtype=np.uint64))
+_SPELLING = _U(0x94D049BB133111EB)
+_STRETCHED, _MIXED, _AGAIN, _CAPITALS = mix64(np.arange(101, 105, dtype=np.uint64))
+#: The letter that a byte is read as, 0 for marks.
+_READ = _LOWER.copy()
+_READ[:48] = _READ[58:65] = _READ[91:97] = _READ[123:128] = 0
+_READ[list(b"013457@$")] = list(b"oieastas")
+_FIGURE = np.isin(np.arange(256), list(b"0123456789@$"))
 
 
 def _terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -46,6 +64,9 @@ def _terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
             owner = np.searchsorted(firsts, starts, "right") - 1
             owners.append(owner)
             codes.append(hashes)
+            for places, found in _spellings(part, firsts):
+                owners.append(np.searchsorted(firsts, places, "right") - 1)
+                codes.append(found)
             if len(starts):
                 size = _lengths(part, starts)
                 lower = _BYTE_VALUE[_LOWER[part]]
@@ -62,6 +83,38 @@ def _terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         row = last
 
 
+def _spellings(data: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, codes) of each word's spelling and of the patterns that words show."""
+    inside = ~_IS_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = firsts[firsts < len(data)]
+    begins[heads] = inside[heads]
+    at = np.flatnonzero(inside & (_READ[data] > 0))
+    if not len(at):
+        return
+    word, read = np.cumsum(begins)[at], _READ[data[at]]
+    more = np.zeros(len(at), bool)
+    more[1:] = (word[1:] == word[:-1]) & (read[1:] == read[:-1])
+    long = at[np.flatnonzero(more[1:] & more[:-1] & (data[at[1:]] >= 65)) + 1]
+    raw = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    size = np.diff(np.append(raw, len(at)))
+    figures = np.add.reduceat(_FIGURE[data[at]].astype(np.int64), raw)
+    capitals = np.add.reduceat(((data[at] >= 65) & (data[at] <= 90)).astype(np.int64), raw)
+    mixed, loud = at[raw[(figures > 0) & (figures < size)]], at[raw[(capitals == size) & (size > 3)]]
+    at, word, read = at[~more], word[~more], read[~more]
+    starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    span = np.diff(np.append(starts, len(at)))
+    place = np.arange(len(at)) - np.repeat(starts, span)
+    codes = mix64(np.add.reduceat(_BYTE_VALUE[read] * _powers(int(span.max()))[place], starts) ^ _SPELLING)
+    firsts_of = at[starts]
+    row = np.searchsorted(firsts, firsts_of, "right")
+    again = firsts_of[1:][(codes[1:] == codes[:-1]) & (row[1:] == row[:-1])]
+    yield firsts_of, codes
+    for places, code in ((long, _STRETCHED), (mixed, _MIXED), (again, _AGAIN), (loud, _CAPITALS)):
+        yield places, np.full(len(places), code)
+
+
 def _lengths(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Bytes of the run of one kind that begins at each start."""
     kind = linear._KIND[data]
@@ -108,117 +161,202 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(term.view(np.int64)), *map(pa.array, counts)], ["term", "t1", "c1", "t2", "c2"])
 
 
-def lexicon(sample: DataFrame, voters: int = VOTERS) -> list[tuple[int, int]]:
-    """(term code, times) of the voters: those that tell the classes apart best, by a log odds ratio that small counts damp."""
+def lexicon(sample: DataFrame) -> tuple[list[tuple[int, int, float]], float]:
+    """((term code, times, damped share of toxic rows where it is said) of all voters, share of toxic rows).
+
+    A voter's log odds ratio of being said in toxic and in clean rows, damped by half a row in each cell and
+    less its standard deviation, is ln(RATIO) away from 0 at least. Terms are those of a bounded sample, and so are the voters.
+    """
     counts = sample.select("_id", "text", "y").mapInArrow(_term_counts, "term long, t1 long, c1 long, t2 long, c2 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("t1", "c1", "t2", "c2")])
-    both = counts.where("t1 >= 5").select("term", F.explode(F.array(F.struct(F.lit(1).alias("times"), F.col("t1").alias("t"), F.col("c1").alias("c")), F.struct(F.lit(2).alias("times"), F.col("t2").alias("t"), F.col("c2").alias("c")))).alias("x"))
     size = sample.groupBy().agg(F.sum(F.expr("cast(y > 0.5 as long)")).alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = size["t"] or 0, (size["n"] or 0) - (size["t"] or 0)
     if not toxic or not clean:
-        return []
-    rate = F.expr(f"(x.t / {toxic}D) - 4 * (x.c + 1) / ({clean}D + 1)")
-    best = both.where("x.t >= 5").select("term", "x.times", rate.alias("gain")).where("gain > 0.01").orderBy(F.desc("gain"), "term", "times").limit(8 * voters)
-    return [(r["term"], r["times"]) for r in best.collect()]
-
-
-def _votes(texts: pa.Array, voters: list[tuple[int, int]]) -> np.ndarray:
-    """Rows by voters: whether the voter speaks."""
-    terms = np.array([v[0] for v in voters], np.int64).view(np.uint64)
+        return [], 0.0
+    prior = toxic / (toxic + clean)
+    both = counts.select("term", F.explode(F.array(*[F.struct(F.lit(k).alias("times"), F.col(f"t{k}").alias("t"), F.col(f"c{k}").alias("c")) for k in (1, 2)])).alias("x")).select("term", "x.*").where("t + c > 0")
+    odds = F.expr(f"ln((t + 0.5) / ({toxic} - t + 0.5)) - ln((c + 0.5) / ({clean} - c + 0.5))")
+    spread = F.expr(f"sqrt(1 / (t + 0.5) + 1 / ({toxic} - t + 0.5) + 1 / (c + 0.5) + 1 / ({clean} - c + 0.5))")
+    found = both.where(F.abs(odds) > spread + math.log(RATIO)).select("term", "times", F.expr(f"(t + 2 * {prior}D) / (t + c + 2)").alias("share")).orderBy("term", "times")
+    return [(r["term"], r["times"], r["share"]) for r in found.collect()], prior
+
+
+def _votes(texts: pa.Array, voters: list[tuple[int, int, float]]) -> pa.Array:
+    """For each row the list of voters that speak."""
+    terms, times = np.array([v[0] for v in voters], np.int64).view(np.uint64), np.array([v[1] for v in voters])
     known, place = np.unique(terms, return_inverse=True)
-    out = np.zeros((len(texts), len(voters)), bool)
+    of = np.full((3, len(known)), -1)
+    of[times, place] = np.arange(len(voters))
+    sizes, spoken = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
     for first, last, owner, code in _terms(texts):
         at = np.minimum(np.searchsorted(known, code), len(known) - 1)
         hit = np.flatnonzero(known[at] == code)
-        counts = np.zeros((last - first, len(known)), np.int64)
-        np.add.at(counts, (owner[hit], at[hit]), 1)
-        out[first:last] = counts[:, place] >= np.array([v[1] for v in voters])
-    return out
-
-
-def choose(votes: np.ndarray, y: np.ndarray, voters: int = VOTERS) -> list[int]:
-    """Of candidate voters the ones that add most: each counts what is not yet said twice, less what it says of clean rows."""
-    said, chosen = np.zeros(len(y)), []
-    for _ in range(min(voters, votes.shape[1])):
-        gain = (votes & y[:, None]).T @ (0.3 ** said) - 4.0 * (votes & ~y[:, None]).sum(axis=0)
-        gain[chosen] = -1
-        best = int(gain.argmax())
-        if gain[best] < 0.5:
-            break
-        chosen.append(best)
-        said += votes[:, best]
-    return chosen
+        said, count = np.unique(owner[hit] * len(known) + at[hit], return_counts=True)
+        row, term = said // len(known), said % len(known)
+        both = np.concatenate([of[1][term], np.where(count > 1, of[2][term], -1)])
+        row, both = np.tile(row, 2)[both >= 0], both[both >= 0]
+        spoken.append(both[np.lexsort((both, row))])
+        sizes.append(np.bincount(row, minlength=last - first))
+    ends = np.cumsum(np.concatenate(sizes))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(spoken), pa.int32()))
+
+
+class LabelModel:
+    """Posterior of the toxic class from sparse votes: (voters that speak, row after row; where each row ends).
+
+    A silent voter says nothing; rows without votes are at the prior, moved so that all rows have it on average where
+    `calibrated`. shares: first estimates of the share of toxic rows where a voter speaks, refined here
+    for the side it is on. Voters of one side that speak together more than their shares in its class explain are
+    correlated, and where they do speak together they divide the weight by that.
+    """
+
+    def __init__(self, shares: list[float], prior: float, calibrated: bool = True):
+        self.first, self.prior = np.clip(np.array(shares, float), 1e-3, 0.999), float(np.clip(prior, 1e-4, 0.5))
+        self.share, self.toxic = self.first, self.first >= self.prior
+        self.calibrated, self.shift = calibrated, 0.0
+        self.pairs, self.correlation = np.zeros(0, np.int64), np.zeros(0)
+
+    def posterior(self, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        base = np.log(self.prior / (1 - self.prior))
+        weight = (np.log(self.share / (1 - self.share)) - base)[at]
+        shared = np.ones(len(at))
+        if len(self.pairs):
+            for first, last, a, b in _together(ends):
+                i, j = np.minimum(at[a], at[b]), np.maximum(at[a], at[b])
+                key = i * len(self.share) + j
+                k = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+                shared[first:last] += np.bincount(a - first, np.where(self.pairs[k] == key, self.correlation[k], 0.0), last - first)
+        sizes = np.diff(ends)
+        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weight / shared, len(sizes))
+        return 1 / (1 + np.exp(-np.clip(base + self.shift + total, -35, 35)))
+
+    def sums(self, at: np.ndarray, ends: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each voter spoke and that in toxic rows, with all rows at the end; pairs (i * voters + j, i < j) of one side and their weight in its class."""
+        w, v = n * self.posterior(at, ends), len(self.share)
+        row = np.repeat(np.arange(len(n)), np.diff(ends))
+        each = np.array([np.append(np.bincount(at, x[row], v), x.sum()) for x in (n, w)])
+        keys, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for _, _, a, b in _together(ends):
+            own = (at[a] < at[b]) & (self.toxic[at[a]] == self.toxic[at[b]])
+            a, b = a[own], b[own]
+            key, place = np.unique(at[a] * v + at[b], return_inverse=True)
+            keys.append(key)
+            weights.append(np.bincount(place, np.where(self.toxic[at[a]], w[row[a]], (n - w)[row[a]]), len(key)))
+        return each, np.concatenate(keys), np.concatenate(weights)
+
+    def update(self, each: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> float:
+        """The greatest change of a share or of the shift, from the sums of all rows."""
+        pairs, place = np.unique(keys, return_inverse=True)
+        weights = np.bincount(place, weights, len(pairs))
+        before, (seen, right) = self.share, each
+        share = (right[:-1] + DAMP * self.first) / (seen[:-1] + DAMP)
+        self.share = np.where(self.toxic, np.clip(share, self.prior, 0.999), np.clip(share, 1e-3, self.prior))
+        total = np.maximum(np.where(self.toxic, right[-1], seen[-1] - right[-1]), 1e-9)
+        rate = np.where(self.toxic, right[:-1], seen[:-1] - right[:-1]) / total
+        sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
+        i, j = pairs // len(rate), pairs % len(rate)
+        found = np.clip((weights / total[i] - rate[i] * rate[j]) / (sd[i] * sd[j]), 0, 1)
+        self.pairs, self.correlation = pairs[found > 0], found[found > 0]
+        shift = self.shift
+        if self.calibrated:
+            mean = float(np.clip(right[-1] / max(seen[-1], 1.0), 1e-6, 1 - 1e-6))
+            self.shift += math.log(self.prior / (1 - self.prior)) - math.log(mean / (1 - mean))
+        return max(float(np.abs(self.share - before).max()), abs(self.shift - shift))
+
+
+def _together(ends: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of rows with about `most` pairs: (first vote, vote after the last, a, b): all pairs of two votes of a row."""
+    sizes = np.diff(ends)
+    done = np.append(0, np.cumsum(sizes * (sizes - 1)))
+    row = 0
+    while row < len(sizes):
+        last = max(row + 1, int(np.searchsorted(done, done[row] + most, "right")) - 1)
+        votes = np.arange(ends[row], ends[last])
+        count = np.repeat(sizes[row:last], sizes[row:last])
+        a = np.repeat(votes, count)
+        start = np.repeat(np.repeat(ends[row:last], sizes[row:last]), count)
+        b = start + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+        yield int(ends[row]), int(ends[last]), a[a != b], b[a != b]
+        row = last
+
 
+def _flat(votes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    sizes = votes.value_lengths().to_numpy(zero_copy_only=False)
+    return votes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(sizes)).astype(np.int64)
 
-def label_model(patterns: dict[int, int], accuracy: list[float], rounds: int = 50) -> dict[int, float]:
-    """Posterior of the toxic class for each vote pattern (bit j: voter j speaks), from the counts of all patterns.
 
-    A silent voter says nothing. accuracy: first estimates of how often a voter is right when it speaks, refined here
-    together with the share of toxic documents. Voters that speak together more than their shares in the toxic class
-    explain are correlated, and where they do speak together they divide the weight by that.
+def label_model(patterns: dict[int, int], accuracy: list[float], rounds: int = 50, prior: float | None = None) -> dict[int, float]:
+    """Posterior of the toxic class for each vote pattern (bit j: voter j speaks) of a small table of counts.
+
+    Without a prior it is the share of rows that the voters, as right as they are said to be, speak for.
     """
-    voters = len(accuracy)
     keys = sorted(patterns)
-    bits = np.array([[k >> j & 1 for j in range(voters)] for k in keys], float).reshape(len(keys), voters)
+    bits = np.array([[k >> j & 1 for j in range(len(accuracy))] for k in keys], bool).reshape(len(keys), len(accuracy))
     n = np.array([patterns[k] for k in keys], float)
-    spoken = bits.any(axis=1)
-    if not keys or not spoken.any():
-        return dict.fromkeys(keys, 0.0)
-    right = np.clip(np.array(accuracy), 0.5, 0.999)
-    posterior = np.where(spoken, 0.9, 0.0)
+    if not keys or not bits.any():
+        return dict.fromkeys(keys, prior or 0.0)
+    at, ends = np.nonzero(bits)[1], np.append(0, np.cumsum(bits.sum(axis=1)))
+    model = LabelModel(accuracy, prior if prior is not None else n[bits.any(axis=1)].sum() / n.sum() * float(np.mean(accuracy)), prior is not None)
     for _ in range(rounds):
-        before = posterior
-        prior = np.clip((n @ posterior) / n.sum(), 1e-4, 0.4)
-        base = np.log(prior / (1 - prior))
-        w = n * posterior
-        centred = bits - (w @ bits) / w.sum()
-        cov = (centred * w[:, None]).T @ centred / w.sum()
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        correlation = np.clip(cov / np.outer(sd, sd), 0, 1) * (1 - np.eye(voters))
-        share = bits / (1 + bits @ correlation)
-        score = base + share @ (np.log(right / (1 - right)) - base)
-        posterior = np.where(spoken, 1 / (1 + np.exp(-np.clip(score, -35, 35))), 0.0)
-        seen = n @ bits
-        right = np.clip((w @ bits + 20 * np.array(accuracy)) / (seen + 20), 0.5, 0.999)
-        if np.abs(posterior - before).max() < 1e-6:
+        if model.update(*model.sums(at, ends, n)) < 1e-6:
+            break
+    return dict(zip(keys, model.posterior(at, ends).tolist(), strict=True))
+
+
+def fit_voters(docs: DataFrame, voters: list[tuple[int, int, float]], prior: float, text: str) -> LabelModel:
+    """The label model of all documents. Each round is one job over their vote lists; equal lists are counted together."""
+    model = LabelModel([v[2] for v in voters], prior)
+    shared = docs.sparkSession.sparkContext.broadcast(voters)
+
+    @F.arrow_udf("array<int>")
+    def vote(texts: pa.Array) -> pa.Array:
+        return _votes(texts, shared.value)
+
+    lists = docs.select(vote(F.col(text).cast("string")).alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    lists = materialize(lists, "votes")
+    for _ in range(ROUNDS):
+        now = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            m = now.value
+            k = np.arange(len(m.share) + 1)
+            each, keys, weights = np.zeros((2, len(k))), np.zeros(0, np.int64), np.zeros(0)
+            for batch in batches:
+                more, *pairs = m.sums(*_flat(batch.column(0)), batch.column(1).to_numpy().astype(float))
+                keys, place = np.unique(np.concatenate([keys, pairs[0]]), return_inverse=True)
+                each, weights = each + more, np.bincount(place, np.concatenate([weights, pairs[1]]), len(keys))
+            kind, at = np.repeat([0, 1, 2], [len(k), len(k), len(keys)]), np.concatenate([k, k, keys])
+            yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(at), pa.array(np.concatenate([*each, weights]))], ["kind", "at", "x"])
+
+        # bounded by voters and pairs of voters
+        found = lists.mapInArrow(run, "kind int, at long, x double").groupBy("kind", "at").agg(F.sum("x").alias("x")).where("x <> 0").toArrow()
+        kind, at, x = (found.column(c).to_numpy() for c in ("kind", "at", "x"))
+        each = np.zeros((2, len(voters) + 1))
+        for row in (0, 1):
+            each[row, at[kind == row]] = x[kind == row]
+        if model.update(each, at[kind == 2], x[kind == 2]) < 1e-3:
             break
-    return dict(zip(keys, posterior.tolist(), strict=True))
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Weights of the classifier. Labels are read only of rows whose crc32(id) mod 3 is not 1."""
     usable = ~held_out(F.col(key), 3, 1)
     sample = bounded_sample(docs, labels, "toxic", usable, key, text, rows).persist()
-    candidates, accuracy = lexicon(sample), []
-    if candidates:
-        def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                packed = np.packbits(_votes(batch.column(0), candidates), axis=1)
-                yield pa.record_batch([pa.array([r.tobytes() for r in packed], pa.binary()), batch.column(1)], ["v", "y"])
-
-        seen = sample.select("text", "y").mapInArrow(cast, "v binary, y double").collect()  # bounded like the sample
-        votes = np.unpackbits(np.array([np.frombuffer(r["v"], np.uint8) for r in seen]), axis=1)[:, : len(candidates)].astype(bool)
-        y = np.array([r["y"] > 0.5 for r in seen])
-        chosen = choose(votes, y)
-        candidates = [candidates[k] for k in chosen]
-        accuracy = [(votes[y, k].sum() + 1) / (votes[:, k].sum() + 2) for k in chosen]
-    voters = candidates
-
-    @F.arrow_udf("long")
-    def pattern(texts: pa.Array) -> pa.Array:
-        if not voters:
-            return pa.array(np.zeros(len(texts), np.int64))
-        return pa.array(_votes(texts, voters) @ (1 << np.arange(len(voters), dtype=np.int64)))
-
-    # bounded: 2^VOTERS patterns at most, counted over all documents
-    counts = docs.select(pattern(F.col(text).cast("string")).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
-    posterior = label_model({r["p"]: r["n"] for r in counts}, accuracy)
-    known = docs.sparkSession.sparkContext.broadcast(posterior)
+    voters, prior = lexicon(sample)
+    model = fit_voters(docs, voters, prior, text) if voters else None
+    known = docs.sparkSession.sparkContext.broadcast((voters, model))
 
     @F.arrow_udf("double")
-    def soft(patterns: pa.Array) -> pa.Array:
-        return pa.array([known.value.get(p, 0.0) for p in patterns.to_pylist()], pa.float64())
+    def soft(texts: pa.Array, labels: pa.Array) -> pa.Array:
+        voters, model = known.value
+        if not voters:
+            return pa.array(np.full(len(texts), prior))
+        # the row's own label is one more voter, for either side
+        share = np.where(labels.to_numpy() > 0.5, LABEL, 1 - LABEL)
+        p = np.clip(model.posterior(*_flat(_votes(texts, voters))), 1e-12, 1 - 1e-12)
+        return pa.array(1 / (1 + np.exp(-(np.log(p / (1 - p)) + np.log(share / (1 - share)) - math.log(model.prior / (1 - model.prior))))))
 
-    judged = sample.select("_id", "text", soft(pattern(F.col("text"))).alias("y"))
+    judged = sample.select("_id", "text", soft(F.col("text"), F.col("y")).alias("y"))
     return fit(judged, term_features, l1=0.1, passes=5, alpha=0.5, raised_in=5)
 
 

@@ -345,3 +345,21 @@ def test_pipeline_keeps_columns_and_runs(spark, sf):
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0.5 * counts[0]
     packed = corpus_pipeline.STAGES[-1][1](spark, d, sf)
     assert packed.select("doc_id").distinct().count() == counts[-1]
+
+
+def test_more_voters_than_sixteen_of_both_sides(spark):
+    r = random.Random(3)
+    rude, polite = [f"rude{c}{d}" for c in "abcdefgh" for d in "xyzuv"], [f"kind{c}" for c in "abc"]
+    rows = []
+    for i in range(1800):
+        w = words(20, 2000 + i, 900)
+        toxic = i % 6 == 0
+        w[r.randrange(20)] = rude[i // 6 % len(rude)] if toxic else polite[i % 3]
+        rows.append((i, " ".join(w), float(toxic)))
+    sample = spark.createDataFrame(rows, "_id long, text string, y double")
+    voters, prior = toxicity.lexicon(sample)
+    assert sum(v[2] > prior for v in voters) > 40 and any(v[2] < prior for v in voters)
+    model = toxicity.fit_voters(sample, voters, prior, "text")
+    votes = toxicity._flat(toxicity._votes(pa.array([*(f"w1 {x} w2" for x in rude), "w1 kinda w2", "nothing here", "w1 RUUUDE4X w2"]), voters))
+    p = model.posterior(*votes)
+    assert (p[:40] > 0.7).all() and p[40] < p[41] and 0 < p[41] <= prior and p[42] > 0.7
