@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .evaluate import equity_curve, metrics
+
 #: Gate, metric column, test against a limit.
 GATES = (
     ("return", "total_return", ">", 0.0), ("sharpe", "sharpe", ">=", 0.30), ("drawdown", "max_drawdown", ">=", -0.35),
@@ -88,3 +90,35 @@ def benjamini_hochberg(tests: DataFrame, q: float, p: str = "p_value", key: str
     rows = tests.withColumn("_k", F.row_number().over(all_.orderBy(p, key))).withColumn("_m", F.count(F.lit(1)).over(all_))
     cut = F.max(F.when(F.col(p) <= q * F.col("_k") / F.col("_m"), F.col("_k"))).over(all_)
     return rows.withColumn("rejected", F.coalesce(F.col("_k") <= cut, F.lit(False))).drop("_k", "_m")
+
+
+#: The eight promotion gates over the columns of promotion_metrics.
+PROMOTION_GATES = (
+    ("return", "test_return", ">", 0.0), ("sharpe", "test_sharpe", ">=", 0.30), ("stability", "stability", ">=", 0.0), ("drawdown", "max_drawdown", ">=", -0.35),
+    ("turnover", "annual_turnover", "<=", 50.0), ("alpha", "alpha", ">", 0.0), ("beta", "abs_beta", "<=", 1.5), ("cost_stress", "stressed_return", ">", 0.0),
+)
+
+
+def promotion_metrics(returns: DataFrame, bps: float = 10.0, stress_bps: float = 15.0, key: str = "variant_id") -> DataFrame:
+    """What the promotion gates read of each variant's (timestamp, daily_return, turnover, benchmark_return), net of bps.
+
+    All distinct timestamps are cut at 60 and 80 % into train, val and test. Return, Sharpe, drawdown, alpha and beta are
+    those of test, turnover that of all rows; stability is the lesser Sharpe of val and test; under stress traded weight
+    costs stress_bps.
+    """
+    days = returns.select("timestamp").distinct()
+    n, place = F.count(F.lit(1)).over(Window.partitionBy()), F.row_number().over(Window.orderBy("timestamp"))
+    days = days.select("timestamp", place.alias("_k"), n.alias("_n"))  # a calendar table
+    one = F.least(F.greatest(F.floor(F.col("_n") * 0.6), F.lit(1)), F.col("_n") - 2)
+    two = F.least(F.greatest(F.floor(F.col("_n") * 0.8), one + 1), F.col("_n") - 1)
+    fold = F.when(F.col("_k") <= one, "train").when(F.col("_k") <= two, "val").otherwise("test")
+    rows = returns.join(F.broadcast(days.select("timestamp", fold.alias("fold"))), "timestamp")
+    m = metrics(equity_curve(rows, (key, "fold")), (key, "fold"))
+    of = lambda f, c: F.max(F.when(F.col("fold") == f, F.col(c)))
+    g = m.groupBy(key).agg(of("test", "total_return").alias("test_return"), of("test", "sharpe").alias("test_sharpe"), of("val", "sharpe").alias("_val"), of("test", "max_drawdown").alias("max_drawdown"), of("test", "alpha").alias("alpha"), F.abs(of("test", "beta")).alias("abs_beta"))
+    whole = metrics(equity_curve(returns, (key,)), (key,)).select(key, "annual_turnover")
+    extra = rows.where("fold = 'test'").withColumn("_s", F.col("daily_return") - F.col("turnover") * ((stress_bps - bps) / 1e4))
+    stressed = extra.groupBy(key).agg((F.exp(F.sum(F.log1p("_s"))) - 1).alias("stressed_return"))
+    # a missing fold makes the lesser Sharpe missing, which fails its gate
+    stability = F.when(F.col("_val").isNotNull() & F.col("test_sharpe").isNotNull(), F.least("_val", "test_sharpe"))
+    return g.withColumn("stability", stability).drop("_val").join(whole, key).join(stressed, key, "left")

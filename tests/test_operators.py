@@ -168,3 +168,15 @@ def test_rebalance_due_counts_every_session_once(spark, sf):
     assert "NestedLoop" not in due._jdf.queryExecution().toString()
     whole, cut = (QUERIES[n](spark, sf).agg(F.max("sessions_since")).first()[0] for n in ("j06_rebalance_due_all_sessions", "j06_rebalance_due"))
     assert whole > cut
+
+
+def test_eight_promotion_gates(spark, sf):
+    rows = []
+    for i in range(100):
+        b = 0.01 if i % 2 else -0.01
+        rows += [(1, day(i), 0.002 + 0.1 * b, 0.0, b), (2, day(i), 0.03 + 2 * b, 0.0, b), (3, day(i), 0.0003 + 0.1 * b, 1.0, b), (4, day(i), (0.002 if i >= 80 else -0.002) + 0.1 * b, 0.0, b), (5, day(i), -0.4 if i == 85 else 0.05, 0.0, b)]
+    r = spark.createDataFrame(rows, "variant_id int, timestamp date, daily_return double, turnover double, benchmark_return double")
+    got = {x.variant_id: x.failed for x in statistics.gates(statistics.promotion_metrics(r), statistics.PROMOTION_GATES).collect()}
+    # of 5, one fall of 0.45 with the benchmark up gives a beta of -0.45 * 0.01 / 20 / 0.0001 = -2.25
+    assert got == {1: [], 2: ["beta"], 3: ["turnover", "cost_stress"], 4: ["stability"], 5: ["drawdown", "beta"]}
+    assert QUERIES["h15_promotion_gates_all_eight"](spark, sf).count() == QUERIES["h15_promotion_gates"](spark, sf).count()
