@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -201,6 +202,41 @@ def test_html():
     assert html_extract.extract("<div>" * 3000 + "deep, text" + "</p>" * 10) == "deep, text"
 
 
+def test_html_names_and_hidden_parts():
+    long = "A paragraph of some length, with commas, and words, so that it is read as text of an article, not as a menu."
+    page = lambda inner, body="": f"<html><body {body}>{inner}</body></html>"
+    x = html_extract.extract
+    assert x(page(f"<article class='overflow-hidden'><p>{long}</p></article>", "class='overflow-hidden'")) == long
+    assert x(page(f"<article><p>{long}</p><div id='related-work'><h2>Related work</h2><p>More.</p></div><div class='related-posts'><p>Other posts</p></div></article>")) == f"{long}\nRelated work\nMore."
+    assert x(page(f"<div class='content with-sidebar'><article><p>{long}</p></article><div class='site-sidebar'><p>{long}</p></div></div>")) == long
+    assert x(page(f"<div class='sidebar'><article><p>{long}</p></article></div>")) == long
+    assert x(page(f"<form id=aspnet><article><p>{long}</p></article></form>")) == long
+    assert x(page(f"<form id=aspnet><div><p>{long}</p><p>{long}</p></div></form>")) == f"{long}\n{long}"
+    assert x(page(f"<main><article><p>Short one.</p></article><article><p>{long}</p><p>{long}</p></article><article class='card'><p><a href=x>only links</a></p></article></main>")).startswith(f"Short one.\n{long}")
+    assert x(page(f"<article><p>Short one.</p></article><article><p>{long}</p></article>")) == f"Short one.\n{long}"
+    assert x(page(f"<article><p>{long}</p><p hidden>no</p><p style='display: none'>no</p><div class='comment-list'><p>no</p></div></article>")) == long
+    assert x(page(f"<h1>Title</h1><p>Lead.</p><div class='text'><p>{long}</p><p>{long}</p></div><h2>End</h2><p>Bye.</p><p><a href=x>next</a></p>")) == f"Title\nLead.\n{long}\n{long}\nEnd\nBye."
+    assert x(page(f"<article><p title='a > b' data-x=\"<p>\">{long}</p></article>")) == long
+    assert x(page("<div class=menu><a href=x>a</a> <a href=y>b</a></div>")) == ""
+
+
+@pytest.mark.parametrize("part", ["<a ", "<p class='", '<a x="><b y=\'>', "<svg>", "<!--", "<!", "<div>", "</p>", "<b>", "</b", "<header>", "<li>", "<td><p>", "&amp", "<a b=c ", "<textarea></textarea "])
+def test_html_takes_time_in_proportion(part):
+    began = time.time()
+    html_extract.extract("<article><div><b>" + part * ((1 << 20) // len(part)))
+    assert time.time() - began < 20
+    if part == "<a ":
+        assert time.time() - began < 1
+
+
+def test_html_tables(spark):
+    schema = "page_id string, url string, html string, text string, n_chars int"
+    rows = [("a", None, None, "x", 1), ("b", "u", "", "x", 1), ("b", "u", "", "x", 1), (None, "u", "<p>Hi <b>you", "x", 1)]
+    got = sorted((tuple(r) for r in html_extract.extract_pages(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == sorted([("a", None, "", 0), ("b", "u", "", 0), ("b", "u", "", 0), (None, "u", "Hi you", 6)], key=str)
+    assert html_extract.extract_pages(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_html_of_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     for r in html_extract.extract_pages(pages).join(pages.select("page_id", "html"), "page_id").collect():
