@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 
@@ -54,13 +55,25 @@ class _Stretches(dict):
         return found
 
 
-class Encoder:
-    """Ids of a byte-level BPE vocabulary file as little-endian uint32 bytes.
+def _cuts_at_spaces(path: str) -> bool:
+    """Whether a vocabulary file is a byte-level BPE whose own pattern splits texts: no normalizer, no prefix space."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    split, model = parts.get("pre_tokenizer") or {}, parts.get("model") or {}
+    plain = not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding")
+    own = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    return plain and own and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+
 
-    A text is cut before every single space that stands between two characters that are not white space. The
-    pre-tokenizer's pattern always ends a token there (a space is taken only as the first character of a token, and
-    no token holds a space between two others), so encoding the stretches one by one gives the ids of the whole; a
-    text with other spacing, where that may fail, is encoded whole. Stretches are kept with their ids.
+class Encoder:
+    """Ids of a vocabulary file as little-endian uint32 bytes, as the library gives them for whole texts.
+
+    For a byte-level BPE with that pre-tokenizer's own pattern a text is cut before every single space that stands
+    between two characters that are not white space. The pattern always ends a token there (a space is taken only as
+    the first character of a token, and no token holds a space between two others), so encoding the stretches one by
+    one gives the ids of the whole; stretches are kept with their ids. A text with other spacing, one that holds the
+    name of an added token (which the library reads as that token), and every text of another kind of vocabulary is
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -68,10 +81,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.stretches = _Stretches(self.whole)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.stretches = _Stretches(self.whole) if _cuts_at_spaces(path) else None
 
     def encode(self, text: str) -> bytes:
+        if self.stretches is None or any(t in text for t in self.added):
+            return self._whole(text)
         first, *rest = text.split(" ")
         if rest and first and not first[-1].isspace():
             try:

@@ -1,6 +1,7 @@
 """Each text operator against brute force on small tables, with nulls, empty and long texts, repeats and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -27,7 +28,7 @@ def words(n, seed, vocabulary=400):
 @pytest.fixture(scope="module")
 def docs(spark):
     base = words(120, 1)
-    texts = [None, "", " \n\t", "one", "a b c", " ".join(base), " ".join(base), "X " + " ".join(base[1:]), " ".join(base[:60] + words(60, 2)), " ".join(words(30000, 3, 5000)), "é ü\u3000ß " * 30, "the same line\nthe same line\nother # $ line\n\n" * 8]
+    texts = [None, "", " \n\t", "one", "a b c", " ".join(base), " ".join(base), "X " + " ".join(base[1:]), " ".join(base[:60] + words(60, 2)), " ".join(words(30000, 3, 5000)), "é ü\u3000ß " * 30, "the same line\nthe same line\nother # $ line\n\n" * 8, "a <|endoftext|> b"]
     texts += [" ".join(base[:i] + ["zz"] + base[i + 1 :]) for i in (5, 50, 90)] + [" ".join(words(random.Random(i).randrange(4, 90), i)) for i in range(10, 40)]
     rows = [(i, t, "en", "s", 0, "x", 7) for i, t in enumerate(texts)] + [(6, texts[6], "en", "s", 0, "x", 7)]
     return spark.createDataFrame(rows, DOCS)
@@ -70,7 +71,8 @@ def test_quality_rules_is_free_of_python(docs):
 
 def test_packing(docs, none):
     got = packing.pack_documents(docs, capacity=256).collect()
-    ids = {i: tokens.encoder(tokens.default_tokenizer()).encode(t or "") + b"\0\0\0\0" for i, t in texts_of(docs)}
+    encode = library_ids()
+    ids = {i: encode(t or "") + b"\0\0\0\0" for i, t in texts_of(docs)}
     places = defaultdict(list)
     for r in got:
         assert zlib.crc32(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
@@ -104,12 +106,34 @@ def test_plan_places_every_document_once():
             assert at <= 64
 
 
+def library_ids(path=None):
+    """The library's own encoding of whole texts, by a tokenizer loaded afresh."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path or tokens.default_tokenizer())
+    return lambda t: np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_encoder_equals_the_library():
-    e = tokens.encoder(tokens.default_tokenizer())
+    e, ids = tokens.encoder(tokens.default_tokenizer()), library_ids()
+    assert np.frombuffer(e.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
     r = random.Random(1)
     for _ in range(3000):
-        t = "".join(r.choice(" \n\tab1!'.,é<|") for _ in range(r.randrange(14)))
-        assert e.encode(t) == np.array(e.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        t = "".join(r.choice([*" \n\tab1!'.,é<|", "<|endoftext|>", "word", "\u3000", "\x1c"]) for _ in range(r.randrange(14)))
+        assert e.encode(t) == ids(t)
+
+
+def test_other_vocabularies_are_encoded_whole():
+    folder = os.path.dirname(tokens.default_tokenizer())
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".json"):
+            try:
+                ids = library_ids(f"{folder}/{name}")
+            except Exception:  # noqa: BLE001, S112 - not a file of this library
+                continue
+            e = tokens.Encoder(f"{folder}/{name}")
+            for t in ("Two words, and  more.", "", " ß x1 don't\n\nstop", "a b c d é"):
+                assert e.encode(t) == ids(t)
 
 
 def test_fixity_finds_the_damage(spark):
@@ -261,9 +285,9 @@ def test_token_files(spark, docs, none, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     token_files.write_tokens(docs, path)
     got = sorted(tuple(r) for r in token_files.read_tokens(spark, path).collect())
-    e, at, want = tokens.encoder(tokens.default_tokenizer()), 0, []
+    encode, at, want = library_ids(), 0, []
     for i, t in sorted(texts_of(docs), key=lambda x: x[0]):
-        ids = e.encode(t or "") + b"\2\0\0\0"
+        ids = encode(t or "") + b"\2\0\0\0"
         want.append((i, at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     assert got == sorted(want)
