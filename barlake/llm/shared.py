@@ -49,6 +49,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -337,6 +337,19 @@ def test_jaccard_join_of_templates(spark, monkeypatch):
     assert sorted(tuple(x) for x in jaccard.similar_components(d).collect()) == linked(d)
 
 
+def test_jaccard_join_with_null_and_repeated_ids(spark):
+    a, b = words(40, 7), words(40, 8)
+    bridge = a[:-4] + ["q1", "q2", "q3", "q4"]
+    far = bridge[4:] + ["r1", "r2", "r3", "r4"]
+    rows = [(1, " ".join(a)), (2, " ".join(far)), (None, " ".join(bridge)), (5, " ".join(b)), (5, " ".join(a)), (5, " ".join(b)), (8, " ".join(b)), (None, ""), (None, None), (9, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit("m")).withColumn("_i", F.lit(1))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(d).collect())
+    assert got == Counter([(1, 36, 1), (2, 36, 1), (None, 36, 1), (5, 36, 1), (5, 36, 5), (5, 36, 5), (8, 36, 5), (None, 0, None), (None, 0, None), (9, 1, 9)])
+    kept = jaccard.drop_near_copies(d)
+    assert kept.columns == d.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, " ".join(a)), (5, " ".join(b)), (None, ""), (None, None), (9, "x")])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
