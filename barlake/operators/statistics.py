@@ -122,3 +122,42 @@ def promotion_metrics(returns: DataFrame, bps: float = 10.0, stress_bps: float =
     # a missing fold makes the lesser Sharpe missing, which fails its gate
     stability = F.when(F.col("_val").isNotNull() & F.col("test_sharpe").isNotNull(), F.least("_val", "test_sharpe"))
     return g.withColumn("stability", stability).drop("_val").join(whole, key).join(stressed, key, "left")
+
+
+_PRIME = 2147483647
+
+
+def bootstrap_index(sample: Column, draw: Column, n: Column) -> Column:
+    """A place from 0 to n - 1 for each draw of each sample, by whole-number arithmetic that every engine repeats."""
+    h = ((sample + 1) * 48271 + (draw + 1) * 69621) % _PRIME
+    g = h * h % _PRIME
+    return (g * g + 11 * h + 7) % _PRIME % n
+
+
+def session_bootstrap(returns: DataFrame, samples: int, value: str = "daily_return", key: str = "variant_id", time: str = "session") -> DataFrame:
+    """(key, sessions, p025, p50, p975, positive) of the sums of `samples` resamples of each stream's returns.
+
+    Each resample draws as many returns as the stream has, with replacement. Rows are samples times returns; sums are
+    made before the shuffle, and only the samples' sums are ordered.
+    """
+    by = Window.partitionBy(key)
+    rows = returns.select(key, F.col(value).alias("_v"), (F.row_number().over(by.orderBy(time)) - 1).cast("long").alias("_k"), F.count(F.lit(1)).over(by).alias("_n"))
+    draws = rows.select(key, F.col("_k").alias("_j"), "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("_b"))
+    draws = draws.select(key, "_b", bootstrap_index(F.col("_b"), F.col("_j"), F.col("_n")).alias("_k"))
+    sums = draws.join(rows.select(key, "_k", "_v"), [key, "_k"]).groupBy(key, "_b").agg(F.sum("_v").alias("_s"))
+    q = lambda p: F.percentile("_s", F.lit(p))
+    out = sums.groupBy(key).agg(q(0.025).alias("p025"), q(0.5).alias("p50"), q(0.975).alias("p975"), F.avg((F.col("_s") > 0).cast("double")).alias("positive"))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("sessions")).join(out, key)
+
+
+def promote_batch(metrics: DataFrame, q: float = 0.10, table: tuple = PROMOTION_GATES, sharpe: str = "test_sharpe", n: str = "test_n", key: str = "variant_id") -> DataFrame:
+    """metrics with p_value, failed and verdict (promote or reject): all gates, then false-discovery control over those that pass.
+
+    The control looks at passers only, as the p-values of the others would relax its limit; one that fails it gets the
+    reason fails_fdr.
+    """
+    judged = gates(metrics, table).withColumn("p_value", sharpe_pvalue(F.col(sharpe), F.col(n)))
+    passed = benjamini_hochberg(judged.where("verdict = 'pass'").select(key, "p_value"), q, key=key).select(key, F.col("rejected").alias("_kept"))
+    out = judged.join(passed, key, "left")
+    failed = F.when((F.col("verdict") == "pass") & ~F.col("_kept"), F.array(F.lit("fails_fdr"))).otherwise(F.col("failed"))
+    return out.withColumn("failed", failed).withColumn("verdict", F.when(F.coalesce("_kept", F.lit(False)), "promote").otherwise("reject")).drop("_kept")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -123,3 +123,58 @@ def overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     a, b = left.select(*keys).distinct().withColumn("_a", F.lit(1)), right.select(*keys).distinct().withColumn("_b", F.lit(1))
     g = a.join(b, keys, "full_outer").agg(F.count("_a").alias("n_left"), F.count("_b").alias("n_right"), F.count(F.col("_a") + F.col("_b")).alias("n_both"), F.count(F.lit(1)).alias("n_union"))
     return g.withColumn("jaccard", F.coalesce(F.try_divide("n_both", "n_union"), F.lit(0.0)))
+
+
+def panel_universe(bars: DataFrame, n: int, window: int = 63, min_price: float = 5.0, min_dollar: float = 2e7, benchmark: str = "SPY", causal: bool = True) -> DataFrame:
+    """(symbol, start, end) of the n most liquid names of each month, by the trailing median dollar volume of the panel.
+
+    A median needs window // 2 values of the last `window` timestamps. The rank is taken at a month's last session and holds
+    for the next month, or with causal=False for that month itself. Adjacent months are merged; the benchmark is none.
+    """
+    from barlake.sources.bars import densify
+
+    w = Window.partitionBy("symbol").orderBy("timestamp").rowsBetween(1 - window, 0)
+    dollar = F.col("close") * F.coalesce("volume", F.lit(0.0))
+    rows = densify(bars).withColumn("_d", dollar)
+    rows = rows.withColumn("liquidity", F.when(F.count("_d").over(w) >= window // 2, F.percentile("_d", F.lit(0.5)).over(w)))
+    rows = rows.join(month_ends(bars), "timestamp").where((F.col("close") >= min_price) & (F.col("liquidity") >= min_dollar) & (F.col("symbol") != benchmark))
+    order = Window.partitionBy("month").orderBy(F.col("liquidity").desc(), "symbol")
+    chosen = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n)
+    start = F.add_months("month", 1) if causal else F.col("month")
+    return merge_adjacent(chosen.select("symbol", start.cast("date").alias("start"), F.last_day(start).alias("end")))
+
+
+def seasoned(bars: DataFrame, cutoff, selections: DataFrame | None = None, parity: int | None = None) -> DataFrame:
+    """Symbols whose first bar is at the cutoff or before; with parity, those of even (0) or odd (1) best liquidity rank."""
+    out = bars.groupBy("symbol").agg(F.min("timestamp").alias("first")).where(F.col("first") <= F.lit(cutoff))
+    if parity is None:
+        return out
+    rank = selections.groupBy("symbol").agg(F.min("liquidity_rank").alias("best_rank"))
+    return out.join(rank, "symbol").where(F.col("best_rank") % 2 == parity)
+
+
+def snapshot(selections: DataFrame) -> DataFrame:
+    """The newest selection, by liquidity rank."""
+    newest = selections.agg(F.max("timestamp").alias("timestamp"))
+    return selections.join(newest, "timestamp", "left_semi").select("timestamp", "symbol", "liquidity_rank")
+
+
+def staleness(snapshots: DataFrame, as_of: Column, limit_days: int, key: str = "universe") -> DataFrame:
+    """Age in days of each universe's newest snapshot, and whether that is over the limit."""
+    g = snapshots.groupBy(key).agg(F.max("timestamp").alias("newest")).withColumn("age_days", F.datediff(as_of, "newest"))
+    return g.withColumn("stale", F.col("age_days") > limit_days)
+
+
+def union_bars(first: DataFrame, second: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """Both bar sets; of the second only names that are not excluded."""
+    kept = second if excluded is None else second.join(excluded.select("symbol").distinct(), "symbol", "left_anti")
+    return first.unionByName(kept.select(*first.columns))
+
+
+def match_actions(exits: DataFrame, actions: DataFrame, symbol_columns: list[str], days: int) -> DataFrame:
+    """exits (symbol, exit_date) with the corporate action nearest before or at their date, within `days` days, under any
+    of the actions' symbol columns; exits without one are kept with nulls."""
+    long_form = actions.select("action_id", "action_type", "action_date", F.explode(F.array_distinct(F.array(*symbol_columns))).alias("symbol")).where("symbol is not null")
+    near = exits.join(long_form, "symbol").where(F.datediff("exit_date", "action_date").between(0, days))
+    best = near.groupBy("symbol", "exit_date").agg(F.max_by(F.struct("action_id", "action_type", "action_date"), F.struct("action_date", "action_id")).alias("_a"))
+    return exits.join(best, ["symbol", "exit_date"], "left").select(*exits.columns, "_a.action_id", "_a.action_type", "_a.action_date")

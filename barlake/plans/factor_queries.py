@@ -49,6 +49,7 @@ FACTORS: dict[str, tuple[Callable[[], Column], str]] = {
     "c14_cs_percentile": (lambda: X.cs_percentile("close"), f"({_RANK}) / NULLIF(COUNT(close) {_X}, 0)"),
     "c15_cs_zscore": (lambda: X.cs_zscore("close"), f"(close - AVG(close) {_X}) / NULLIF(STDDEV_SAMP(close) {_X}, 0)"),
     "c16_cs_demean": (lambda: X.cs_demean("close"), f"close - AVG(close) {_X}"),
+    "c16_cs_demean_volume": (lambda: X.cs_demean("volume"), f"volume - AVG(volume) {_X}"),
     "c17_cs_neutralize": (lambda: X.cs_neutralize("r"), f"r - AVG(r) {_X}"),
     "c18_cs_winsor": (lambda: X.cs_winsor("r", 0.1), _WINSOR.format(p=0.1)),
     "c19_add": (lambda: X.add("open", "close"), "open + close"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,15 +24,17 @@ def read_csv_bars(spark: SparkSession, path: str, symbols: Iterable[str] | None
 def select_bars(bars: DataFrame, symbols: Iterable[str] | None = None, start: str | None = None, end: str | None = None, time: str = "timestamp") -> DataFrame:
     if symbols is not None:
         bars = bars.where(F.col("symbol").isin([s.upper() for s in symbols]))
+    kind = bars.schema[time].dataType
+    bound = lambda x: F.to_timestamp(F.lit(x if re.search(r"(Z|[+-]\d\d:?\d\d)$", x) and len(x) > 10 else x + (" 00:00:00Z" if len(x) <= 10 else "Z"))) if kind == T.TimestampType() and isinstance(x, str) else F.lit(x).cast(kind)
     if start is not None:
-        bars = bars.where(F.col(time) >= F.lit(start).cast(bars.schema[time].dataType))
+        bars = bars.where(F.col(time) >= bound(start))
     if end is not None:
-        bars = bars.where(F.col(time) <= F.lit(end).cast(bars.schema[time].dataType))
+        bars = bars.where(F.col(time) <= bound(end))
     return bars
 
 
 def conform(raw: DataFrame, order: str = "ingest_seq", time: str = "timestamp") -> DataFrame:
-    """Typed bars: symbols upper-cased, numbers coerced, rows without time, symbol or a positive open and close dropped.
+    """Typed bars: text times read as UTC, symbols upper-cased, numbers coerced, rows without time, symbol or a positive open and close dropped.
 
     Of several rows for a (time, symbol) the one ingested last stays.
     """
@@ -39,11 +42,19 @@ def conform(raw: DataFrame, order: str = "ingest_seq", time: str = "timestamp")
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     number = [F.expr(f"try_cast({c} as double)").alias(c) for c in BAR_COLUMNS[2:]]
-    rows = raw.select(F.col(time), F.upper("symbol").alias("symbol"), *number, order)
+    at = utc_time(time) if raw.schema[time].dataType == T.StringType() else F.col(time)
+    rows = raw.select(at.alias(time), F.upper("symbol").alias("symbol"), *number, order)
     rows = rows.where(F.col(time).isNotNull() & F.col("symbol").isNotNull() & (F.col("open") > 0) & (F.col("close") > 0))
     return latest(rows, [time, "symbol"], order).drop(order)
 
 
+def utc_time(text: str) -> Column:
+    """The moment that a text names; without an offset of its own it is UTC, unreadable is null."""
+    x = F.trim(F.col(text))
+    full = F.when(F.length(x) <= 10, F.concat(x, F.lit(" 00:00:00"))).otherwise(x)
+    return F.try_to_timestamp(F.when(full.rlike(r"(Z|[+-]\d\d:?\d\d)$"), full).otherwise(F.concat(full, F.lit("Z"))))
+
+
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key that comes last."""
     by = Window.partitionBy(*keys).orderBy(F.col(order).desc())

@@ -84,3 +84,66 @@ def fundamental_features(facts: DataFrame, names: dict[str, str]) -> DataFrame:
     out = wide.join(prior, ["symbol", "fy", "fp"], "left")
     growth = (F.col("revenue") - F.col("_before")) / F.greatest(F.abs("_before"), F.when(F.col("_before").isNotNull(), F.lit(1e-9)))
     return out.withColumn("return_on_assets", F.try_divide("income", F.abs("assets"))).withColumn("revenue_growth", growth).drop("_before")
+
+
+#: Forms that count, and the days that a reported period may last.
+QUARTERLY, ANNUAL = ("10-Q",), ("10-K", "20-F", "40-F")
+QUARTER_DAYS, YEAR_DAYS = (60, 120), (300, 430)
+
+
+def filing_features(points: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """(symbol, form, fy, fp, fiscal_period_end, available_at, seven ratios) of each filing, known from its filing date on.
+
+    points: (symbol, concept, val, fy, fp, form, filed, start, end, accn). Quarterly and annual forms count, with periods of the
+    usual length where a start is given. names: our name to theirs in order of preference; a company's first alias
+    with any point is used. A filing's later period wins. Ratios are over the size of assets, gross profit falls back to
+    revenue less its cost; growth is against the last filing of the year before with the same period that was out by then,
+    earnings growth is that of earnings a share or else of net income.
+    """
+    days = F.datediff("end", "start")
+    fits = lambda forms, span: F.col("form").isin(*forms) & (F.col("start").isNull() | days.between(*span))
+    aliases = [(ours, theirs, k) for ours, many in names.items() for k, theirs in enumerate(many)]
+    known = points.sparkSession.createDataFrame(aliases, "name string, concept string, rank int")
+    named = points.join(known, "concept")
+    best = Window.partitionBy("symbol", "name")
+    named = named.withColumn("_best", F.min("rank").over(best)).where(F.col("rank") == F.col("_best"))
+    usable = named.where((fits(QUARTERLY, QUARTER_DAYS) | fits(ANNUAL, YEAR_DAYS)) & F.col("filed").isNotNull() & F.col("end").isNotNull())
+    keys = ["symbol", "accn", "filed", "fy", "fp", "form", "end"]
+    wide = usable.groupBy(*keys).agg(*[F.max_by(F.when(F.col("name") == c, F.col("val")), F.when(F.col("name") == c, F.struct("start", "val"))).alias(c) for c in names])
+    last = Window.partitionBy("symbol", "filed", "fp", "fy").orderBy(F.col("end").desc(), "accn")
+    rows = wide.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
+    grown = ["shares", "revenue", "eps", "net_income"]
+    prior = rows.select("symbol", (F.col("fy") + 1).alias("fy"), "fp", F.col("filed").alias("_filed"), F.struct(*grown).alias("_p"))
+    near = rows.join(prior, ["symbol", "fy", "fp"]).where("_filed <= filed").groupBy("symbol", "filed", "fp", "fy").agg(F.max_by("_p", "_filed").alias("_p"))
+    rows = rows.join(near, ["symbol", "filed", "fp", "fy"], "left").withColumn("gross_profit", F.coalesce("gross_profit", F.col("revenue") - F.col("cost_of_revenue")))
+    over = lambda x: F.try_divide(x, F.abs("assets"))
+    growth = lambda c: (F.col(c) - F.col(f"_p.{c}")) / F.when(F.col(f"_p.{c}").isNotNull(), F.greatest(F.abs(f"_p.{c}"), F.lit(1e-9)))
+    return rows.select(
+        "symbol", "form", "fy", "fp", F.col("end").alias("fiscal_period_end"), F.col("filed").alias("available_at"),
+        over(F.col("gross_profit")).alias("gross_profitability"), over(F.col("operating_cash_flow")).alias("cash_profitability"),
+        over(F.col("net_income") - F.col("operating_cash_flow")).alias("accruals"), over(F.col("liabilities")).alias("leverage"),
+        growth("shares").alias("share_growth"), growth("revenue").alias("revenue_growth"), F.coalesce(growth("eps"), growth("net_income")).alias("earnings_growth"),
+    )
+
+
+#: Exchanges that count, and names of securities that are no common shares.
+EXCHANGES = ("NYSE", "NASDAQ", "AMEX")
+NO_SHARES = (
+    r"(?i)\b(ETF|ETN|EXCHANGE[- ]TRADED|FUND|PORTFOLIO|WARRANT|RIGHTS?|UNITS?|PREFERRED|PFD|DEPOSITARY|ADS|ADR|NOTES?|BONDS?|DEBENTURES?|"
+    r"BENEFICIAL INTEREST|INCOME SHARES|CONTRA)\b"
+)
+FUND_BRANDS = r"(?i)\b(SPDR|ISHARES|PROSHARES|DIREXION|VANGUARD|GLOBAL X|WISDOMTREE|INNOVATOR ETF|INVESCO ETF|FIRST TRUST ETF)\b"
+
+
+def classify_listing(symbol: str, name: str, exchange: str, exchanges: tuple[str, ...] = EXCHANGES) -> Column:
+    """The first rule that a listed asset breaks, or candidate: exchange, symbol, security type, trusts without shares."""
+    s, n = F.upper(F.trim(F.coalesce(symbol, F.lit("")))), F.trim(F.coalesce(name, F.lit("")))
+    return (
+        F.when(~F.coalesce(F.upper(exchange).isin(*exchanges), F.lit(False)), "exchange")
+        .when((F.length(s) == 0) | (F.length(s) > 6), "symbol_length")
+        .when(s.rlike("[0-9]"), "numeric_symbol")
+        .when(s.rlike(r"[/^\- ]") | s.rlike(r"\.(U|W|WS|R)$"), "security_suffix")
+        .when(n.rlike(NO_SHARES) | n.rlike(FUND_BRANDS), "security_type")
+        .when(F.contains(F.upper(n), F.lit(" TRUST")) & ~n.rlike("(?i)COMMON|ORDINARY|CLASS [ABC]"), "trust_without_common_shares")
+        .otherwise("candidate")
+    )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlake.functions import factors as X
-from barlake.operators import evaluate, intraday, lineage, orders, statistics, tables, universe, weights
+from barlake.operators import confirmed, evaluate, intraday, lineage, orders, portfolio, statistics, tables, universe, weights
 from barlake.plans.catalogue import QUERIES
 from barlake.sources import bars as B
 from barlake.sources import ingest
@@ -180,3 +180,65 @@ def test_eight_promotion_gates(spark, sf):
     # of 5, one fall of 0.45 with the benchmark up gives a beta of -0.45 * 0.01 / 20 / 0.0001 = -2.25
     assert got == {1: [], 2: ["beta"], 3: ["turnover", "cost_stress"], 4: ["stability"], 5: ["drawdown", "beta"]}
     assert QUERIES["h15_promotion_gates_all_eight"](spark, sf).count() == QUERIES["h15_promotion_gates"](spark, sf).count()
+
+
+def test_selection_without_correlated_names(spark):
+    """Against a plain walk: incumbents first, no two names above the limit, then filled without the test."""
+    d0, d1 = day(0), day(7)
+    rows = [(0, 0.5, d0, s, k + 1, g, True) for k, (s, g) in enumerate([("A", "x"), ("B", "x"), ("C", "y"), ("D", "y"), ("E", "z")])]
+    rows += [(0, 0.5, d1, s, k + 1, g, s != "D") for k, (s, g) in enumerate([("E", "z"), ("D", "y"), ("C", "y"), ("A", "x")])]
+    ranked = spark.createDataFrame(rows, "variant_id int, max_corr double, timestamp date, symbol string, rank int, sector string, usable boolean")
+    pairs = spark.createDataFrame([(d0, "A", "B", 0.9), (d0, "A", "C", 0.9), (d0, "D", "E", 0.2), (d1, "A", "E", 0.9), (d1, "C", "D", 0.1)], "timestamp date, a string, b string, corr double")
+    got = {(r.timestamp, r.symbol): r.place for r in portfolio.decorrelated_selection(ranked, pairs, 3, 3, 2).collect()}
+    assert {s for t, s in got if t == d0} == {"A", "D", "E"}  # B and C move with A
+    assert [s for (t, s), _ in sorted(got.items(), key=lambda x: x[1]) if t == d1] == ["E", "C"]  # D stays on but is not usable, A moves with E
+    again = spark.createDataFrame([(0, 0.5, d0, s, k + 1, "x", True) for k, s in enumerate("AB")], ranked.schema)
+    assert {r.symbol for r in portfolio.decorrelated_selection(again, pairs, 2, 2, 2).collect()} == {"A", "B"}
+
+
+def test_sleeve_trades_outside_of_its_band_only(spark):
+    rows = [(0, day(i), s, w, 0.0) for i, weights in enumerate([(0.5, 0.3), (0.5, 0.3), (0.52, 0.1), (0.9, 0.6)]) for s, w in zip("AB", weights, strict=True)]
+    t = spark.createDataFrame(rows, "variant_id int, timestamp date, symbol string, target_weight double, r double")
+    got = {(r.timestamp, r.symbol): round(r.target_weight, 6) for r in portfolio.sleeve(t, 1.0, 0.05, 1).collect()}
+    assert [got[day(i), "A"] for i in range(4)] == [0.5, 0.5, 0.5, 0.6] and [got[day(i), "B"] for i in range(4)] == [0.3, 0.3, 0.1, 0.4]
+    assert {round(r.target_weight, 6) for r in portfolio.sleeve(t, 0.4, 0.05, 4).where("symbol = 'A'").collect()} == {0.25}
+
+
+def test_pick_and_rotation(spark):
+    d = day(0)
+    ranked = [(0, d, dt.datetime(2024, 1, 1, 10, 15 * k), 600 + 15 * k, s, r, True) for k, order in enumerate([("A", "B", "C"), ("C", "B", "A"), ("C", "D", "B")]) for r, s in enumerate(order, 1)]
+    ranked += [(0, d, dt.datetime(2024, 1, 1, 15, 45), 945, "A", 1, True)]
+    rows = spark.createDataFrame(ranked, "variant_id int, session date, timestamp timestamp, clock int, symbol string, rank int, market_up boolean")
+    got = {}
+    for r in confirmed.rotating_selection(rows, 2, 2, 1, 600, 930, 945, 0.4).collect():
+        got.setdefault(r.timestamp.minute if r.timestamp.hour == 10 else "flat", set()).add(r.symbol)
+    assert got == {0: {"A", "B"}, 15: {"B", "C"}, 30: {"C", "D"}}
+
+
+def test_closed_forms_of_session_flat_and_drift(spark):
+    b = spark.createDataFrame([("A", day(0), dt.datetime(2024, 1, 1, 10, k), float(o), float(c)) for k, (o, c) in enumerate([(100, 101), (102, 103), (104, 106)])], "symbol string, session date, timestamp timestamp, open double, close double")
+    t = spark.createDataFrame([(dt.datetime(2024, 1, 1, 10, k), "A", w) for k, w in enumerate([0.5, 0.5, 0.5])], "timestamp timestamp, symbol string, target_weight double")
+    got = {r.timestamp.minute: r.bar_return for r in portfolio.session_flat_returns(b, t, 0.0).collect()}
+    assert got[0] == 0 and got[1] == pytest.approx(0.5 * (104 / 102 - 1)) and got[2] == pytest.approx(0.5 * (106 / 104 - 1))
+    panel = spark.createDataFrame([(day(k), s, float(o)) for s, os_ in (("A", (1, 1, 2, 4)), ("B", (1, 1, 1, 1))) for k, o in enumerate(os_)], "timestamp date, symbol string, open double")
+    w = spark.createDataFrame([(day(0), s, 0.5) for s in "AB"], "timestamp date, symbol string, target_weight double")
+    drift = [r.daily_return for r in portfolio.drift_returns(panel, w, 4, 0.0).orderBy("timestamp").collect()]
+    assert drift[:2] == [pytest.approx(0.5), pytest.approx(2.5 / 1.5 - 1)]
+
+
+def test_text_times_are_utc(spark):
+    raw = spark.createDataFrame([("2024-01-02T09:30:00-05:00", "a", "1", "1", "1", "1", "1"), ("2024-01-02 14:30:00", "b", "1", "1", "1", "1", "1"), ("2024-01-03", "c", "1", "1", "1", "1", "1"), ("no", "d", "1", "1", "1", "1", "1")], "timestamp string, symbol string, open string, high string, low string, close string, volume string")
+    rows = B.conform(raw.withColumn("ingest_seq", F.lit(0)))
+    got = {r.symbol: r.t for r in rows.select("symbol", F.unix_timestamp("timestamp").alias("t")).collect()}
+    assert got == {"A": 1704205800, "B": 1704205800, "C": 1704240000}
+    assert B.select_bars(rows, start="2024-01-02T14:30:00Z", end="2024-01-02 15:00:00").count() == 2
+
+
+def test_legal_states_and_promotion(spark):
+    events = [("a", 1, "validated_oos", None), ("a", 2, "shadow", None), ("a", 3, "paper", None), ("a", 4, "paper", True), ("b", 1, "shadow", None), ("b", 2, "rejected", None), ("b", 3, "shadow", True)]
+    e = spark.createDataFrame(events, "candidate string, seen_at int, state string, manual boolean")
+    assert {(r.candidate, r.seen_at) for r in lineage.audit_transitions(e, order=("seen_at",)).collect()} == {("a", 3), ("b", 1), ("b", 3)}
+    assert {r.candidate: r.state for r in lineage.legal_state(e, order=("seen_at",)).collect()} == {"a": "paper", "b": "rejected"}
+    m = spark.createDataFrame([(1, 0.1, 2.0, 2000), (2, 0.1, 0.4, 50), (3, -0.1, 3.0, 2000)], "variant_id int, test_return double, test_sharpe double, test_n int")
+    got = {r.variant_id: (r.verdict, r.failed) for r in statistics.promote_batch(m, 0.05, (("return", "test_return", ">", 0.0),)).collect()}
+    assert got == {1: ("promote", []), 2: ("reject", ["fails_fdr"]), 3: ("reject", ["return"])}
