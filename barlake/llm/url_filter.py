@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
+from .shared import materialize
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values of the contract: rule text (host, then path) and its verdict.
@@ -18,8 +21,8 @@ LISTED_SUFFIXES = ("example.com", "example.net", "example.org")
 
 HASHES = 5
 BITS_PER_KEY = 12
-#: Bytes of a level, which goes to every task as a constant. Lists that need more are matched by a join instead.
-MAX_LEVEL_BYTES = 1 << 20
+#: Bytes of a cascade's first level at most. Longer lists are dealt by hash to several cascades, applied one by one.
+LEVEL_BYTES = 16 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -48,17 +51,18 @@ def domains_of(host: Column) -> Column:
     return F.when(host != "", upper).otherwise(F.array().cast("array<string>"))
 
 
-def _positions(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.shiftrightunsigned(F.xxhash64(key, F.lit(level), F.lit(k)), 1) % bits for k in range(HASHES)]
+def _group(key: Column, groups: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("group")), F.lit(groups))
 
 
 @dataclass
 class BloomCascade:
     """Levels alternate: level 0 encodes the listed keys, level 1 the other keys of the universe that pass level 0,
     level 2 the listed keys that pass level 1, and so on until nothing passes wrongly. Exact for keys of the universe.
+    A level is a literal of 12 / 7 bytes to 24 / 7 bytes a key.
     """
 
-    levels: list[tuple[int, list[int]]] = field(default_factory=list)
+    levels: list[tuple[int, bytes]] = field(default_factory=list)
 
     @classmethod
     def fit(cls, listed: DataFrame, universe: DataFrame) -> BloomCascade:
@@ -70,27 +74,14 @@ class BloomCascade:
             n = wrong.count()
             if not n:
                 return out
-            bits = max(64, 1 << (BITS_PER_KEY * n - 1).bit_length())
-            if bits // 8 > MAX_LEVEL_BYTES:
-                raise OverflowError(f"level {level} needs {bits // 8} bytes")
-            at = wrong.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("p"))
-            word = F.shiftright("p", 6)
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
-            words = [0] * (bits // 64)
-            for w, value in at.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("v")).toLocalIterator():
-                words[w] = value
-            out.levels.append((bits, words))
+            bits = bloom.size_for(n, BITS_PER_KEY, 1 << 62)
+            out.levels.append((bits, bloom.build(wrong.select("key"), level, bits, HASHES)))
             passed = other.where(out._passes(F.col("key"), level))
             wrong, other = passed, wrong
 
     def _passes(self, key: Column, level: int) -> Column:
-        bits, words = self.levels[level]
-        table = F.lit(words) if len(words) > 1 else F.array(F.lit(words[0]).cast("long"))
-        ok = F.lit(True)
-        for p in _positions(key, level, bits):
-            word = F.get(table.cast("array<long>"), F.shiftright(p, 6).cast("int"))
-            ok = ok & (F.call_function("shiftright", word, (p % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
-        return ok
+        bits, held = self.levels[level]
+        return bloom.holds(held, key, level, bits, HASHES)
 
     def listed(self, key: Column) -> Column:
         """True for listed keys, false for all others of the universe."""
@@ -100,6 +91,10 @@ class BloomCascade:
         return out
 
 
+def _within(cascade: BloomCascade, groups: int, k: int):
+    return lambda key: (_group(key, groups) == k) & cascade.listed(key)
+
+
 def default_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"{n}.{s}",) for n in LISTED_NAMES for s in LISTED_SUFFIXES], "key string")
 
@@ -110,19 +105,24 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, key: str = "page_id
     The longest rule that fits decides. Otherwise a url is blocked when its host or a domain above it is listed, by
     the cascade over every domain that occurs in pages. Null urls and urls without :// have an empty host and path,
     fit no rule and are allowed. Repeated rows each give their row; an empty table gives none; other columns are not
-    read. An empty list blocks nothing.
+    read. An empty list blocks nothing. A list of any length is met by cascades and never by a join: what one of
+    LEVEL_BYTES does not hold is dealt by hash to more, and the narrow rows pass them one after the other.
     """
     base = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     listed = (default_list(pages.sparkSession) if listed is None else listed).select("key").where("key is not null").distinct()
-    hosts = base.select("host").distinct()
-    universe = hosts.select(F.explode(domains_of(F.col("host"))).alias("key")).distinct()
-    listed, universe = listed.join(universe, "key", "left_semi").persist(), universe.persist()
+    domains = domains_of(F.col("host"))
+    universe = materialize(base.select("host").distinct().select(F.explode(domains).alias("key")).distinct(), "domains")
+    listed = materialize(listed.join(universe, "key", "left_semi"), "listed")
+    groups = -(-2 * BITS_PER_KEY * listed.count() // (8 * LEVEL_BYTES)) or 1
+    out, hit = base, F.lit(False)
+    for k in range(groups):
+        own = _group(F.col("key"), groups) == k
+        cascade = BloomCascade.fit(listed.where(own), universe.where(own))
+        now = F.exists(domains, _within(cascade, groups, k))
+        if k + 1 < groups:
+            out = materialize(out.withColumn("_hit", hit | now), "hits")
+            hit = F.col("_hit")
+        else:
+            hit = hit | now
     rule, says = first_rule(F.col("host"), F.col("path"))
-    try:
-        hit = F.exists(domains_of(F.col("host")), BloomCascade.fit(listed, universe).listed)
-    except OverflowError:
-        under = hosts.select("host", F.explode(domains_of(F.col("host"))).alias("key")).join(listed, "key", "left_semi")
-        base = base.join(under.select("host", F.lit(True).alias("_hit")).distinct(), "host", "left")
-        out = base.withColumns({"rule": rule, "verdict": F.coalesce(says, F.when(F.col("_hit"), "block").otherwise("allow"))})
-        return out.select("page_id", "host", "path", "rule", "verdict")
-    return base.select("*", rule.alias("rule"), F.coalesce(says, F.when(hit, "block").otherwise("allow")).alias("verdict"))
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, F.when(hit, "block").otherwise("allow")).alias("verdict"))
