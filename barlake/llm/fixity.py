@@ -1,105 +1,181 @@
 """Merkle fixity audit of WARC archives.
 
-Records are hashed, and the hashes of ordered ranges of records into a tree: a leaf for each record key, a node for
-FANOUT neighbouring leaves and so on up to one root for each archive. Two replicas are compared root by root; only
-below roots that differ are their children compared, and so on down, which ends at the damaged records and their
-offset ranges. What is compared shrinks by the fan-out at each step, and no tree is gathered anywhere: a node is an
-aggregate over at most FANOUT rows.
+Archives are WARC files that Spark writes; an index is what reading them gives: each record's place, offset, length and
+SHA-256. The tree of a file hashes ranges of FANOUT consecutive records with their offsets, then FANOUT neighbouring
+nodes and so on up to its root. Two replicas are compared root by root; only below roots that differ are their children
+compared, and so on down, which ends at the records of damaged offset ranges. What is compared shrinks by the fan-out
+at each step where the damage is local, and no tree is gathered anywhere: a node is an aggregate over at most FANOUT
+rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import materialize, shared_dir
 
 FANOUT = 16
-#: Keys for each archive file: FANOUT ^ LEVELS.
-LEVELS = 3
-PER_ARCHIVE = FANOUT**LEVELS
+#: Levels above the ranges of records; FANOUT ^ (LEVELS + 1) keys make an archive.
+LEVELS = 2
+PER_ARCHIVE = FANOUT ** (LEVELS + 1)
+#: Bytes of a file; an archive of more bytes, or of more records than keys, is dealt to several volumes.
+VOLUME_BYTES = 256 << 20
 _EOL = "\r\n"
+_HEAD = re.compile(rb"WARC/1\.1\r\n(?:[^\r]*\r\n)*?WARC-Record-ID: <urn:page:(-?\d*)>\r\n(?:[^\r]*\r\n)*?Content-Length: (\d+)\r\n\r\n")
 
 
 def warc_record(key: Column, url: Column, body: Column) -> Column:
-    """A WARC/1.1 resource record as text; its length in bytes is that of its UTF-8 form."""
+    """A WARC/1.1 resource record as text, but for its last line end; Content-Length counts bytes of its UTF-8 form."""
     body = F.coalesce(body, F.lit(""))
     size = F.octet_length(body).cast("string")
     return F.concat(
         F.lit(f"WARC/1.1{_EOL}WARC-Type: resource{_EOL}WARC-Record-ID: <urn:page:"), F.coalesce(key.cast("string"), F.lit("")),
-        F.lit(f">{_EOL}WARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit(f"{_EOL}Content-Type: text/html; charset=utf-8{_EOL}Content-Length: "),
-        size, F.lit(_EOL + _EOL), body, F.lit(_EOL + _EOL),
+        F.lit(f">{_EOL}WARC-Target-URI: "), F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", ""),
+        F.lit(f"{_EOL}Content-Type: text/html; charset=utf-8{_EOL}Content-Length: "), size, F.lit(_EOL + _EOL), body, F.lit(_EOL),
     )
 
 
-def archive_index(pages: DataFrame, key: str = "page_id", url: str = "url", content: str = "html") -> DataFrame:
-    """(archive, key, offset, length, sha256) of each record: archives hold PER_ARCHIVE consecutive keys, in key order.
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", content: str = "html") -> None:
+    """Write each row as a record of a gzipped WARC file under path/archive=N/volume=V.
 
-    Records of one key follow each other by their hash. Null keys are archive -1. Null urls and contents are empty.
+    An archive holds PER_ARCHIVE consecutive keys in key order, null keys are archive -1. Where keys are repeated (or
+    null) or texts are long, an archive has more than PER_ARCHIVE records or VOLUME_BYTES bytes; it is then dealt by
+    hash to as many volumes as that takes, each in key order. Records of one key follow each other by their hash. Null
+    urls and contents are empty, line ends in urls are left out. An empty table writes nothing.
     """
     record = warc_record(F.col(key), F.col(url).cast("string"), F.col(content).cast("string"))
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("sha256"))
-    rows = rows.select(F.coalesce(F.floor(F.col("key") / PER_ARCHIVE), F.lit(-1)).cast("long").alias("archive"), "*")
-    before = Window.partitionBy("archive").orderBy("key", "sha256").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("archive", "key", (F.sum("length").over(before) - F.col("length")).alias("offset"), "length", "sha256")
+    number = F.coalesce(F.floor(F.col(key).cast("long") / PER_ARCHIVE), F.lit(-1)).cast("long")
+    rows = pages.select(number.alias("archive"), F.col(key).cast("long").alias("key"), record.alias("record"), F.monotonically_increasing_id().alias("row"))
+    share = F.greatest(F.count(F.lit(1)) / PER_ARCHIVE, F.sum(F.octet_length("record")) / VOLUME_BYTES)
+    volumes = rows.groupBy("archive").agg(F.ceil(share).cast("int").alias("volumes")).where("volumes > 1")
+    # few archives have several volumes; dealt by the row's place in its input, as equal records have equal hashes, so
+    # that a repeated task deals them alike
+    dealt = rows.join(materialize(volumes, "volumes"), "archive", "left").withColumn("volume", F.coalesce(F.pmod(F.xxhash64("row"), F.col("volumes")), F.lit(0)).cast("int"))
+    order = ["archive", "volume", "key", F.xxhash64("record")]
+    dealt.repartition("archive", "volume").sortWithinPartitions(*order).select("archive", "volume", "record").write.partitionBy("archive", "volume").option("lineSep", _EOL).option("compression", "gzip").text(path)
+
+
+def records_of(data: bytes) -> Iterator[tuple[int | None, int, int, str]]:
+    """(key, offset, length, SHA-256) of each record of a WARC file."""
+    at = 0
+    while at < len(data):
+        m = _HEAD.match(data, at)
+        end = m.end() + int(m[2]) + 4 if m else 0
+        if not m or data[end - 4 : end] != b"\r\n\r\n":
+            raise ValueError(f"no WARC record at offset {at}")
+        yield int(m[1]) if m[1] else None, at, end - at, hashlib.sha256(memoryview(data)[at:end]).hexdigest()
+        at = end
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, volume, nth, key, offset, length, sha256) of each record of the files under path, read whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, volume, content in zip(*(batch.column(k) for k in range(3)), strict=True):
+                rows = list(records_of(zlib.decompress(content.as_buffer(), 31)))
+                n = len(rows)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if n else [pa.array([], t) for t in kinds]
+                fixed = [pa.array([archive.as_py()] * n, pa.int64()), pa.array([volume.as_py()] * n, pa.int32()), pa.array(range(n), pa.int64())]
+                yield pa.record_batch([*fixed, *own], ["archive", "volume", "nth", "key", "offset", "length", "sha256"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path)
+    part = lambda name: F.regexp_extract("path", rf"/{name}=(-?\d+)/", 1)
+    named = files.select(part("archive").cast("long").alias("archive"), part("volume").cast("int").alias("volume"), "content")
+    return named.mapInArrow(run, "archive long, volume int, nth long, key long, offset long, length long, sha256 string")
+
+
+def archive_index(pages: DataFrame, key: str = "page_id", url: str = "url", content: str = "html") -> DataFrame:
+    """The index of the archives of pages, which are written to the shared folder and read back."""
+    spark = pages.sparkSession
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(pages, path, key, url, content)
+    return materialize(read_index(spark, path), "index")
+
+
+def _hash_of(children: str, shown) -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*children.split()))), shown), ","), 256)
 
 
 def leaves(index: DataFrame) -> DataFrame:
-    """(archive, node, hash): level 0, a leaf for each key over its records' hashes and lengths in order."""
-    node = F.coalesce(F.pmod("key", F.lit(PER_ARCHIVE)), F.lit(0))
-    parts = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "sha256", "length"))), ",")
-    return index.groupBy("archive", node.alias("node")).agg(F.sha2(parts, 256).alias("hash"))
+    """(archive, volume, node, hash): level 0, a node for FANOUT consecutive records with their offsets."""
+    shown = lambda c: F.concat_ws(":", c["offset"].cast("string"), c["length"].cast("string"), c["sha256"])
+    node = F.floor(F.col("nth") / FANOUT).cast("long")
+    return index.groupBy("archive", "volume", node.alias("node")).agg(_hash_of("nth offset length sha256", shown).alias("hash"))
 
 
 def parents(level: DataFrame) -> DataFrame:
     """The level above: hashes of FANOUT neighbouring nodes, in order and with their places."""
-    children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: F.concat_ws(":", c["node"], c["hash"])), ",")
-    return level.groupBy("archive", F.floor(F.col("node") / FANOUT).cast("long").alias("node")).agg(F.sha2(children, 256).alias("hash"))
+    shown = lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"])
+    return level.groupBy("archive", "volume", F.floor(F.col("node") / FANOUT).cast("long").alias("node")).agg(_hash_of("node hash", shown).alias("hash"))
 
 
 def tree(index: DataFrame) -> list[DataFrame]:
     """Levels from the leaves to the roots."""
-    levels = [materialize(leaves(index.repartition("archive")), "leaves")]
+    levels = [materialize(leaves(index), "leaves")]
     for _ in range(LEVELS):
         levels.append(parents(levels[-1]))
     return levels
 
 
-def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
+def audit(primary: DataFrame, replica: DataFrame, moved: bool = False) -> DataFrame:
     """Records of two archive indexes that differ: (key, archive, offset, length, primary_sha256, replica_sha256, status).
 
-    status is changed, missing (not in the replica) or extra (not in the primary, with the replica's offset). Equal
-    replicas, and two empty ones, give no rows. Repeated records count as often as they occur. A changed record of a
-    repeated key is reported as one missing and one extra.
+    status is changed, missing (not in the replica) or extra (not in the primary, with the replica's offset), and where
+    asked for moved (the same record of the same archive at another offset, such as after one that changed its length). Equal replicas,
+    and two empty ones, give no rows. Repeated records count as often as they occur. A changed record of a repeated key
+    is reported as one missing and one extra.
     """
     ours, theirs = tree(primary), tree(replica)
+    node = ["archive", "volume", "node"]
     open_: DataFrame | None = None
     for depth in range(LEVELS, -1, -1):
         a, b = ours[depth], theirs[depth]
         if open_ is not None:
-            above = [F.col("archive"), F.floor(F.col("node") / FANOUT).cast("long").alias("up")]
-            a, b = (x.withColumn("up", above[1]).join(open_.withColumnRenamed("node", "up"), ["archive", "up"], "left_semi").drop("up") for x in (a, b))
-        both = a.withColumnRenamed("hash", "x").join(b.withColumnRenamed("hash", "y"), ["archive", "node"], "full_outer")
-        open_ = materialize(both.where("not x <=> y").select("archive", "node"), "branches")
-    at = [F.col("archive"), F.coalesce(F.pmod("key", F.lit(PER_ARCHIVE)), F.lit(0)).alias("node")]
-    nth = Window.partitionBy("archive", "key", "sha256").orderBy("offset")
-    sides = []
-    for index in (primary, replica):
-        below = index.withColumn("node", at[1]).join(open_, ["archive", "node"], "left_semi").drop("node")
-        sides.append(below.withColumn("nth", F.row_number().over(nth)))
-    left, right = sides
-    mark = lambda side, other: side.join(other.select("archive", "key", "sha256", "nth"), (side.key.eqNullSafe(other.key)) & (side.archive == other.archive) & (side.sha256 == other.sha256) & (side.nth == other.nth), "left_anti")
-    gone, new = mark(left, right), mark(right, left)
-    count = lambda d, name: d.groupBy("archive", "key").agg(F.count(F.lit(1)).alias(name))
-    pairs = count(gone, "g").join(count(new, "n"), ["archive", "key"]).where("g = 1 and n = 1").select("archive", "key")
-    changed = pairs.join(gone.drop("nth"), ["archive", "key"]).join(new.select("archive", "key", F.col("sha256").alias("other")), ["archive", "key"])
-    shape = lambda d, p, r, status: d.select("key", "archive", "offset", "length", p.alias("primary_sha256"), r.alias("replica_sha256"), F.lit(status).alias("status"))
+            up = open_.withColumnRenamed("node", "up")
+            a, b = (x.withColumn("up", F.floor(F.col("node") / FANOUT).cast("long")).join(up, ["archive", "volume", "up"], "left_semi").drop("up") for x in (a, b))
+        both = a.withColumnRenamed("hash", "x").join(b.withColumnRenamed("hash", "y"), node, "full_outer")
+        open_ = materialize(both.where("not x <=> y").select(*node), "branches")
+    below = [x.withColumn("node", F.floor(F.col("nth") / FANOUT).cast("long")).join(open_, node, "left_semi").drop("node", "nth") for x in (primary, replica)]
+    # how often a record occurs on each side; a null key is one like any other
+    record = ["archive", "none", "key", "sha256"]
+    shown = ["archive", "volume", F.col("key").isNull().alias("none"), F.coalesce("key", F.lit(0)).alias("key"), "offset", "length", "sha256"]
+    left, right = (x.select(*shown) for x in below)
+    times = left.groupBy(*record).agg(F.count(F.lit(1)).alias("l")).join(right.groupBy(*record).agg(F.count(F.lit(1)).alias("r")), record, "full_outer").na.fill(0, ["l", "r"])
+    times = materialize(times, "times")
+
+    def excess(side: DataFrame, own: str, other: str) -> DataFrame:
+        whole = side.join(times.where(f"{other} = 0").select(*record), record, "left_semi").select(*side.columns)
+        some = side.join(times.where(f"{other} > 0 and {own} > {other}").select(*record, other), record)
+        nth = F.row_number().over(Window.partitionBy(*record).orderBy(F.col("volume").desc(), F.col("offset").desc()))
+        return whole.union(some.withColumn("_nth", nth).where(F.col("_nth") > F.col(other)).select(*side.columns))
+
+    gone, new = materialize(excess(left, "l", "r"), "gone"), materialize(excess(right, "r", "l"), "new")
+    own_key = ["archive", "none", "key"]
+    count = lambda d, name: d.groupBy(*own_key).agg(F.count(F.lit(1)).alias(name))
+    pairs = count(gone, "g").join(count(new, "n"), own_key).where("g = 1 and n = 1").select(*own_key)
+    changed = pairs.join(gone, own_key).join(new.select(*own_key, F.col("sha256").alias("other")), own_key)
+    place = ["archive", "volume", "offset", "none", "key", "sha256"]
     none = F.lit(None).cast("string")
+    key = F.when(~F.col("none"), F.col("key")).alias("key")
+    shape = lambda d, p, r, status: d.select(key, "archive", "offset", "length", p.alias("primary_sha256"), r.alias("replica_sha256"), F.lit(status).alias("status"))
     out = shape(changed, F.col("sha256"), F.col("other"), "changed")
-    match = lambda d: (d.archive == pairs.archive) & d.key.eqNullSafe(pairs.key)
-    out = out.union(shape(gone.join(pairs, match(gone), "left_anti"), F.col("sha256"), none, "missing"))
-    return out.union(shape(new.join(pairs, match(new), "left_anti"), none, F.col("sha256"), "extra"))
+    out = out.union(shape(gone.join(pairs, own_key, "left_anti"), F.col("sha256"), none, "missing"))
+    out = out.union(shape(new.join(pairs, own_key, "left_anti"), none, F.col("sha256"), "extra"))
+    if moved:
+        same = left.join(right.select(*place), place, "left_anti").join(gone.select(*place), place, "left_anti")
+        out = out.union(shape(same, F.col("sha256"), F.col("sha256"), "moved"))
+    return out
 
 
 def damaged_replica(pages: DataFrame, key: str = "page_id", content: str = "html") -> DataFrame:

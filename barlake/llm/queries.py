@@ -20,7 +20,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits the archives made of all pages against a replica with known damage."""
+    """Audits WARC archives written of all pages against a replica with known damage."""
     pages = load(spark, sf_dir, "pages")
     found = fixity.audit(fixity.archive_index(pages), fixity.archive_index(fixity.damaged_replica(pages)))
     return found.withColumnRenamed("key", "page_id")

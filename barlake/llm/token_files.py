@@ -165,7 +165,11 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
 
 
 def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document of a token file."""
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document of a token file.
+
+    Null keys are documents without a name and come first, repeated keys give a row each; a file of no documents gives
+    no rows.
+    """
     segments = spark.read.schema(SEGMENTS).parquet(path)
     # bounded: one row for each range of keys
     totals = {r["part"]: r["n"] for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
