@@ -1,4 +1,4 @@
-"""Benchmark decontamination by one Aho-Corasick automaton over normalised test items."""
+"""Benchmark decontamination by one Aho-Corasick automaton over the words of normalised test items."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from .textops import buffers
 
 WINDOW = 10
-#: Bytes of window texts in one automaton (some 100 times as much memory at most). Larger benchmarks are dealt to
-#: several automata, each of which scans the text once; the windows that fit in one are the usual case.
+#: Bytes of normalised items in one automaton, which takes about 100 times that. A benchmark is one automaton; only
+#: what is beyond this goes into a next one, which takes the first one's place for another look at the same batch.
 AUTOMATON_BYTES = 4 << 20
+#: Bytes of normalised items at most; they pass through the driver and are sent to every worker as they are.
+BENCHMARK_BYTES = 256 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: ASCII bytes other than 0-9, A-Z and a-z end a word; bytes of other characters belong to words.
@@ -26,118 +28,135 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def windows_of(text: str | None, n: int = WINDOW) -> list[str]:
-    """The n-word windows of an item, or all its words as one window if they are fewer; each framed by spaces."""
-    words = [w.decode() for w in words_of((text or "").encode())]
-    if not words:
-        return []
-    return [" " + " ".join(words[i : i + n]) + " " for i in range(max(1, len(words) - n + 1))]
-
-
 class Automaton:
-    """Windows of one part of the benchmark with the items that hold each."""
+    """The windows of some items over an alphabet of words: a symbol for each word of the items, one for all others.
+
+    A window is n consecutive words of an item, or all its words if they are fewer. What is found is counted in words,
+    so a place in the scanned symbols is the number of the word in the text.
+    """
 
-    def __init__(self, items: dict[str, tuple[int, set[str]]]):
-        self.items = items
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int):
+        self.symbols: dict[bytes, str] = {}
         self.machine = ahocorasick.Automaton()
-        for window, (n_words, ids) in items.items():
-            self.machine.add_word(window, (len(window), n_words, ids))
-        if items:
+        held: dict[str, set[str]] = {}
+        for item, text in items:
+            words = text.split()
+            line = "".join([self.symbols.setdefault(w, chr(1 + len(self.symbols) + (0x800 if len(self.symbols) >= 0xD7FF else 0))) for w in words])
+            for i in range(max(1, len(line) - n + 1)):
+                names = held.setdefault(line[i : i + n], set())
+                if item is not None:
+                    names.add(item)
+        for window, names in held.items():
+            self.machine.add_word(window, (len(window), tuple(names)))
+        if held:
             self.machine.make_automaton()
+        self.empty = not held
 
-    def scan(self, text: str) -> Iterator[tuple[int, int, int, set[str]]]:
-        """(first character, character after the last, words, items) of each occurrence, framing spaces included."""
-        if self.items:
-            for end, (size, n_words, ids) in self.machine.iter(text):
-                yield end + 1 - size, end + 1, n_words, ids
+    def scan(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """(first word, words, items) of each occurrence."""
+        if not self.empty:
+            known = self.symbols.get
+            for end, (size, names) in self.machine.iter("".join([known(w, "\0") for w in words])):
+                yield end + 1 - size, size, names
 
 
-def build(benchmark: DataFrame, item: str = "item_id", text: str = "text", n: int = WINDOW) -> list[list[tuple[str, int, str]]]:
-    """Window rows (window, words, item) in parts of at most AUTOMATON_BYTES.
+def build(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[list[tuple[str | None, bytes]]]:
+    """(item, normalised text) of the items with words, in parts of at most AUTOMATON_BYTES (one longer item is a part).
 
-    The benchmark is read in one stream; it is the small side by nature, and its size is what the parts bound.
+    Equal rows count once. Items of null id are kept without a name. A benchmark is the small side by nature; one of
+    more than BENCHMARK_BYTES is refused (its parts can be scanned for one after the other).
     """
-    parts: list[list[tuple[str, int, str]]] = [[]]
-    size = 0
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
+    parts: list[list[tuple[str | None, bytes]]] = [[]]
+    size = total = 0
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
     for row in rows.toLocalIterator():
-        for window in windows_of(row["text"], n):
-            if size > AUTOMATON_BYTES:
-                parts.append([])
-                size = 0
-            parts[-1].append((window, window.count(" ") - 1, row["item"]))
-            size += len(window)
+        normal = b" ".join(words_of(row["text"].encode()))
+        if not normal:
+            continue
+        total += len(normal)
+        if total > BENCHMARK_BYTES:
+            raise ValueError(f"a benchmark of more than {BENCHMARK_BYTES} bytes")
+        if size and size + len(normal) > AUTOMATON_BYTES:
+            parts.append([])
+            size = 0
+        parts[-1].append((row["item"], normal))
+        size += len(normal)
     return parts
 
 
-def _automaton(part: list[tuple[str, int, str]]) -> Automaton:
-    items: dict[str, tuple[int, set[str]]] = {}
-    for window, n_words, item in part:
-        items.setdefault(window, (n_words, set()))[1].add(item)
-    return Automaton(items)
+class Scanner:
+    """Scans batches with the automata of all parts, of which one at a time is in memory."""
 
+    def __init__(self, parts: list[list[tuple[str | None, bytes]]], n: int):
+        self.parts, self.n = parts, n
+        self.only = Automaton(parts[0], n) if len(parts) == 1 else None
 
-def spans_in(text: bytes, automata: list[Automaton]) -> tuple[int, np.ndarray, set[str], list[tuple[int, int]]]:
-    """Words of a text, which are hit, the items found, and the hit stretches as byte offsets of the original text.
+    def scan(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, set[str]]]:
+        """Of each normalised text the number of words, which of them are hit, and the items found."""
+        found: list[tuple[np.ndarray, set[str]] | None] = [None] * len(texts)
+        count = [0] * len(texts)
+        for part in self.parts:
+            machine = self.only or Automaton(part, self.n)
+            for k, text in enumerate(texts):
+                words = text.split()
+                count[k] = len(words)
+                for begin, size, names in machine.scan(words):
+                    if found[k] is None:
+                        found[k] = (np.zeros(len(words) + 1, np.int32), set())
+                    change, items = found[k]
+                    change[begin] += 1
+                    change[begin + size] -= 1
+                    items.update(names)
+        return [(n, np.cumsum(f[0][:-1]) > 0 if f else np.zeros(0, bool), f[1] if f else set()) for n, f in zip(count, found, strict=True)]
+
+
+def spans_in(normal: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
+    """The hit stretches as byte offsets of the original text.
 
     Normalising keeps one byte for one byte, so an offset there is an offset in the original.
     """
-    normal = text.translate(_NORMAL)
-    words = normal.split()
-    if not words:
-        return 0, np.zeros(0, bool), set(), []
-    joined = (b" " + b" ".join(words) + b" ").decode()
-    hits: list[tuple[int, int]] = []
-    found: set[str] = set()
-    for a in automata:
-        for begin, _, n_words, ids in a.scan(joined):
-            hits.append((begin, n_words))
-            found |= ids
-    hit = np.zeros(len(words), bool)
-    if not hits:
-        return len(words), hit, found, []
-    # word number of a window = spaces before its first word
-    gaps = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)
-    change = np.zeros(len(words) + 1, np.int32)
-    at = np.searchsorted(gaps, [h[0] for h in hits])
-    np.add.at(change, at, 1)
-    np.add.at(change, at + np.array([h[1] for h in hits]), -1)
-    hit = np.cumsum(change[:-1]) > 0
-    raw = np.frombuffer(normal, np.uint8) != 32
-    inside = raw & ~np.isin(np.frombuffer(normal, np.uint8), [9, 10, 11, 12, 13])
+    if not hit.any():
+        return []
+    inside = ~np.isin(np.frombuffer(normal, np.uint8), [9, 10, 11, 12, 13, 32])
     starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
     ends = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-    return len(words), hit, found, [(int(starts[a]), int(ends[b - 1])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    return [(int(starts[a]), int(ends[b - 1])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+def _normal(texts: pa.Array) -> list[bytes]:
+    data, offsets = buffers(texts)
+    raw = data.tobytes().translate(_NORMAL)
+    return [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", n: int = WINDOW) -> DataFrame:
     """Per row of docs: (doc_id, n_words, n_hit, items array<string>, spans array<struct<start, end>>).
 
     A document word is hit when it lies inside an occurrence of a window of any item; spans are the maximal stretches
-    of hit words as byte offsets of the UTF-8 text. Null and empty texts have no words. Items that are null, or whose
-    text is null or has no words, have no windows; items with equal windows are all named. With no items nothing is
-    hit. Repeated rows each give their row, other columns are not read, and memory follows the longest single text.
+    of hit words as byte offsets of the UTF-8 text. Null and empty texts have no words. Items whose text is null or has
+    no words have no windows; an item of null id has windows but no name, so it hits words and is not among the items;
+    items with equal windows are all named. With no items nothing is hit. Repeated rows each give their row, other
+    columns are not read, and memory follows the longest batch of texts.
     """
-    parts = build(benchmark, n=n)
+    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark))
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
     schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [_automaton(p) for p in shared.value]
+        scanner = Scanner(shared.value, n)
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            raw = data.tobytes()
-            rows = [spans_in(raw[a:b], automata) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            normal = _normal(batch.column(1))
+            rows = scanner.scan(normal)
+            spans = [spans_in(x, hit) for x, (_, hit, _) in zip(normal, rows, strict=True)]
             yield pa.record_batch(
                 [
                     batch.column(0),
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([int(r[1].sum()) for r in rows], pa.int64()),
                     pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
-                    pa.array([[{"start": a, "end": b} for a, b in r[3]] for r in rows], span_type),
+                    pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], span_type),
                 ],
                 ["doc_id", "n_words", "n_hit", "items", "spans"],
             )
@@ -156,17 +175,16 @@ def report(found: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", n: int = WINDOW) -> DataFrame:
     """docs without the rows whose own text holds a window of the benchmark; all columns kept, in one pass.
 
-    The verdict is made row by row beside the row itself, so null and repeated keys are no matter.
+    The verdict is made row by row beside the row itself, so null and repeated keys are no matter. A row without words
+    stays; with no items all rows stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, n=n))
+    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [_automaton(p) for p in shared.value]
+        scanner = Scanner(shared.value, n)
         for batch in batches:
-            data, offsets = buffers(batch.column(at))
-            raw = data.tobytes()
-            clean = [not spans_in(raw[a:b], automata)[1].any() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            clean = [not hit.any() for _, hit, _ in scanner.scan(_normal(batch.column(at)))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
