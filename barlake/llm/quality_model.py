@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
+from .shared import unused
 
 #: Labelled rows that a classifier is fitted on, at most: those with the least hash of their id.
 SAMPLE_ROWS = 6000
@@ -79,6 +80,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, fit_on: DataFrame | None = None, text: str = "text", key: str = "doc_id", threshold: float = 0.3, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs without rows scored below the threshold, all columns kept; fitted on labelled rows of fit_on or docs."""
+    """docs without rows scored below the threshold, all columns kept; fitted on labelled rows of fit_on or docs.
+
+    Null and empty texts are scored by the bias alone, and without usable labels (every score is 0.5) all rows stay. Rows of
+    equal text go or stay together, whatever their keys, null keys included. A score at the threshold stays.
+    """
     train = bounded_sample(docs if fit_on is None else fit_on, labels, "quality", ~held_out(F.col(key), 5, 0), key, text, rows)
-    return docs.withColumn("_score", scorer(docs, fit(train), text)).where(F.col("_score") >= threshold).drop("_score")
+    name = unused(docs, "_score")
+    return docs.withColumn(name, scorer(docs, fit(train), text)).where(F.col(name) >= threshold).drop(name)

@@ -3,14 +3,14 @@
 1. Voters. Words, word beginnings, spellings (small letters, figures read as letters, stretched letters once) and four
    patterns (stretched letters, letters mixed with figures, repeated words, capitals) that go with toxic or with clean
    labels in the training rows, once or twice and more, become voters: all of them whose damped odds ratio is
-   clear of RATIO. A voter speaks for its side or is silent.
+   clear of a ratio. A voter speaks for its side or is silent.
 2. Label model. All documents vote; a document's votes are a sparse list. Rounds of expectation maximisation in Spark
    sum for each voter how often it is right when it speaks, and for each pair of one side how far it agrees beyond that
    (its correlation); the sums grow with the voters, not with the documents. Correlated voters share their weight. A
    document for which no voter speaks is at a level of its own: the one with which the posteriors of all documents have the
    share of toxic rows on average.
-3. Classifier. A linear model over hashed words, beginnings, spellings and patterns is fitted to the posteriors of a
-   bounded sample, in which a row's own label votes too, and scores every text.
+3. Classifier. A linear model over hashed words, beginnings, spellings and patterns is fitted to the posteriors of
+   bounded samples of labelled rows, in which a row's own label votes too, and of unlabelled ones, and scores every text.
 """
 
 from __future__ import annotations
@@ -20,17 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
 from .linear import BITS, _tokens
 from .quality_model import SAMPLE_ROWS, bounded_sample, fit, held_out, scorer
-from .shared import materialize
+from .shared import materialize, unused
 from .textops import _BYTE_VALUE, _IS_SPACE, _LOWER, SLICE_BYTES, _powers, buffers, mix64
 
-#: A voter's odds ratio, less one standard deviation, is this at least, for one side or the other.
-RATIO = 10
+#: What was chosen on splits inside the training rows. ratio: a voter's odds ratio, less one standard deviation, is this
+#: at least, for one side or the other; unlabelled: rows without a label for each labelled row the classifier learns from.
+SETTINGS = {"ratio": 10, "l1": 0.1, "passes": 5, "alpha": 0.5, "raised_in": 5, "unlabelled": 1.0}
 #: Rounds of expectation maximisation over all documents at most, and the weight of the labelled rows in them.
 ROUNDS, DAMP = 8, 20
 #: Share of labels that are right.
@@ -161,11 +162,11 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(term.view(np.int64)), *map(pa.array, counts)], ["term", "t1", "c1", "t2", "c2"])
 
 
-def lexicon(sample: DataFrame) -> tuple[list[tuple[int, int, float]], float]:
+def lexicon(sample: DataFrame, ratio: float = SETTINGS["ratio"]) -> tuple[list[tuple[int, int, float]], float]:
     """((term code, times, damped share of toxic rows where it is said) of all voters, share of toxic rows).
 
     A voter's log odds ratio of being said in toxic and in clean rows, damped by half a row in each cell and
-    less its standard deviation, is ln(RATIO) away from 0 at least. Terms are those of a bounded sample, and so are the voters.
+    less its standard deviation, is ln(ratio) away from 0 at least. Terms are those of a bounded sample, and so are the voters.
     """
     counts = sample.select("_id", "text", "y").mapInArrow(_term_counts, "term long, t1 long, c1 long, t2 long, c2 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("t1", "c1", "t2", "c2")])
     size = sample.groupBy().agg(F.sum(F.expr("cast(y > 0.5 as long)")).alias("t"), F.count(F.lit(1)).alias("n")).first()
@@ -176,7 +177,7 @@ def lexicon(sample: DataFrame) -> tuple[list[tuple[int, int, float]], float]:
     both = counts.select("term", F.explode(F.array(*[F.struct(F.lit(k).alias("times"), F.col(f"t{k}").alias("t"), F.col(f"c{k}").alias("c")) for k in (1, 2)])).alias("x")).select("term", "x.*").where("t + c > 0")
     odds = F.expr(f"ln((t + 0.5) / ({toxic} - t + 0.5)) - ln((c + 0.5) / ({clean} - c + 0.5))")
     spread = F.expr(f"sqrt(1 / (t + 0.5) + 1 / ({toxic} - t + 0.5) + 1 / (c + 0.5) + 1 / ({clean} - c + 0.5))")
-    found = both.where(F.abs(odds) > spread + math.log(RATIO)).select("term", "times", F.expr(f"(t + 2 * {prior}D) / (t + c + 2)").alias("share")).orderBy("term", "times")
+    found = both.where(F.abs(odds) > spread + math.log(ratio)).select("term", "times", F.expr(f"(t + 2 * {prior}D) / (t + c + 2)").alias("share")).orderBy("term", "times")
     return [(r["term"], r["times"], r["share"]) for r in found.collect()], prior
 
 
@@ -338,33 +339,50 @@ def fit_voters(docs: DataFrame, voters: list[tuple[int, int, float]], prior: flo
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights of the classifier. Labels are read only of rows whose crc32(id) mod 3 is not 1."""
-    usable = ~held_out(F.col(key), 3, 1)
-    sample = bounded_sample(docs, labels, "toxic", usable, key, text, rows).persist()
-    voters, prior = lexicon(sample)
-    model = fit_voters(docs, voters, prior, text) if voters else None
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, key: str, text: str, rows: int) -> DataFrame:
+    """(_id, text, y null) of at most `rows` rows without a label: those with the least hash of their id."""
+    own = docs.where(usable & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"))
+    known = labels.where("toxic is not null").select(F.col(key).cast("long").alias("_id"))
+    chosen = own.join(known, "_id", "left_anti").distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    texts = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_id", "text", F.lit(None).cast("double").alias("y"))
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS, usable: Column | None = None, settings: dict | None = None) -> np.ndarray:
+    """Weights of the classifier. Labels are read only of rows whose crc32(id) mod 3 is not 1, or of those `usable`.
+
+    The classifier learns the posteriors of at most `rows` labelled rows, in which a row's own label votes too, and of
+    as many rows without a label.
+    """
+    settings = SETTINGS | (settings or {})
+    usable = ~held_out(F.col(key), 3, 1) if usable is None else usable
+    sample = materialize(bounded_sample(docs, labels, "toxic", usable, key, text, rows), "labelled")
+    voters, prior = lexicon(sample, settings["ratio"])
+    if not voters:
+        return fit(sample.select("_id", "text", F.lit(prior).alias("y")), term_features, l1=settings["l1"], passes=settings["passes"], alpha=settings["alpha"], raised_in=settings["raised_in"])
+    model = fit_voters(docs, voters, prior, text)
     known = docs.sparkSession.sparkContext.broadcast((voters, model))
 
     @F.arrow_udf("double")
     def soft(texts: pa.Array, labels: pa.Array) -> pa.Array:
         voters, model = known.value
-        if not voters:
-            return pa.array(np.full(len(texts), prior))
-        # the row's own label is one more voter, for either side
-        share = np.where(labels.to_numpy() > 0.5, LABEL, 1 - LABEL)
+        y = labels.to_numpy(zero_copy_only=False)
+        # the row's own label is one more voter, for either side; without one there is none
+        own = np.where(np.isnan(y), model.prior, np.where(y > 0.5, LABEL, 1 - LABEL))
         p = np.clip(model.posterior(*_flat(_votes(texts, voters))), 1e-12, 1 - 1e-12)
-        return pa.array(1 / (1 + np.exp(-(np.log(p / (1 - p)) + np.log(share / (1 - share)) - math.log(model.prior / (1 - model.prior))))))
+        return pa.array(1 / (1 + np.exp(-(np.log(p / (1 - p)) + np.log(own / (1 - own)) - math.log(model.prior / (1 - model.prior))))))
 
-    judged = sample.select("_id", "text", soft(F.col("text"), F.col("y")).alias("y"))
-    return fit(judged, term_features, l1=0.1, passes=5, alpha=0.5, raised_in=5)
+    more = unlabelled_sample(docs, labels, usable, key, text, int(rows * settings["unlabelled"]))
+    judged = sample.select("_id", "text", "y").union(more).select("_id", "text", soft(F.col("text"), F.col("y")).alias("y"))
+    return fit(judged, term_features, l1=settings["l1"], passes=settings["passes"], alpha=settings["alpha"], raised_in=settings["raised_in"])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.7, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs; score is the probability that a text is toxic.
 
     A null or empty text is scored by the bias alone. Without usable labels there are no voters and nothing is toxic.
-    Repeated rows each give their row; other columns are not read.
+    An empty table gives no rows. Repeated rows each give their row, equal texts have equal scores, a score at the
+    threshold is toxic; other columns are not read. Conflicting labels of one id count as 1.
     """
     score = scorer(docs, train(docs, labels, text, key, rows), text, term_score)
     out = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key).cast("long"), 3, 1).alias("held_out"), score.alias("score"))
@@ -372,6 +390,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.7, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs without the rows that score at least the threshold, all columns kept."""
-    weights = train(docs, labels, text, key, rows)
-    return docs.withColumn("_score", scorer(docs, weights, text, term_score)).where(F.col("_score") < threshold).drop("_score")
+    """docs without the rows that score at least the threshold, all columns kept.
+
+    Null and empty texts are scored by the bias alone, and without usable labels nothing goes. Rows of equal text go or
+    stay together, whatever their keys, null keys included.
+    """
+    weights, name = train(docs, labels, text, key, rows), unused(docs, "_score")
+    return docs.withColumn(name, scorer(docs, weights, text, term_score)).where(F.col(name) < threshold).drop(name)

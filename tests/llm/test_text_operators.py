@@ -1,6 +1,8 @@
 """Each text operator against brute force on small tables, with nulls, empty and long texts, repeats and extra columns."""
 
+import gzip
 import hashlib
+import math
 import os
 import random
 import re
@@ -88,22 +90,42 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
-def test_plan_places_every_document_once():
-    for seed in range(40):
-        r = random.Random(seed)
-        counts = Counter(r.randint(1, r.choice([5, 64, 64])) for _ in range(r.randint(0, 200)))
-        fill, seen = defaultdict(list), Counter()
-        for length, _, n, first, offset in packing.plan(counts, 64):
-            seen[length] += n
+def test_plan_places_every_document_once(spark):
+    """Rounds on stripes and a last step over what they leave, as the tasks run them; then the same through Spark."""
+
+    def check(rows, counts, capacity, stride):
+        fill, seen = defaultdict(list), defaultdict(list)
+        for length, first, n, sequence, offset in rows:
+            seen[length] += range(first, first + n)
             for k in range(n):
-                fill[first + k].append((offset, length))
-        assert seen == counts
+                fill[sequence + k * stride].append((offset, length))
+        assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(n)) for k, n in counts.items()}
         for p in fill.values():
             at = 0
             for offset, length in sorted(p):
                 assert offset == at
                 at += length
-            assert at <= 64
+            assert at <= capacity
+        return len(fill)
+
+    for seed in range(40):
+        r = random.Random(seed)
+        counts = Counter(r.randint(1, r.choice([5, 64, 64])) for _ in range(r.randint(0, 200)))
+        rows, docs, gaps = [], defaultdict(list), defaultdict(list)
+        for part in range(3):
+            own = {k: [(n * part // 3, n * (part + 1) // 3 - n * part // 3)] for k, n in counts.items() if n * (part + 1) // 3 > n * part // 3}
+            placed, left, free = packing.settle(own, {}, 64, part, 4, False)
+            rows += placed
+            for total, some in ((docs, left), (gaps, free)):
+                for k, runs in some.items():
+                    total[k] += runs
+        placed, left, _ = packing.settle(dict(docs), dict(gaps), 64, 3, 4, True)
+        assert not left
+        check(rows + placed, counts, 64, 4)
+    r = random.Random(1)
+    counts = Counter(min(64, int(r.expovariate(0.1)) + 1) for _ in range(20000))
+    got = [tuple(x) for x in packing.plan(spark.createDataFrame(list(counts.items()), "length int, n long"), 64).collect()]
+    assert check(got, counts, 64, packing.PARTS + 1) == -(-sum(k * n for k, n in counts.items()) // 64)
 
 
 def library_ids(path=None):
@@ -148,6 +170,31 @@ def test_fixity_finds_the_damage(spark):
     assert fixity.audit(empty, empty).count() == 0
 
 
+def test_archives_are_warc_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixity, "VOLUME_BYTES", 2000)
+    rows = [(1, "http://a/\r\nb", "x\r\n\r\ny é"), (None, None, None), (None, "u", "WARC/1.1\r\n")] + [(5, "u", "same")] * 40
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("archive", F.lit(1)).withColumn("volume", F.lit(1))
+    fixity.write_archives(pages, str(tmp_path / "w"))
+    files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").rglob("*.gz")]
+    assert len(files) > 2 and all(f.startswith(b"WARC/1.1\r\n") and f.endswith(b"\r\n\r\n") for f in files)
+    assert "WARC-Target-URI: http://a/b\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 9\r\n\r\nx\r\n\r\ny é\r\n\r\n".encode() in b"".join(files)
+    index = fixity.read_index(spark, str(tmp_path / "w")).collect()
+    assert Counter(r.key for r in index) == Counter(r[0] for r in rows) and max(r.volume for r in index) > 0
+    with pytest.raises(ValueError):
+        list(fixity.records_of(files[0][:-1]))
+
+
+def test_fixity_sees_offsets(spark):
+    rows = [(0, v, k, k, 10 * k, 10, f"s{k}") for v in range(2) for k in range(300)]
+    schema = "archive long, volume int, nth long, key long, offset long, length long, sha256 string"
+    index = spark.createDataFrame(rows, schema)
+    moved = index.withColumn("offset", F.when(F.col("nth") == 77, 0).otherwise(F.col("offset")))
+    assert {(r.key, r.status) for r in fixity.audit(index, moved, True).collect()} == {(77, "moved")}
+    less = index.where("not (volume = 1 and nth = 5)")
+    assert {(r.key, r.status, r.offset) for r in fixity.audit(index, less).collect()} == {(5, "missing", 50)}
+    assert fixity.audit(index, index, True).count() == 0
+
+
 def test_offsets_are_gapless(spark, sf):
     rows = fixity.archive_index(spark.read.parquet(f"{sf}/pages.parquet")).orderBy("key").collect()
     at = 0
@@ -175,17 +222,27 @@ def test_cascade_is_exact_for_its_universe(spark, monkeypatch):
     assert wrong.count() == 0
 
 
-def test_long_list_falls_back_to_a_join(spark, monkeypatch):
-    pages = spark.createDataFrame([(1, "http://a.bad.com/"), (2, "http://good.com/")], "page_id long, url string")
-    monkeypatch.setattr(url_filter, "MAX_LEVEL_BYTES", 1)
-    listed = spark.createDataFrame([("bad.com",)], "key string")
-    assert {r.page_id: r.verdict for r in url_filter.judge(pages, listed).collect()} == {1: "block", 2: "allow"}
+def test_long_lists_are_dealt_to_several_cascades(spark, monkeypatch):
+    hosts = [f"h{i % 900}.bad{i % 700}.com" for i in range(1500)]
+    rows = [(i, f"http://{h}/x", "e", "v") for i, h in enumerate(hosts)] + [(7, "http://h7.bad7.com/x", "e", "v"), (None, None, "e", "v")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, _hit string")
+    listed = spark.createDataFrame([(f"bad{i}.com",) for i in range(0, 700, 3)] + [("h10.bad10.com",), (None,), ("bad3.com",), ("not.there",)], "key string")
+    monkeypatch.setattr(url_filter, "LEVEL_BYTES", 200)
+    got = url_filter.judge(pages, listed)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and "Python" not in got._jdf.queryExecution().toString()
+    got = got.collect()
+    assert len(got) == len(rows) and Counter(r.page_id for r in got)[7] == 2
+    for r in got:
+        i = r.page_id
+        assert r.verdict == ("block" if i is not None and (i % 700 % 3 == 0 or hosts[i] == "h10.bad10.com") else "allow")
+    assert url_filter.judge(pages.limit(0), listed).count() == 0
+    assert url_filter.judge(pages, listed.limit(0)).where("verdict = 'block'").count() == 0
 
 
 def test_decontamination(spark, docs, none, monkeypatch):
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     base = words(120, 1)
-    items = [(1, "W" + " ".join(base[20:45])[1:]), (2, "a,b;C"), (3, None), (4, "..."), (10, "a b c"), (5, " ".join(words(25, 99)))]
+    items = [(1, "W" + " ".join(base[20:45])[1:]), (2, "a,b;C"), (3, None), (4, "..."), (10, "a b c"), (5, " ".join(words(25, 99))), (None, " ".join(words(30000, 3, 5000)[200:215])), (3, "a,b;C"), (3, "a,b;C")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = []
     for i, t in texts_of(docs):
@@ -197,7 +254,7 @@ def test_decontamination(spark, docs, none, monkeypatch):
                 for k in range(len(w) - len(win) + 1):
                     if w[k : k + len(win)] == win:
                         hit |= set(range(k, k + len(win)))
-                        found.add(str(item))
+                        found |= {str(item)} if item is not None else set()
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     for size in (1 << 22, 60):
         monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", size)
@@ -210,9 +267,23 @@ def test_decontamination(spark, docs, none, monkeypatch):
 
 
 def test_spans_are_offsets_of_the_original():
-    a = decontaminate._automaton([(w, w.count(" ") - 1, "1") for w in decontaminate.windows_of("one two three")])
     text = "é, ONE--Two\x00three! four".encode()
-    assert [text[x:y] for x, y in decontaminate.spans_in(text, [a])[3]] == [b"ONE--Two\x00three"]
+    normal = text.translate(decontaminate._NORMAL)
+    n, hit, items = decontaminate.Scanner([[("1", b"one two three")]], 10).scan([normal])[0]
+    assert (n, items) == (5, {"1"}) and [text[x:y] for x, y in decontaminate.spans_in(normal, hit)] == [b"ONE--Two\x00three"]
+
+
+def test_large_benchmark_is_refused(docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 10)
+    with pytest.raises(ValueError):
+        decontaminate.build(docs, "doc_id")
+
+
+def test_many_words_have_symbols():
+    words_ = [f"v{i}".encode() for i in range(70000)]
+    a = decontaminate.Automaton([("x", b" ".join(words_))], 10)
+    assert len(set(a.symbols.values())) == 70000
+    assert [f[0] for f in a.scan([b"v65000", *words_[55290:55302], b"no"])] == [1, 2, 3]
 
 
 def test_html():
@@ -436,3 +507,104 @@ def test_more_voters_than_sixteen_of_both_sides(spark):
     votes = toxicity._flat(toxicity._votes(pa.array([*(f"w1 {x} w2" for x in rude), "w1 kinda w2", "nothing here", "w1 RUUUDE4X w2"]), voters))
     p = model.posterior(*votes)
     assert (p[:40] > 0.7).all() and p[40] < p[41] and 0 < p[41] <= prior and p[42] > 0.7
+
+
+def plain_ftrl(rows, passes, alpha, beta, l1, l2):
+    """Follow-the-regularised-leader as published, one coordinate at a time; coordinate 0 is the bias and has no l1."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        limit = 0.0 if i == 0 else l1
+        return 0.0 if abs(z[i]) <= limit else -(z[i] - (limit if z[i] > 0 else -limit)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for k in range(passes):
+        for r in np.random.default_rng(k).permutation(len(rows)):
+            index, value, label = rows[r]
+            x = {0: 1.0, **{int(i) + 1: float(v) for i, v in zip(index, value, strict=True)}}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_equals_the_plain_form():
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(50, 6, replace=False)).astype(np.int32), rng.random(6).astype(np.float32), float(rng.integers(2))) for _ in range(60)]
+    got = linear.Ftrl(alpha=0.3, l1=0.2).fit(rows, 2).weights()
+    want = plain_ftrl(rows, 2, 0.3, 1.0, 0.2, 0.1)
+    assert np.abs(got[: len(want)] - [want.get(i, 0.0) for i in range(len(want))]).max() < 1e-6 and (got[60:] == 0).all()
+
+
+def test_scores_are_sparse_dot_products():
+    texts = pa.array(["a b c a b", None, "", "Z!! z!! z", "a b c a b"])
+    weights = np.random.default_rng(2).normal(size=(1 << linear.BITS) + 1).astype(np.float32)
+    want = [1 / (1 + math.exp(-(float(weights[0]) + sum(float(weights[i + 1]) * float(v) for i, v in zip(index, value, strict=True))))) for index, value in linear.feature_rows(texts)]
+    got = linear.score(texts, weights)
+    assert np.abs(got - want).max() < 1e-4 and got[0] == got[4] and got[1] == got[2]
+
+
+def test_label_model_equals_plain_expectation_maximisation():
+    """Two voters of one side and one of the other, over rows with their counts; every sum written out."""
+    rows = [((0,), 30), ((1,), 25), ((0, 1), 20), ((2,), 60), ((0, 2), 4), ((), 300)]
+    first, prior = [0.8, 0.7, 0.02], 0.2
+    model = toxicity.LabelModel(first, prior)
+    at, ends, n = np.array([v for votes, _ in rows for v in votes]), np.cumsum([0, *[len(v) for v, _ in rows]]), np.array([float(c) for _, c in rows])
+    base = math.log(prior / (1 - prior))
+    share, corr, shift = list(first), {}, 0.0
+    toxic = [s >= prior for s in first]
+    for _ in range(3):
+        post = []
+        for votes, _c in rows:
+            total = sum((math.log(share[i] / (1 - share[i])) - base) / (1 + sum(corr.get((min(i, j), max(i, j)), 0.0) for j in votes if j != i)) for i in votes)
+            post.append(1 / (1 + math.exp(-(base + shift + total))))
+        assert np.abs(model.posterior(at, ends) - post).max() < 1e-9
+        model.update(*model.sums(at, ends, n))
+        counts = [c for _, c in rows]
+        seen = [sum(c for (v, _), c in zip(rows, counts, strict=True) if i in v) for i in range(3)]
+        right = [sum(c * p for (v, _), c, p in zip(rows, counts, post, strict=True) if i in v) for i in range(3)]
+        everyone, weight = sum(counts), sum(c * p for c, p in zip(counts, post, strict=True))
+        share = [min(max((right[i] + toxicity.DAMP * first[i]) / (seen[i] + toxicity.DAMP), prior if toxic[i] else 1e-3), 0.999 if toxic[i] else prior) for i in range(3)]
+        both = sum(c * p for (v, _), c, p in zip(rows, counts, post, strict=True) if 0 in v and 1 in v)
+        rate = [right[i] / weight for i in (0, 1)]
+        corr = {(0, 1): min(max((both / weight - rate[0] * rate[1]) / math.sqrt(rate[0] * (1 - rate[0]) * rate[1] * (1 - rate[1])), 0), 1)}
+        mean = weight / everyone
+        shift += base - math.log(mean / (1 - mean))
+    assert corr[0, 1] > 0
+
+
+def test_classifiers_of_empty_and_repeated_rows(spark, none):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(i, ("fine words here " if i % 2 else "awful things there ") + f"n{i}", "", "", 0, "kept", 0) for i in range(40)]
+    d = spark.createDataFrame([*rows, rows[3], (None, None, "", "", 0, "kept", 0), (77, "", "", "", 0, "kept", 0), (78, rows[5][1], "", "", 0, "kept", 0)], DOCS).withColumn("_score", F.lit(5))
+    for score, drop in ((quality_model.score_documents, quality_model.drop_low_quality), (toxicity.score_documents, toxicity.drop_toxic)):
+        assert score(none, labels).count() == 0 and drop(none, labels).count() == 0
+        got = score(d, labels).collect()
+        assert len(got) == 44 and len({r.score for r in got if r.doc_id == 3}) == 1
+        by = {r.doc_id: r.score for r in got}
+        assert by[5] == by[78] and by[77] == by[None]
+        kept = drop(d, labels)
+        assert kept.columns == d.columns and {r["_score"] for r in kept.select("_score").distinct().collect()} <= {5}
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Null and empty texts, repeats, extra columns and an empty table pass every stage; each stage against its rule."""
+    import corpus_pipeline
+
+    base = words(60, 1)
+    rows = [(1, " ".join(base), "x"), (2, " ".join(base[:-1] + ["zz"]), "x"), (3, None, "x"), (4, "", "x"), (None, "some other words stand here", "x"), (5, " ".join(words(50, 9) + words(12, 33)), "x"), (1, " ".join(base), "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _score string").withColumn("mark", F.lit(1))
+    spark.createDataFrame([("b", " ".join(words(12, 33)))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = {"toxicity": 7, "quality_classifier": 7, "ngram_jaccard_join": 5, "benchmark_decontamination": 4}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d2 = corpus_pipeline.materialize(stage(spark, d, str(tmp_path)), name)
+        assert d2.columns == d.columns and d2.count() == want[name], name
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+        d = d2
+    assert Counter(r.doc_id for r in d.collect()) == Counter([1, 3, 4, None])
+    packed = corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in packed) == Counter([1, 3, 4, None]) and len({r.sequence_id for r in packed}) == 1
