@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage takes documents with any further columns and returns the rows that it keeps with all of them, the last one
+the packed pieces. An empty table passes every stage as an empty table; a null text is an empty one; null and repeated
+keys are rows like any other unless a stage says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -11,28 +16,29 @@ from barlake.llm.shared import load, materialize, ship_package
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go. Empty texts have the score of the bias; without labels all stay."""
     return toxicity.drop_toxic(docs, load(spark, sf_dir, "labels"))
 
 
 def low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Empty texts have the score of the bias; without labels all stay."""
     return quality_model.drop_low_quality(docs, load(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: that of the least key, a null key being last, of equal keys that of
+    the least text hash, of equal rows one. Documents without words all stay."""
     ship_package(spark)
     return jaccard.drop_near_copies(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go, judged row by row; those without words stay."""
     return decontaminate.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of what is left, packed into sequences."""
+    """Token pieces of what is left, packed into sequences; an empty text is one piece of its end token."""
     ship_package(spark)
     return packing.pack_documents(docs)
 
