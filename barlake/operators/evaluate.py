@@ -97,3 +97,34 @@ def split_dates(curve: DataFrame, shares: dict[str, float]) -> DataFrame:
 def by_period(curve: DataFrame, periods: DataFrame) -> DataFrame:
     """Rows of the curve under each named period (name, start, end) they fall in, both ends included."""
     return curve.join(F.broadcast(periods), F.col("timestamp").between(F.col("start"), F.col("end")))
+
+
+def variant_returns(panel: DataFrame, targets: DataFrame, variants: DataFrame) -> DataFrame:
+    """(variant_id, timestamp, daily_return, turnover) of every variant of how targets are held, all in one job.
+
+    variants: (variant_id, every, bps, limit): rebalance every so many timestamps, at that cost, with the `limit` best names of
+    each target date, equally weighted. panel has open; targets (timestamp, symbol, score), a row for each candidate.
+    """
+    days = panel.select("timestamp").distinct().withColumn("_place", F.row_number().over(Window.orderBy("timestamp")) - 1)
+    rank = F.row_number().over(Window.partitionBy("timestamp").orderBy(F.col("score").desc(), "symbol"))
+    ranked = targets.select("timestamp", "symbol", rank.alias("_rank")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("timestamp")))
+    rows = holding_returns(panel).select("timestamp", "symbol", "forward").join(days, "timestamp").join(ranked, ["timestamp", "symbol"], "left").crossJoin(F.broadcast(variants))
+    weight = F.when(F.col("_rank") <= F.col("limit"), 1.0 / F.least("limit", "_n")).otherwise(0.0)
+    w = Window.partitionBy("variant_id", "symbol").orderBy("timestamp")
+    rows = rows.withColumn("_w", F.coalesce(F.last(F.when(F.col("_place") % F.col("every") == 0, weight), ignorenulls=True).over(w), F.lit(0.0)))
+    rows = rows.withColumn("_t", F.abs(F.col("_w") - F.lag("_w", 1, 0.0).over(w)))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    return rows.groupBy("variant_id", "timestamp").agg((total(F.col("_w") * F.col("forward")) - total(F.col("_t") * F.col("bps") / 1e4)).alias("daily_return"), total("_t").alias("turnover"))
+
+
+def compare_arms(strategy: DataFrame, panel: DataFrame, benchmark: str) -> DataFrame:
+    """(arm, timestamp, daily_return, turnover): the strategy beside its benchmark and all names equally weighted.
+
+    The arms are held from the first timestamp on and pay nothing; the equal weights are those of names with a return.
+    """
+    f = holding_returns(panel).select("timestamp", "symbol", "forward")
+    zero = F.lit(0.0)
+    equal = f.groupBy("timestamp").agg(F.coalesce(F.avg("forward"), zero).alias("daily_return"))
+    market = f.groupBy("timestamp").agg(F.coalesce(F.max(F.when(F.col("symbol") == benchmark, F.col("forward"))), zero).alias("daily_return"))
+    arm = lambda rows, name, turnover: rows.select(F.lit(name).alias("arm"), "timestamp", "daily_return", turnover.alias("turnover"))
+    return arm(strategy, "strategy", F.col("turnover")).union(arm(equal, "equal_weight", zero)).union(arm(market, "benchmark", zero))

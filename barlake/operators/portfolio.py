@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barlake.functions.factors import clip
+
 
 def trailing_pairs(panel: DataFrame, names: DataFrame, value: str, window: int, min_obs: int) -> DataFrame:
     """(timestamp, a, b, n, cov, corr) of each pair a <= b of the names of a timestamp, over the `window` panel rows up to it.
@@ -75,7 +77,7 @@ def decorrelated_selection(ranked: DataFrame, pairs: DataFrame, n: int, exit_ran
 
 def tilted_volatility(sigma: Column, score: Column, beta: Column, strength: float = 0.2, penalty: float = 0.5) -> Column:
     """The volatility that weights are the inverse of, less for a good score and more for a beta away from 1."""
-    return sigma / F.exp(strength * F.least(F.greatest(score, F.lit(-3.0)), F.lit(3.0)) - penalty * F.abs(beta - 1))
+    return sigma / F.exp(strength * clip(score, -3.0, 3.0) - penalty * F.abs(beta - 1))
 
 
 def forecast_ceiling(weights: DataFrame, pairs: DataFrame, target: float, periods: float = 252.0) -> DataFrame:

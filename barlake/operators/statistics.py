@@ -64,7 +64,7 @@ def walk_forward(returns: DataFrame, train_years: int = 3, key: str = "variant_i
 def stitch(returns: DataFrame, chosen: DataFrame, key: str = "variant_id") -> DataFrame:
     """The daily returns of each year's chosen variant as one stream."""
     rows = returns.withColumn("year", F.year("timestamp"))
-    return rows.join(F.broadcast(chosen.select("year", key)), ["year", key]).select("timestamp", key, "daily_return")
+    return rows.join(chosen.select("year", key), ["year", key]).select("timestamp", key, "daily_return")
 
 
 def gates(metrics: DataFrame, table: tuple = GATES) -> DataFrame:
@@ -112,7 +112,7 @@ def promotion_metrics(returns: DataFrame, bps: float = 10.0, stress_bps: float =
     one = F.least(F.greatest(F.floor(F.col("_n") * 0.6), F.lit(1)), F.col("_n") - 2)
     two = F.least(F.greatest(F.floor(F.col("_n") * 0.8), one + 1), F.col("_n") - 1)
     fold = F.when(F.col("_k") <= one, "train").when(F.col("_k") <= two, "val").otherwise("test")
-    rows = returns.join(F.broadcast(days.select("timestamp", fold.alias("fold"))), "timestamp")
+    rows = returns.join(days.select("timestamp", fold.alias("fold")), "timestamp")
     m = metrics(equity_curve(rows, (key, "fold")), (key, "fold"))
     of = lambda f, c: F.max(F.when(F.col("fold") == f, F.col(c)))
     g = m.groupBy(key).agg(of("test", "total_return").alias("test_return"), of("test", "sharpe").alias("test_sharpe"), of("val", "sharpe").alias("_val"), of("test", "max_drawdown").alias("max_drawdown"), of("test", "alpha").alias("alpha"), F.abs(of("test", "beta")).alias("abs_beta"))

@@ -100,7 +100,7 @@ def rebalance_due(sessions: DataFrame, last: DataFrame, every: int) -> DataFrame
     places = days.groupBy("_day").agg(F.max("_n").alias("_n"))
     after = Window.orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
     places = places.select(F.col("_day").alias("_last"), F.coalesce(F.sum("_n").over(after), F.lit(0)).cast("long").alias("_since"))
-    counts = accounts.join(F.broadcast(places), "_last", "left").withColumn("sessions_since", F.coalesce("_since", F.lit(0).cast("long")))
+    counts = accounts.join(places, "_last", "left").withColumn("sessions_since", F.coalesce("_since", F.lit(0).cast("long")))
     return counts.select("account", "sessions_since", (F.col("_last").isNull() | (F.col("sessions_since") >= every)).alias("due"))
 
 

@@ -18,7 +18,7 @@ def monthly_candidates(bars: DataFrame, window: int = 60, min_history: int = 60,
     frame = w.rowsBetween(1 - window, 0)
     rows = bars.withColumn("dollar", F.col("close") * F.col("volume")).withColumn("history", F.row_number().over(w))
     median = F.when(F.count("dollar").over(frame) == window, F.percentile("dollar", F.lit(0.5)).over(frame))
-    rows = rows.withColumn("median_dollar", median).join(F.broadcast(month_ends(bars).select("timestamp")), "timestamp", "left_semi")
+    rows = rows.withColumn("median_dollar", median).join(month_ends(bars).select("timestamp"), "timestamp", "left_semi")
     ok = (F.col("history") >= min_history) & (F.col("close") >= min_price) & (F.col("median_dollar") >= min_dollar)
     return rows.where(ok).select("timestamp", "symbol", "close", "history", "median_dollar")
 
@@ -39,14 +39,14 @@ def membership_periods(selections: DataFrame, sessions: DataFrame, causal: bool
     by_time = Window.orderBy("timestamp")
     months = months.withColumn("pos", F.row_number().over(by_time)).withColumn("next_month", F.lead("timestamp").over(by_time))
     days = sessions.select("timestamp").distinct().withColumn("after", F.lead("timestamp").over(by_time)).withColumn("before", F.lag("timestamp").over(by_time))
-    rows = selections.select("symbol", "timestamp").distinct().join(F.broadcast(months), "timestamp")
+    rows = selections.select("symbol", "timestamp").distinct().join(months, "timestamp")
     rows = rows.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("symbol").orderBy("pos")))
     runs = rows.groupBy("symbol", "run").agg(F.min("timestamp").alias("first"), F.max_by("next_month", "pos").alias("dropped"))
     edge = lambda on, column, name: days.select(F.col("timestamp").alias(on), F.col(column).alias(name))
     if causal:
-        out = runs.join(F.broadcast(edge("first", "after", "start")), "first", "left")
+        out = runs.join(edge("first", "after", "start"), "first", "left")
         return out.select("symbol", "start", F.col("dropped").alias("end"))
-    out = runs.join(F.broadcast(edge("dropped", "before", "end")), "dropped", "left")
+    out = runs.join(edge("dropped", "before", "end"), "dropped", "left")
     return out.select("symbol", F.col("first").alias("start"), "end")
 
 

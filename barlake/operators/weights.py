@@ -123,7 +123,7 @@ def rebalance_days(panel: DataFrame, every: int) -> DataFrame:
 def held(panel: DataFrame, targets: DataFrame, every: int) -> DataFrame:
     """The weight in force at every cell: that of the last rebalance, 0 for symbols not in it."""
     due = rebalance_days(panel, every).select("timestamp", F.lit(True).alias("_due"))
-    rows = panel.join(F.broadcast(due), "timestamp", "left").join(targets.select("timestamp", "symbol", "target_weight"), ["timestamp", "symbol"], "left")
+    rows = panel.join(due, "timestamp", "left").join(targets.select("timestamp", "symbol", "target_weight"), ["timestamp", "symbol"], "left")
     set_ = F.when(F.col("_due"), F.coalesce("target_weight", F.lit(0.0)))
     w = Window.partitionBy("symbol").orderBy("timestamp")
     return rows.withColumn("weight", F.coalesce(F.last(set_, ignorenulls=True).over(w), F.lit(0.0))).drop("_due", "target_weight")

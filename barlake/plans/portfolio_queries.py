@@ -13,6 +13,7 @@ from barlake.operators import universe
 from barlake.operators import weights as W
 from barlake.sources import ingest
 
+from .intraday_queries import _work_dir
 from .registry import panel_of, query, register, table, with_bars, with_panel
 from .strategy_queries import _EVAL, _S, _SCORE, _T, _TOP, _full, _scores
 
@@ -213,7 +214,10 @@ def e06_decorrelated_selection(spark, sf_dir):
     rank = F.row_number().over(Window.partitionBy("timestamp").orderBy(F.col("score").desc(), "symbol"))
     sector = F.concat(F.lit("G"), (F.substring("symbol", 2, 2).cast("int") % 3).cast("string"))
     ranked = p.join(due, "timestamp", "left_semi").select("timestamp", "symbol", rank.alias("rank"), sector.alias("sector"), (F.col("sigma") > 0).alias("usable"))
-    pairs = P.trailing_pairs(_weekly(spark, sf_dir), ranked, "r", 26, 20)
+    path = f"{_work_dir(spark)}/ranked"  # read three times below, so it is made once
+    ranked.write.parquet(path)
+    ranked = spark.read.schema(ranked.schema).parquet(path)
+    pairs = P.trailing_pairs(_weekly(spark, sf_dir).select("timestamp", "symbol", "r"), ranked, "r", 26, 20)
     grid = spark.createDataFrame([(0, 0.05), (1, 0.5)], "variant_id int, max_corr double")
     return P.decorrelated_selection(ranked.crossJoin(F.broadcast(grid)), pairs, 3, 5, 2)  # two rows
 
@@ -337,3 +341,43 @@ def f10_union_bars(spark, sf_dir):
     b = bars(spark, sf_dir, "weekly10")
     excluded = spark.createDataFrame([("S2",), ("S4",)], "symbol string")
     return universe.union_bars(b.where("symbol in ('S1', 'S2')"), b, excluded).select("timestamp", "symbol", "close")
+
+
+_VARIANTS = "vs AS (SELECT * FROM (VALUES (0, 1, 10.0, 3), (1, 4, 10.0, 3), (2, 8, 10.0, 3), (3, 4, 10.0, 1), (4, 4, 10.0, 5), (5, 4, 50.0, 3)) v(variant_id, every, bps, lim))"
+_GRID = f"""ga AS (SELECT *, ROW_NUMBER() OVER ({_T} ORDER BY score DESC, symbol) AS rk, COUNT(*) OVER ({_T}) AS cn FROM scores WHERE score > 0),
+gb AS (SELECT timestamp, ROW_NUMBER() OVER (ORDER BY timestamp) - 1 AS place FROM (SELECT DISTINCT timestamp FROM p)),
+gc AS (SELECT v.*, p.timestamp, p.symbol, LEAD(open, 2) OVER (PARTITION BY v.variant_id, p.symbol ORDER BY p.timestamp) / LEAD(open, 1) OVER (PARTITION BY v.variant_id, p.symbol ORDER BY p.timestamp) - 1 AS fwd,
+  CASE WHEN place % every = 0 THEN CASE WHEN rk <= lim THEN 1.0 / LEAST(lim, cn) ELSE 0.0 END END AS w, SUM(CASE WHEN place % every = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY v.variant_id, p.symbol ORDER BY p.timestamp) AS block
+  FROM p JOIN gb ON gb.timestamp = p.timestamp LEFT JOIN ga ON ga.timestamp = p.timestamp AND ga.symbol = p.symbol CROSS JOIN vs v),
+gd AS (SELECT *, COALESCE(MAX(w) OVER (PARTITION BY variant_id, symbol, block), 0.0) AS weight FROM gc),
+ge AS (SELECT *, ABS(weight - LAG(weight, 1, 0.0) OVER (PARTITION BY variant_id, symbol ORDER BY timestamp)) AS tr FROM gd),
+gf AS (SELECT variant_id, timestamp, COALESCE(SUM(weight * fwd), 0) - COALESCE(SUM(tr * bps / 10000), 0) AS daily_return, SUM(tr) AS turnover FROM ge GROUP BY 1, 2)"""
+
+
+def _cadences(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    grid = spark.createDataFrame([(0, 1, 10.0, 3), (1, 4, 10.0, 3), (2, 8, 10.0, 3), (3, 4, 10.0, 1), (4, 4, 10.0, 5), (5, 4, 50.0, 3)], "variant_id int, every int, bps double, limit int")
+    return V.variant_returns(s, s.where("score > 0").select("timestamp", "symbol", "score"), grid)
+
+
+@query(with_panel(f"SELECT variant_id, {_r6('EXP(SUM(LN(1 + daily_return))) - 1')} AS total_return, {_r6('COALESCE(AVG(daily_return) * SQRT(252.0) / NULLIF(STDDEV_POP(daily_return), 0), 0)')} AS sharpe, {_r6('SUM(turnover)')} AS turnover FROM gf GROUP BY variant_id", "weekly10", _SCORE + "," + _VARIANTS + "," + _GRID))
+def h11_cadence_grid(spark, sf_dir):
+    """Cadences, holding counts and costs as rows of one table of variants."""
+    r = F.col("daily_return")
+    sharpe = F.coalesce(F.try_divide(F.avg(r) * F.sqrt(F.lit(252.0)), F.stddev_pop(r)), F.lit(0.0))
+    return _cadences(spark, sf_dir).groupBy("variant_id").agg(six(F.exp(F.sum(F.log1p(r))) - 1).alias("total_return"), six(sharpe).alias("sharpe"), six(F.sum("turnover")).alias("turnover"))
+
+
+@query(
+    with_panel(
+        f"""SELECT arm, {_r6('EXP(SUM(LN(1 + r))) - 1')} AS total_return, {_r6('COALESCE(AVG(r) * SQRT(252.0) / NULLIF(STDDEV_POP(r), 0), 0)')} AS sharpe FROM ar GROUP BY arm""",
+        "weekly10",
+        _EVAL + f""",fw AS (SELECT timestamp, symbol, LEAD(open, 2) OVER ({_S}) / LEAD(open, 1) OVER ({_S}) - 1 AS f FROM p),
+ar AS (SELECT 'strategy' AS arm, daily_return AS r FROM port UNION ALL SELECT 'equal_weight', COALESCE(AVG(f), 0) FROM fw GROUP BY timestamp UNION ALL SELECT 'benchmark', COALESCE(MAX(CASE WHEN symbol = 'S0' THEN f END), 0) FROM fw GROUP BY timestamp)""",
+    )
+)
+def h12_benchmark_arms(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    arms = V.compare_arms(V.portfolio_returns(s, W.top_n(s, 3), 4, 10.0), s, "S0")
+    m = V.metrics(V.equity_curve(arms, ("arm",)), ("arm",))
+    return m.select("arm", six(F.col("total_return")).alias("total_return"), six(F.col("sharpe")).alias("sharpe"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str, panel: str = "daily10") -> DataFrame:
+    """Bars derived from lineitem. They are kept, as a query reads them several times; equal ones are kept once."""
     lines = table(spark, sf_dir, "lineitem")
     session, symbols = PANELS[panel]
-    return spark.sql("WITH " + _BARS.format(session=session, symbols=symbols).replace("FROM lineitem", "FROM {lines}") + " SELECT * FROM bars", lines=lines)
+    out = spark.sql("WITH " + _BARS.format(session=session, symbols=symbols).replace("FROM lineitem", "FROM {lines}") + " SELECT * FROM bars", lines=lines)
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def panel_of(spark: SparkSession, sf_dir: str, panel: str = "daily10") -> DataFrame:

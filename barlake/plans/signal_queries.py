@@ -12,9 +12,13 @@ from barlake.operators import index_sleeve as S
 from barlake.operators import intraday as I
 from barlake.operators import portfolio as P
 
+from barlake.sources import bars as B
+
 from .intraday_queries import _DAY, _RB, _VW, _W, _bars15, _daily_sql, _ntz
 from .portfolio_queries import _r6, six
 from .registry import query, register
+from .strategy_queries import _rounded
+from .table_queries import _resample_sql, _ticks
 
 _B = "'view'"
 _BY = "OVER (PARTITION BY symbol ORDER BY session)"
@@ -89,8 +93,18 @@ cd AS (SELECT session, symbol, score, {side} * LEAST(0.2, 0.3 / COUNT(*) OVER (P
 SELECT oe.timestamp, oe.symbol, {_r6('CASE WHEN clock < 945 THEN w ELSE 0.0 END')} AS target_weight, {_r6('score')} AS score FROM oe JOIN cd ON cd.symbol = oe.symbol AND cd.session = oe.session WHERE clock >= 780"""
 
 
+def _hourly_sql(sql: str) -> str:
+    for a, b in ((_RB, _RB.replace(_resample_sql(15), _resample_sql(60))), ("765", "690"), ("780", "750"), (f"LAG(close, 2) {_W} - 1 AS horizon", f"LAG(close, 1) {_W} - 1 AS horizon")):
+        sql = sql.replace(a, b)
+    return sql
+
+
 for _name, (_rule, _extra, _ok, _score) in _RULES.items():
-    register(_name, lambda spark, sf_dir, rule=_rule: _shown(C.confirmed_targets(_bars15(spark, sf_dir), rule, "view")), _confirmed_sql(_rule, _extra, _ok, _score))
+    _sql = _confirmed_sql(_rule, _extra, _ok, _score)
+    if _name in ("e17_sigma", "e17_stable_breadth"):  # the events are too few for histories of quarter hours
+        _rule, _sql = dataclasses.replace(_rule, signal=690, bar_minutes=60, lookback=1), _hourly_sql(_sql)
+    _minutes = _rule.bar_minutes
+    register(_name, lambda spark, sf_dir, rule=_rule, n=_minutes: _shown(C.confirmed_targets(_rounded(B.resample_sessions(_ticks(spark, sf_dir), n)), rule, "view")), _sql)
 
 
 @query()
@@ -217,3 +231,35 @@ def g04_session_flat_bars(spark, sf_dir):
 def g04_session_flat_returns(spark, sf_dir):
     out = P.session_returns(_flat(spark, sf_dir))
     return out.select("session", (F.round("daily_return", 8) + 0.0).alias("daily_return"), six(F.col("turnover")).alias("turnover"))
+
+
+# ---- the rolling regression
+
+_SETUP = f"""nx2 AS (SELECT oe.*, LEAD(open) {_W} AS nxt FROM oe), s1 AS (SELECT * FROM ss),
+k1 AS (SELECT * FROM nx2 WHERE clock = 780), d1 AS (SELECT symbol, session, ARG_MIN(open, timestamp) AS o, ARG_MAX(close, timestamp) AS c FROM rb GROUP BY 1, 2),
+mk AS (SELECT k1.session, k1.close / d1.o - 1 AS b FROM k1 JOIN d1 ON d1.symbol = k1.symbol AND d1.session = k1.session WHERE k1.symbol = {_B})"""
+
+
+@query(
+    f"""WITH {_RB}, {_VW}, {_REL}, {_CLOSES}, {_SETUP} SELECT s.session, s.symbol, {_r6('-s.relative')} AS relative_dislocation, {_r6('k.close / d.o - 1 - b')} AS session_relative_return, {_r6('k.close / k.vwap - 1')} AS vwap_distance,
+  {_r6('s.relative_volume')} AS signal_relative_volume, {_r6('se.prior_close / se.trend_average - 1')} AS prior_trend_gap, {_r6('k.close / s.close - 1')} AS confirmation_return, {_r6('b')} AS benchmark_session_return, {_r6('d.c / k.nxt - 1')} AS label
+FROM s1 s JOIN k1 k ON k.symbol = s.symbol AND k.session = s.session JOIN d1 d ON d.symbol = s.symbol AND d.session = s.session JOIN se ON se.symbol = s.symbol AND se.session = s.session JOIN mk ON mk.session = s.session"""
+)
+def d25_setup_features(spark, sf_dir):
+    from barlake.operators import rolling_model
+
+    return _shown(rolling_model.setup_features(_bars15(spark, sf_dir), "view", 765, 780, 2, 3, 5))
+
+
+@query()
+def e19_rolling_regression(spark, sf_dir):
+    """A ridge of two bar features on the rest of the session, fitted on the sessions before, and its calibrated picks."""
+    from barlake.operators import rolling_model
+
+    b = I.opening_efficiency(I.session_vwap(_bars15(spark, sf_dir))).withColumn("clock", I.clock())
+    close = b.groupBy("symbol", "session").agg(F.max_by("close", "timestamp").alias("c"))
+    rows = b.where("clock >= 630 and clock < 780").join(close, ["symbol", "session"]).groupBy("session", "symbol").agg(
+        F.max_by("opening_return", "timestamp").alias("x1"), F.max_by((F.col("close") / F.col("vwap") - 1), "timestamp").alias("x2"), F.max_by(F.col("c") / F.col("close") - 1, "timestamp").alias("label")
+    )
+    found = rolling_model.rolling_ridge(rows, ("x1", "x2"), 20, 5, 15, 0.5)
+    return rolling_model.calibrated_pick(found, found.where("prediction is not null"), 2, 0.0, 20, 5).select("session", "symbol", six(F.col("prediction")).alias("prediction"))

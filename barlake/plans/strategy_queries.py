@@ -72,7 +72,7 @@ _BETA = (
 
 
 def _with_benchmark(panel):
-    return panel.join(F.broadcast(panel.where("symbol = 'S0'").select("timestamp", F.col("r").alias("rb"), F.col("close").alias("cb"))), "timestamp")
+    return panel.join(panel.where("symbol = 'S0'").select("timestamp", F.col("r").alias("rb"), F.col("close").alias("cb")), "timestamp")
 
 
 @query(with_panel("SELECT timestamp, symbol, ROUND(beta, 6) AS beta FROM k", "weekly10", _BETA))
@@ -300,7 +300,7 @@ s AS (SELECT dd.*, CASE WHEN k <= FLOOR(n * 0.6 + 1e-9) THEN 'train' WHEN k <= F
 def h04_fold_metrics(spark, sf_dir):
     curve = V.equity_curve(_portfolio(spark, sf_dir))
     folds = V.split_dates(curve, {"train": 0.6, "validation": 0.2, "test": 0.2})
-    return _rounded(V.metrics(curve.join(F.broadcast(folds), "timestamp"), ("fold",)))
+    return _rounded(V.metrics(curve.join(folds, "timestamp"), ("fold",)))
 
 
 @query(

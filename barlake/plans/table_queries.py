@@ -360,7 +360,7 @@ def h15_promotion_gates_all_eight(spark, sf_dir):
     s0 = lines.groupBy(F.to_date("l_shipdate").alias("timestamp")).agg((F.avg("l_discount") - 0.05).alias("benchmark_return"))
     first = ret.groupBy("variant_id").agg(F.min("timestamp").alias("_first"))
     rows = ret.join(first, "variant_id").withColumn("turnover", (F.col("timestamp") == F.col("_first")).cast("double"))
-    rows = rows.withColumn("daily_return", F.col("daily_return") - F.col("turnover") * 0.001).join(F.broadcast(s0), "timestamp", "left")
+    rows = rows.withColumn("daily_return", F.col("daily_return") - F.col("turnover") * 0.001).join(s0, "timestamp", "left")
     out = statistics.gates(statistics.promotion_metrics(rows.drop("_first")), statistics.PROMOTION_GATES)
     return out.select("variant_id", F.array_join("failed", ",").alias("failed"), "verdict")
 

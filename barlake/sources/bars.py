@@ -86,10 +86,10 @@ def available_at_close(bars: DataFrame, observed_at, market_is_open: bool, zone:
 def densify(bars: DataFrame, time: str = "timestamp") -> DataFrame:
     """Every symbol at every timestamp that any symbol has; cells without a bar are null.
 
-    The two dimensions are small against the bars (timestamps times symbols is the panel itself), and the smaller of
-    them is what gets replicated.
+    The calendar is one array of distinct times, which every symbol unfolds; it grows with time and not with symbols.
     """
-    return bars.select(time).distinct().crossJoin(bars.select("symbol").distinct()).join(bars, [time, "symbol"], "left")
+    calendar = bars.agg(F.collect_set(time)).scalar()
+    return bars.select("symbol").distinct().select(F.explode(calendar).alias(time), "symbol").join(bars, [time, "symbol"], "left")
 
 
 def resample_sessions(bars: DataFrame, minutes: int, zone: str = MARKET_ZONE, regular_hours: bool = True, drop_incomplete: bool = True) -> DataFrame:

@@ -242,3 +242,29 @@ def test_legal_states_and_promotion(spark):
     m = spark.createDataFrame([(1, 0.1, 2.0, 2000), (2, 0.1, 0.4, 50), (3, -0.1, 3.0, 2000)], "variant_id int, test_return double, test_sharpe double, test_n int")
     got = {r.variant_id: (r.verdict, r.failed) for r in statistics.promote_batch(m, 0.05, (("return", "test_return", ">", 0.0),)).collect()}
     assert got == {1: ("promote", []), 2: ("reject", ["fails_fdr"]), 3: ("reject", ["return"])}
+
+
+def test_rolling_ridge_equals_numpy(spark):
+    import numpy as np
+
+    from barlake.operators import rolling_model
+
+    rng = np.random.default_rng(3)
+    rows = [(day(d), s, float(rng.normal()), float(rng.normal() * 50) if d != 4 else None, float(rng.normal() * 0.1)) for d in range(12) for s in "ABCD"]
+    d = spark.createDataFrame(rows, "session date, symbol string, x1 double, x2 double, label double")
+    got = {(r.session, r.symbol): r.prediction for r in rolling_model.rolling_ridge(d, ("x1", "x2"), 6, 3, 10, 2.0, 1.5, 0.1).collect()}
+    for when in range(12):
+        train = np.array([r[2:] for r in rows if day(max(0, when - 6)) <= r[0] < day(when) and r[3] is not None], float)
+        for r in [x for x in rows if x[0] == day(when)]:
+            if when < 3 or len(train) < 10 or r[3] is None:
+                assert got[r[0], r[1]] is None
+                continue
+            x, y = train[:, :2], np.clip(train[:, 2], -0.1, 0.1)
+            m, sd = x.mean(0), x.std(0)
+            z = np.clip((x - m) / sd, -1.5, 1.5)
+            beta = np.linalg.solve(z.T @ z + 2 * np.eye(2), z.T @ (y - y.mean()))
+            assert got[r[0], r[1]] == pytest.approx(y.mean() + np.clip((np.array(r[2:4]) - m) / sd, -1.5, 1.5) @ beta)
+    errors = [(day(d), s, 0.01 * d, 0.0) for d in range(6) for s in "AB"]
+    p = spark.createDataFrame(errors, "session date, symbol string, label double, prediction double")
+    picked = {(r.session, r.symbol): r.prediction for r in rolling_model.calibrated_pick(p, p, 1, 1.0, 3, 4).collect()}
+    assert picked == {(day(d), "A"): pytest.approx(sum(0.01 * k for k in range(max(0, d - 3), d)) / min(3, d)) for d in range(2, 6)}
