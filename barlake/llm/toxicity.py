@@ -31,7 +31,7 @@ from .textops import _BYTE_VALUE, _IS_SPACE, _LOWER, SLICE_BYTES, _powers, buffe
 
 #: What was chosen on splits inside the training rows. ratio: a voter's odds ratio, less one standard deviation, is this
 #: at least, for one side or the other; unlabelled: rows without a label for each labelled row the classifier learns from.
-SETTINGS = {"ratio": 10, "l1": 0.1, "passes": 5, "alpha": 0.5, "raised_in": 5, "unlabelled": 1.0}
+SETTINGS = {"ratio": 10, "l1": 0.1, "passes": 5, "alpha": 0.5, "raised_in": 3, "unlabelled": 1.0}
 #: Rounds of expectation maximisation over all documents at most, and the weight of the labelled rows in them.
 ROUNDS, DAMP = 8, 20
 #: Share of labels that are right.
