@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -55,8 +56,7 @@ class Automaton:
     def scan(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
         """(first word, words, items) of each occurrence."""
         if not self.empty:
-            known = self.symbols.get
-            for end, (size, names) in self.machine.iter("".join([known(w, "\0") for w in words])):
+            for end, (size, names) in self.machine.iter("".join(map(self.symbols.get, words, repeat("\0")))):
                 yield end + 1 - size, size, names
 
 
