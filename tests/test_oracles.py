@@ -1,4 +1,4 @@
-"""Every query with an SQL form agrees with it at the smallest scale."""
+"""Every third query with an SQL form, and some more, agree with it at the smallest scale; the driver compares them all."""
 
 import os
 
