@@ -22,7 +22,7 @@ LISTED_SUFFIXES = ("example.com", "example.net", "example.org")
 HASHES = 5
 BITS_PER_KEY = 12
 #: Bytes of a cascade's first level at most. Longer lists are dealt by hash to several cascades, applied one by one.
-LEVEL_BYTES = 16 << 20
+LEVEL_BYTES = 2 << 20
 
 
 def host_of(url: Column) -> Column:
