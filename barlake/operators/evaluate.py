@@ -128,3 +128,11 @@ def compare_arms(strategy: DataFrame, panel: DataFrame, benchmark: str) -> DataF
     market = f.groupBy("timestamp").agg(F.coalesce(F.max(F.when(F.col("symbol") == benchmark, F.col("forward"))), zero).alias("daily_return"))
     arm = lambda rows, name, turnover: rows.select(F.lit(name).alias("arm"), "timestamp", "daily_return", turnover.alias("turnover"))
     return arm(strategy, "strategy", F.col("turnover")).union(arm(equal, "equal_weight", zero)).union(arm(market, "benchmark", zero))
+
+
+def whole_metrics(curve: DataFrame, legs: DataFrame, keys: tuple[str, ...] = ("variant_id",)) -> DataFrame:
+    """`metrics` with benchmark_total_return, excess_return, orders (rows of legs) and fees (the curve's cost) for each stream."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    more = curve.groupBy(*keys).agg((F.exp(F.sum(F.log1p(zero(F.col("benchmark_return"))))) - 1).alias("benchmark_total_return"), zero(F.sum("cost")).alias("fees"))
+    out = metrics(curve, keys).join(more, list(keys)).join(legs.groupBy(*keys).agg(F.count(F.lit(1)).alias("orders")), list(keys), "left")
+    return out.withColumn("orders", F.coalesce("orders", F.lit(0).cast("long"))).withColumn("excess_return", F.col("total_return") - F.col("benchmark_total_return"))

@@ -66,17 +66,21 @@ def reconcile(positions: DataFrame, targets: DataFrame, prices: DataFrame, accou
     return rows.withColumn("status", status).drop("quantity")
 
 
-def circuit_breaker(equity: DataFrame, key: str = "account", warn: float = -0.05, halt: float = -0.10, streak: int = 3) -> DataFrame:
-    """The latest state of each account: drawdown, length of the trailing run of losses and a verdict."""
+def circuit_breaker(equity: DataFrame, key: str = "account", warn: float = -0.05, halt: float = -0.10, streak: int = 3, daily_limit: float | None = None) -> DataFrame:
+    """The latest state of each account: drawdown, length of the trailing run of losses and a verdict.
+
+    With a daily limit, a last return of as much below zero halts too.
+    """
     w = Window.partitionBy(key).orderBy("timestamp")
     rows = equity.withColumn("seq", F.row_number().over(w)).withColumn("ret", F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1)
     rows = rows.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1)
     g = rows.groupBy(key).agg(
         F.max_by("drawdown", "timestamp").alias("drawdown"), F.max("seq").alias("_n"),
-        F.coalesce(F.max(F.when(F.coalesce("ret", F.lit(0.0)) >= 0, F.col("seq"))), F.lit(0)).alias("_good"),
+        F.coalesce(F.max(F.when(F.coalesce("ret", F.lit(0.0)) >= 0, F.col("seq"))), F.lit(0)).alias("_good"), F.max_by(F.coalesce("ret", F.lit(0.0)), "timestamp").alias("_today"),
     )
+    lost = F.col("_today") <= -abs(daily_limit) if daily_limit is not None else F.lit(False)
     down = (F.col("_n") - F.col("_good")).cast("long")
-    verdict = F.when(F.col("drawdown") <= halt, "halt").when((F.col("drawdown") <= warn) | (down >= streak), "warn").otherwise("ok")
+    verdict = F.when((F.col("drawdown") <= halt) | lost, "halt").when((F.col("drawdown") <= warn) | (down >= streak), "warn").otherwise("ok")
     return g.select(key, "drawdown", down.alias("down_streak"), verdict.alias("verdict"))
 
 

@@ -125,3 +125,14 @@ def check_bundles(bundles: DataFrame, json: str = "json") -> DataFrame:
         rule(F.coalesce(lookback, F.lit(0)) < 1, "lookback"), rule(~F.coalesce(sign.isin(-1, 1), F.lit(False)), "sign"),
     )
     return out.withColumn("errors", F.when(m.isNull(), F.array(F.lit("json"))).otherwise(errors)).drop("x").withColumn("ok", F.size("errors") == 0)
+
+
+#: Tokens of a key, at any depth of a bundle, that imply executable content.
+EXECUTABLE = ("python", "pickle", "lambda", "exec", "eval", "callable", "entrypoint", "shell", "script", "command", "reduce")
+
+
+def executable_keys(json: Column) -> Column:
+    """The keys of a JSON text, at any depth, that hold such a token; tokens are split at what is no letter or digit."""
+    keys = F.regexp_extract_all(json, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
+    bad = F.array(*[F.lit(t) for t in EXECUTABLE])
+    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: F.arrays_overlap(F.split(F.lower(k), "[^a-z0-9]+"), bad))))

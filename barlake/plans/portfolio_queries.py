@@ -381,3 +381,20 @@ def h12_benchmark_arms(spark, sf_dir):
     arms = V.compare_arms(V.portfolio_returns(s, W.top_n(s, 3), 4, 10.0), s, "S0")
     m = V.metrics(V.equity_curve(arms, ("arm",)), ("arm",))
     return m.select("arm", six(F.col("total_return")).alias("total_return"), six(F.col("sharpe")).alias("sharpe"))
+
+
+@query(
+    with_panel(
+        f"""SELECT 0 AS variant_id, {_r6('ARG_MAX(equity, dd.timestamp) - 1')} AS total_return, {_r6('EXP(SUM(LN(1 + COALESCE(b.r, 0)))) - 1')} AS benchmark_total_return,
+  {_r6('ARG_MAX(equity, dd.timestamp) - EXP(SUM(LN(1 + COALESCE(b.r, 0))))')} AS excess_return, (SELECT COUNT(*) FROM tr WHERE change <> 0) AS orders, {_r6('SUM(cost)')} AS fees FROM dd JOIN (SELECT timestamp, r FROM p WHERE symbol = 'S0') b ON b.timestamp = dd.timestamp""",
+        "weekly10",
+        _EVAL,
+    )
+)
+def h02_whole_metrics(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    top = W.top_n(s, 3)
+    market = s.where("symbol = 'S0'").select("timestamp", F.col("r").alias("benchmark_return"))
+    curve = V.equity_curve(V.portfolio_returns(s, top, 4, 10.0)).join(market, "timestamp").withColumn("variant_id", F.lit(0))
+    m = V.whole_metrics(curve, V.rebalance_legs(s, top, 4).withColumn("variant_id", F.lit(0)))
+    return m.select("variant_id", *[six(F.col(c)).alias(c) for c in ("total_return", "benchmark_total_return", "excess_return")], "orders", six(F.col("fees")).alias("fees"))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barlake.operators import lineage, statistics, tables, universe
+from barlake.operators import lineage, orders, statistics, tables, universe
 from barlake.operators import preprocess as R
 from barlake.operators import weights as W
 from barlake.sources import bars as B
@@ -18,7 +18,7 @@ from .intraday_queries import _work_dir
 from .portfolio_queries import _r6, six
 from .registry import bars, panel_of, query, table, with_bars, with_panel
 from .strategy_queries import _SCORE, _T, _TOP, _scores
-from .table_queries import _CAND, _CUST, _P, _candidates, _variant_metrics
+from .table_queries import _CAND, _CUST, _EQ, _P, _candidates, _equities, _variant_metrics
 
 
 def _folder(spark) -> str:
@@ -304,3 +304,24 @@ def c31_named_steps(spark, sf_dir):
     """Preprocessing by the step names of a bundle's settings."""
     out = R.preprocess(panel_of(spark, sf_dir), "r", R.Steps.named(["winsor_2pct"], lag=0))
     return out.select("timestamp", "symbol", six(F.col("value")).alias("value"))
+
+
+# ---- what earlier queries leave out
+
+@query(
+    f"""WITH {_EQ}, s AS (SELECT *, ROW_NUMBER() OVER w AS seq, equity / LAG(equity) OVER w - 1 AS ret, equity / MAX(equity) OVER w - 1 AS dd FROM eq WINDOW w AS (PARTITION BY account ORDER BY timestamp)),
+g AS (SELECT account, ARG_MAX(dd, timestamp) AS drawdown, ARG_MAX(COALESCE(ret, 0), timestamp) AS today, MAX(seq) - COALESCE(MAX(CASE WHEN COALESCE(ret, 0) >= 0 THEN seq END), 0) AS down_streak FROM s GROUP BY account)
+SELECT account, ROUND(drawdown, 6) AS drawdown, down_streak, CASE WHEN drawdown <= -0.2 OR today <= -0.03 THEN 'halt' WHEN drawdown <= -0.05 OR down_streak >= 3 THEN 'warn' ELSE 'ok' END AS verdict FROM g"""
+)
+def j07_daily_loss_breaker(spark, sf_dir):
+    out = orders.circuit_breaker(_equities(spark, sf_dir), halt=-0.2, daily_limit=0.03)
+    return out.withColumn("drawdown", F.round("drawdown", 6))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'a.shell_x,eval' WHEN 1 THEN '' WHEN 2 THEN 'pre-exec' ELSE '' END AS keys FROM orders""")
+def l01_executable_keys(spark, sf_dir):
+    """Bundles with keys of executable content two levels down, beside values and longer words that only look so."""
+    k = F.col("o_orderkey") % 4
+    inner = F.when(k == 0, '{"eval" : 1, "list": [{"a.shell_x": 2}]}').when(k == 1, '{"evaluation": "exec", "note": "say \\"eval\\": no"}').when(k == 2, '{"deep": {"pre-exec": null}}').otherwise("{}")
+    json = F.concat(F.lit('{"candidate_id": "'), F.col("o_orderkey").cast("string"), F.lit('", "signal_spec": '), inner, F.lit("}"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(tables.executable_keys(json), ",").alias("keys"))
