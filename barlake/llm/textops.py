@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed together; longer texts are cut at white space, so memory stays bounded for texts of any length.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 SPACES = bytes([0x20, *range(0x09, 0x0E)])

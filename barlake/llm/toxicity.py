@@ -374,7 +374,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     more = unlabelled_sample(docs, labels, usable, key, text, int(rows * settings["unlabelled"]))
     judged = sample.select("_id", "text", "y").union(more).select("_id", "text", soft(F.col("text"), F.col("y")).alias("y"))
-    return fit(judged, term_features, l1=settings["l1"], passes=settings["passes"], alpha=settings["alpha"], raised_in=settings["raised_in"])
+    # written first, so that no task needs two Python workers at once
+    return fit(materialize(judged, "judged"), term_features, l1=settings["l1"], passes=settings["passes"], alpha=settings["alpha"], raised_in=settings["raised_in"])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.7, rows: int = SAMPLE_ROWS) -> DataFrame:
