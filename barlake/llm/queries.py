@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fixity, html_extract, jaccard, packing, quality_model, quality_rules, token_files, toxicity, url_filter
+from . import decontaminate, fingerprints, fixity, html_extract, jaccard, merkle_manifest, packing, quality_model, quality_rules, token_files, toxicity, url_filter, vector_codes
 from .shared import load, shared_dir
 
 
@@ -56,11 +56,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(load(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited forms, each held against the edited text and the next document."""
+    return fingerprints.compare_neighbours(load(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents by source, held against a copy that lost line ends."""
+    return merkle_manifest.audit(load(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings, with codebooks learned from all of them."""
+    return vector_codes.compress(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_best_fit_packing, op3_merkle_fixity, op4_url_filter, op5_decontaminate,
-        op6_html_extract, op7_quality_model, op8_token_files, op9_toxicity, op10_jaccard_join,
+        op6_html_extract, op7_quality_model, op8_token_files, op9_toxicity, op10_jaccard_join, op11_document_fingerprints, op12_merkle_manifest, op13_vector_codes,
     )
 }
 
