@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,27 +128,44 @@ def promotion_metrics(returns: DataFrame, bps: float = 10.0, stress_bps: float =
 _PRIME = 2147483647
 
 
-def bootstrap_index(sample: Column, draw: Column, n: Column) -> Column:
-    """A place from 0 to n - 1 for each draw of each sample, by whole-number arithmetic that every engine repeats."""
+def bootstrap_index(sample, draw, n):  # noqa: ANN001, ANN201
+    """A place from 0 to n - 1 for each draw of each sample, of columns or of arrays of 64 bits: arithmetic that every engine repeats."""
     h = ((sample + 1) * 48271 + (draw + 1) * 69621) % _PRIME
     g = h * h % _PRIME
     return (g * g + 11 * h + 7) % _PRIME % n
 
 
+#: Resamples that one row of the resampling makes.
+BLOCK = 500
+
+
 def session_bootstrap(returns: DataFrame, samples: int, value: str = "daily_return", key: str = "variant_id", time: str = "session") -> DataFrame:
     """(key, sessions, p025, p50, p975, positive) of the sums of `samples` resamples of each stream's returns.
 
-    Each resample draws as many returns as the stream has, with replacement. Rows are samples times returns; sums are
-    made before the shuffle, and only the samples' sums are ordered.
+    Each resample draws as many returns as the stream has, with replacement. A stream's returns, one a session, are
+    gathered into an array once; blocks of resamples draw from it in tasks of their own, so that no row is made of a
+    draw and what is ordered is the samples' sums.
     """
-    by = Window.partitionBy(key)
-    rows = returns.select(key, F.col(value).alias("_v"), (F.row_number().over(by.orderBy(time)) - 1).cast("long").alias("_k"), F.count(F.lit(1)).over(by).alias("_n"))
-    draws = rows.select(key, F.col("_k").alias("_j"), "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("_b"))
-    draws = draws.select(key, "_b", bootstrap_index(F.col("_b"), F.col("_j"), F.col("_n")).alias("_k"))
-    sums = draws.join(rows.select(key, "_k", "_v"), [key, "_k"]).groupBy(key, "_b").agg(F.sum("_v").alias("_s"))
+    point = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
+    streams = returns.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: p["v"]).alias("_values"))
+    blocks = streams.select(key, "_values", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(BLOCK))).alias("_first"))
+    kind = returns.schema[key].dataType.simpleString()
+
+    def draw(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        for part in batches:
+            for stream, values, first in zip(part[key], part["_values"], part["_first"], strict=True):
+                values = np.asarray(values, float)
+                sample = np.arange(first, min(first + BLOCK, samples), dtype=np.int64)
+                at = bootstrap_index(sample[:, None], np.arange(len(values), dtype=np.int64), len(values))
+                yield pd.DataFrame({key: stream, "_s": values[at].sum(axis=1)})
+
+    sums = blocks.repartition(key, "_first").mapInPandas(draw, f"`{key}` {kind}, _s double")
     q = lambda p: F.percentile("_s", F.lit(p))
     out = sums.groupBy(key).agg(q(0.025).alias("p025"), q(0.5).alias("p50"), q(0.975).alias("p975"), F.avg((F.col("_s") > 0).cast("double")).alias("positive"))
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("sessions")).join(out, key)
+    return streams.select(key, F.size("_values").cast("long").alias("sessions")).join(out, key)
 
 
 def promote_batch(metrics: DataFrame, q: float = 0.10, table: tuple = PROMOTION_GATES, sharpe: str = "test_sharpe", n: str = "test_n", key: str = "variant_id") -> DataFrame:

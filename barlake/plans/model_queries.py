@@ -5,12 +5,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from barlake.operators import rolling_model
+from barlake.operators import rolling_model, statistics
+from barlake.operators import sweep as W
+from barlake.sources.bars import densify
 
 from .intraday_queries import _work_dir
 from .portfolio_queries import _r6, six
-from .registry import query
+from .registry import PANEL_SQL, bars_sql, bars_of, query, table
 from .session_bars import BENCHMARK, SESSION_SQL, session_bars
 from .signal_queries import _CLOSES, _REL, _SETUP, _VW
 
@@ -64,3 +67,65 @@ def e19_calibrated_picks(spark, sf_dir):
     found = _stored(_predicted(spark, sf_dir))
     picked = rolling_model.calibrated_pick(found, found.where("prediction is not null and relative_dislocation > -0.001"), 2, 0.0005, 12, 4)
     return picked.select("session", "symbol", six("prediction").alias("prediction"))
+
+
+# ---- the bootstrap at its full size
+
+_DRAW = "((b + 1) * 48271 + (j + 1) * 69621) % 2147483647"
+
+
+@query(
+    f"""WITH sr AS (SELECT l_suppkey % 5 AS variant_id, CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS session, AVG(l_discount) - 0.05 AS r FROM lineitem GROUP BY 1, 2),
+st AS (SELECT variant_id, COUNT(*) AS n, LIST(r ORDER BY session) AS v FROM sr GROUP BY 1), sb AS (SELECT variant_id, n, v, UNNEST(RANGE(100000)) AS b FROM st),
+sh AS (SELECT variant_id, n, v, list_transform(range(n), lambda j: {_DRAW}) AS h FROM sb),
+ss AS (SELECT variant_id, n, list_sum(list_transform(h, lambda x: v[1 + ((x * x % 2147483647) * (x * x % 2147483647) + 11 * x + 7) % 2147483647 % n])) AS s FROM sh)
+SELECT variant_id, MAX(n) AS sessions, {_r6('QUANTILE_CONT(s, 0.025)')} AS p025, {_r6('QUANTILE_CONT(s, 0.5)')} AS p50, {_r6('QUANTILE_CONT(s, 0.975)')} AS p975, {_r6('AVG(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END)')} AS positive FROM ss GROUP BY variant_id"""
+)
+def h14_bootstrap_100000(spark, sf_dir):
+    """100,000 resamples of the monthly returns of five streams."""
+    lines = table(spark, sf_dir, "lineitem")
+    r = lines.groupBy((F.col("l_suppkey") % 5).alias("variant_id"), F.trunc("l_shipdate", "month").alias("session")).agg((F.avg("l_discount") - 0.05).alias("daily_return"))
+    out = statistics.session_bootstrap(r, 100_000)
+    return out.select("variant_id", "sessions", *[six(F.col(c)).alias(c) for c in ("p025", "p50", "p975", "positive")])
+
+
+# ---- the sweep: 4 lookbacks, 3 windows of volatility, 3 sizes and 2 cadences over weekly bars of names that grow with the suppliers
+
+_GRID = {"lookback": [4, 8, 13, 26], "volatility": [4, 8, 16], "top_n": [1, 2, 4], "every": [1, 4]}
+_NAMES = "(SELECT GREATEST(10, COUNT(*) // 10) FROM supplier)"
+_GROWING = f"lg AS (SELECT * REPLACE (l_suppkey % {_NAMES} AS l_suppkey) FROM lineitem), " + bars_sql("weekly10").replace("% 10 AS k", "AS k").replace("FROM lineitem", "FROM lg")
+_GRID_SQL = " CROSS JOIN ".join(f"(SELECT UNNEST({v}) AS {k}) {k[0]}t" for k, v in _GRID.items())
+_SWEEP = f"""WITH {_GROWING}, {PANEL_SQL}, va AS (SELECT ROW_NUMBER() OVER (ORDER BY lookback, volatility, top_n, every) - 1 AS variant_id, * FROM {_GRID_SQL}),
+dk AS (SELECT timestamp, ROW_NUMBER() OVER (ORDER BY timestamp) - 1 AS k FROM (SELECT DISTINCT timestamp FROM bars)),
+pk AS (SELECT p.*, k, LEAD(open, 2) OVER w / LEAD(open, 1) OVER w - 1 AS forward, {', '.join(f'close / LAG(close, {v}) OVER w - 1 AS m{v}' for v in _GRID['lookback'])},
+  {', '.join(f'CASE WHEN COUNT(r) OVER (PARTITION BY symbol ORDER BY p.timestamp ROWS BETWEEN {v - 1} PRECEDING AND CURRENT ROW) = {v} THEN STDDEV_SAMP(r) OVER (PARTITION BY symbol ORDER BY p.timestamp ROWS BETWEEN {v - 1} PRECEDING AND CURRENT ROW) * SQRT(252.0) END AS v{v}' for v in _GRID['volatility'])}
+  FROM p JOIN dk ON dk.timestamp = p.timestamp WINDOW w AS (PARTITION BY symbol ORDER BY p.timestamp)),
+sg AS ({' UNION ALL '.join(f'SELECT k, symbol, {a} AS lookback, {b} AS volatility, m{a} / NULLIF(v{b}, 0) AS score FROM pk' for a in _GRID['lookback'] for b in _GRID['volatility'])}),
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k, lookback, volatility ORDER BY ROUND(score, 9) DESC, symbol) AS rank FROM sg WHERE score > 0),
+ch AS (SELECT variant_id, rk.k, every, symbol, 0.9 / COUNT(*) OVER (PARTITION BY variant_id, rk.k) AS w FROM rk JOIN va USING (lookback, volatility) WHERE rank <= top_n AND rk.k % every = 0),
+ws AS (SELECT va.variant_id, pk.k, pk.symbol, pk.forward, COALESCE(ch.w, 0) AS w FROM pk CROSS JOIN va LEFT JOIN ch ON ch.variant_id = va.variant_id AND ch.symbol = pk.symbol AND ch.k = pk.k - pk.k % va.every),
+wt AS (SELECT *, w - LAG(w, 1, 0) OVER (PARTITION BY variant_id, symbol ORDER BY k) AS d FROM ws),
+rt AS (SELECT variant_id, k, SUM(w * COALESCE(forward, 0)) - SUM(ABS(d)) * 0.001 AS r, SUM(ABS(d)) AS turnover, COUNT(*) FILTER (WHERE ABS(d) > 1e-12) AS orders FROM wt GROUP BY 1, 2),
+fd AS (SELECT *, CASE WHEN k + 1 <= LEAST(GREATEST(FLOOR(COUNT(*) OVER (PARTITION BY variant_id) * 0.7 + 1e-9), 1), COUNT(*) OVER (PARTITION BY variant_id) - 1) THEN 'train' ELSE 'test' END AS fold FROM rt),
+eq AS (SELECT *, EXP(SUM(LN(1 + r)) OVER (PARTITION BY variant_id, fold ORDER BY k)) AS e FROM fd), dd AS (SELECT *, e / MAX(e) OVER (PARTITION BY variant_id, fold ORDER BY k) - 1 AS dr FROM eq),
+me AS (SELECT variant_id, fold, ARG_MAX(e, k) - 1 AS tr, COALESCE(AVG(r) * SQRT(252.0) / NULLIF(STDDEV_POP(r), 0), 0) AS sh, MIN(dr) AS md FROM dd GROUP BY 1, 2),
+yr AS (SELECT GREATEST(DATE_DIFF('day', MIN(timestamp), MAX(timestamp)), 1) / 365.25 AS years FROM dk), tt AS (SELECT variant_id, SUM(turnover) AS turnover, SUM(orders) AS orders FROM rt GROUP BY 1),
+al AS (SELECT va.variant_id, lookback, volatility, top_n, every, a.tr AS train_return, a.sh AS train_sharpe, a.md AS train_max_drawdown, b.tr AS test_return, b.sh AS test_sharpe, b.md AS test_max_drawdown, turnover / years AS annual_turnover, CAST(orders AS BIGINT) AS orders, LEAST(a.sh, b.sh) AS robust_score
+  FROM va JOIN me a ON a.variant_id = va.variant_id AND a.fold = 'train' JOIN me b ON b.variant_id = va.variant_id AND b.fold = 'test' JOIN tt ON tt.variant_id = va.variant_id, yr)
+SELECT variant_id, lookback, volatility, top_n, every, orders, ROW_NUMBER() OVER (ORDER BY ROUND(robust_score, 9) DESC, ROUND(test_sharpe, 9) DESC, variant_id) AS place,
+  {', '.join(f'{_r6(c)} AS {c}' for c in ('train_return', 'train_sharpe', 'train_max_drawdown', 'test_return', 'test_sharpe', 'test_max_drawdown', 'annual_turnover', 'robust_score'))} FROM al"""
+
+
+def growing_panel(spark, sf_dir):
+    """Weekly bars of suppliers / 10 names (ten at least), a row for each week and name, stored."""
+    names = F.greatest(F.lit(10), F.floor(F.count(F.lit(1)) / 10)).alias("_names")
+    many = table(spark, sf_dir, "supplier").agg(names)  # one row
+    lines = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(many)).withColumn("l_suppkey", F.col("l_suppkey") % F.col("_names"))
+    return _stored(densify(bars_of(spark, lines, "weekly10", 1 << 62)))
+
+
+@query(_SWEEP)
+def h05_parameter_sweep(spark, sf_dir):
+    """72 variants of momentum from signal to train and test metrics, ranked by the lesser Sharpe."""
+    out = W.sweep(growing_panel(spark, sf_dir), statistics.grid(spark, _GRID), 0.7, 0.9, 10.0)
+    return out.select(*[six(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])

@@ -52,10 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str, panel: str = "daily10") -> DataFrame:
     """Bars derived from lineitem. They are kept, as a query reads them several times; equal ones are kept once."""
-    lines = table(spark, sf_dir, "lineitem")
-    session, symbols = PANELS[panel]
-    out = spark.sql("WITH " + _BARS.format(session=session, symbols=symbols).replace("FROM lineitem", "FROM {lines}") + " SELECT * FROM bars", lines=lines)
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+    return bars_of(spark, table(spark, sf_dir, "lineitem"), panel, PANELS[panel][1]).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def bars_of(spark: SparkSession, lines: DataFrame, panel: str, symbols: int) -> DataFrame:
+    """Bars of the given lines, a symbol being the supplier's number modulo symbols."""
+    return spark.sql("WITH " + _BARS.format(session=PANELS[panel][0], symbols=symbols).replace("FROM lineitem", "FROM {lines}") + " SELECT * FROM bars", lines=lines)
 
 
 def panel_of(spark: SparkSession, sf_dir: str, panel: str = "daily10") -> DataFrame:
