@@ -110,7 +110,10 @@ FORBIDDEN = ("code", "exec", "script", "password")
 
 
 def check_bundles(bundles: DataFrame, json: str = "json") -> DataFrame:
-    """bundles with `errors` and `ok`: unknown, missing and forbidden keys, version, types and limits of JSON objects."""
+    """bundles with `errors` and `ok`: unknown, missing and forbidden keys, version, types and limits of flat JSON objects.
+
+    Keys of executable content are found at any depth. `bundles.validate_bundles` has the rules of whole bundles.
+    """
     m = F.from_json(json, "map<string,string>")
     keys = F.map_keys(m)
     known = F.array(*[F.lit(k) for k in BUNDLE_KEYS])
@@ -120,7 +123,7 @@ def check_bundles(bundles: DataFrame, json: str = "json") -> DataFrame:
     sign, lookback = F.expr("try_cast(x['expected_sign'] as int)"), F.expr("try_cast(x['lookback'] as int)")
     out = bundles.withColumn("x", m)
     errors = F.concat(
-        name("unknown:", F.array_except(keys, known)), name("missing:", F.array_except(known, keys)), name("forbidden:", forbidden),
+        name("unknown:", F.array_except(keys, known)), name("missing:", F.array_except(known, keys)), name("forbidden:", forbidden), name("executable:", executable_keys(F.col(json))),
         rule(F.coalesce(F.col("x")["schema_version"] != "1", F.lit(False)), "version"),
         rule(F.coalesce(lookback, F.lit(0)) < 1, "lookback"), rule(~F.coalesce(sign.isin(-1, 1), F.lit(False)), "sign"),
     )
