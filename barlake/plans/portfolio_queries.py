@@ -179,6 +179,31 @@ def a11_filing_features(spark, sf_dir):
     return _filings(spark, sf_dir).select("symbol", "fy", "fp", "available_at", *[six(F.col(c)).alias(c) for c in _RATIOS])
 
 
+def _scanned(spark, sf_dir):
+    """The filed facts written as JSON files of companies and scanned."""
+    path = f"{_work_dir(spark)}/facts"
+    points = _points(spark, sf_dir).withColumn("fp", F.concat(F.lit("Q"), F.col("fp").cast("string")))
+    ingest.write_company_facts(points.withColumn("unit", F.when(F.col("concept") == "shares", "shares").otherwise("USD")), path)
+    return ingest.scan_company_facts(spark, path)
+
+
+_POINTS = f"""{_FILED}, pn AS (SELECT symbol, ([{', '.join(f"'{c}'" for c in _CONCEPTS)}])[c + 1] AS concept, CASE WHEN c = 7 THEN 'shares' ELSE 'USD' END AS unit, val, fy, 'Q' || CAST(fp AS VARCHAR) AS fp, MAKE_DATE(fy, 3 * fp - 2, 1) AS s, CAST(MAKE_DATE(fy, 3 * fp - 2, 1) + INTERVAL 3 MONTH AS DATE) - 1 AS "end", symbol || '-' || CAST(fy AS VARCHAR) || '-' || CAST(fp AS VARCHAR) AS accn FROM pt),
+po AS (SELECT *, '10-Q' AS form, s AS "start", val AS v FROM pn UNION ALL SELECT *, '8-K', s, val * 2 FROM pn UNION ALL SELECT *, '10-Q', CAST(s - INTERVAL 6 MONTH AS DATE), val * 3 FROM pn)"""
+
+
+@query(f'WITH {_POINTS} SELECT symbol, concept, unit, ROUND(v, 2) AS val, fy, fp, form, "start", "end", "end" + 40 AS filed, accn FROM po')
+def a10_company_facts(spark, sf_dir):
+    """Every point of companies' facts, with the form, dates and number of its filing, scanned from JSON files."""
+    return _scanned(spark, sf_dir).withColumn("val", F.round("val", 2))
+
+
+@query(f"WITH {_FILED} SELECT symbol, 'Q' || CAST(fp AS VARCHAR) AS fp, fy, available_at, {', '.join(f'{_r6(c)} AS {c}' for c in _RATIOS)} FROM ff")
+def a11_scanned_features(spark, sf_dir):
+    """The features of filings that a scan of JSON files yields."""
+    found = ingest.filing_features(_scanned(spark, sf_dir), {c: [f"{c}Restated", c] for c in _CONCEPTS})
+    return found.select("symbol", "fy", "fp", "available_at", *[six(F.col(c)).alias(c) for c in _RATIOS])
+
+
 def _known_sql(c: str) -> str:
     return f"(SELECT ARG_MAX({c}, ff.available_at) FROM ff WHERE ff.symbol = p.symbol AND ff.available_at + 1 <= p.timestamp AND {c} IS NOT NULL)"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,6 +86,41 @@ def fundamental_features(facts: DataFrame, names: dict[str, str]) -> DataFrame:
     return out.withColumn("return_on_assets", F.try_divide("income", F.abs("assets"))).withColumn("revenue_growth", growth).drop("_before")
 
 
+_POINT = "val: double, fy: int, fp: string, form: string, filed: string, start: string, end: string, accn: string"
+_COMPANY = f"cik string, entityName string, facts map<string, map<string, struct<units: map<string, array<struct<{_POINT}>>>>>>"
+
+
+def company_facts(documents: DataFrame, taxonomy: str = "us-gaap", symbol: str = "symbol", json: str = "json") -> DataFrame:
+    """(symbol, concept, unit, val, fy, fp, form, filed, start, end, accn) of every point of companies' filed facts.
+
+    documents: (symbol, json), a text for each company: facts -> taxonomy -> concept -> units -> unit -> points. Other
+    taxonomies are left out; symbols are upper-cased. A field that is missing or has another type is null, and dates
+    that are none are null; a text that is no JSON has no points.
+    """
+    whole = documents.select(F.upper(symbol).alias("symbol"), F.from_json(json, _COMPANY).alias("d"))
+    concepts = whole.select("symbol", F.explode(F.try_element_at("d.facts", F.lit(taxonomy))).alias("concept", "c"))
+    units = concepts.select("symbol", "concept", F.explode("c.units").alias("unit", "points"))
+    points = units.select("symbol", "concept", "unit", F.explode("points").alias("p"))
+    return points.select("symbol", "concept", "unit", "p.val", "p.fy", "p.fp", "p.form", *[F.expr(f"try_cast(p.{c} AS date)").alias(c) for c in ("filed", "start", "end")], "p.accn")
+
+
+def scan_company_facts(spark: SparkSession, path: str, taxonomy: str = "us-gaap") -> DataFrame:
+    """company_facts of JSON files, one whole file a company: <symbol>.json, or any name in a folder symbol=<symbol>."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    folder, name = F.regexp_extract("file", "/symbol=([^/]+)/", 1), F.regexp_extract("file", r"/([^/]+?)(\.json|\.txt)?$", 1)
+    return company_facts(files.select(F.when(folder != "", folder).otherwise(name).alias("symbol"), F.col("value").alias("json")), taxonomy)
+
+
+def write_company_facts(points: DataFrame, path: str, taxonomy: str = "us-gaap") -> None:
+    """The inverse: points written as a file for each company in a folder symbol=<symbol>; null fields are left out."""
+    point = F.struct("val", "fy", "fp", "form", *[F.col(c).cast("string").alias(c) for c in ("filed", "start", "end")], "accn")
+    units = points.groupBy("symbol", "concept", "unit").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    concepts = units.groupBy("symbol", "concept").agg(F.struct(F.map_from_entries(F.collect_list(F.struct("unit", "points"))).alias("units")).alias("c"))
+    facts = concepts.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("concept", "c"))).alias("m"))
+    body = F.to_json(F.struct(F.col("symbol").alias("entityName"), F.create_map(F.lit(taxonomy), "m").alias("facts")))
+    facts.select("symbol", body.alias("value")).repartition("symbol").write.partitionBy("symbol").text(path)
+
+
 #: Forms that count, and the days that a reported period may last.
 QUARTERLY, ANNUAL = ("10-Q",), ("10-K", "20-F", "40-F")
 QUARTER_DAYS, YEAR_DAYS = (60, 120), (300, 430)
