@@ -99,10 +99,13 @@ QUALITY_PARTS = {"gross_profitability": 0.2, "cash_profitability": 0.2, "accrual
 EARNINGS_PARTS = {"revenue_growth": 0.5, "earnings_growth": 0.5}
 
 
-def fundamental_scores(panel: DataFrame) -> DataFrame:
-    """panel with quality_score and earnings_score: means of signed z-scores, growth clipped to +-5; null counts as 0."""
+def fundamental_scores(panel: DataFrame, fill: bool = True) -> DataFrame:
+    """panel with quality_score and earnings_score: means of signed z-scores, growth clipped to +-5.
+
+    A score with a null part is 0, or without fill null, as it must be where scores are shown or ranked and not summed.
+    """
     clipped = panel.withColumns({c: X.clip(c, -5.0, 5.0) for c in EARNINGS_PARTS})
-    return composite(composite(clipped, QUALITY_PARTS, "quality_score", fill=True), EARNINGS_PARTS, "earnings_score", fill=True)
+    return composite(composite(clipped, QUALITY_PARTS, "quality_score", fill=fill), EARNINGS_PARTS, "earnings_score", fill=fill)
 
 
 def eligible(member: Column, momentum: str, close: str, fast: str, slow: str, volatility: str, score: str, benchmark: str, most: float = 0.60) -> Column:

@@ -55,6 +55,18 @@ def session_rollup(curve: DataFrame) -> DataFrame:
     return day.withColumn("daily_return", F.try_divide(F.col("equity"), F.lag("equity").over(Window.orderBy("session"))) - 1)
 
 
+def session_rollup_with_benchmark(curve: DataFrame) -> DataFrame:
+    """(session, equity, daily_return, benchmark_return): as session_rollup, the first return being 0.
+
+    curve: (session, timestamp, equity, benchmark_return); the benchmark's returns of a session's bars are compounded, a
+    missing one counting as none.
+    """
+    grown = F.exp(F.sum(F.log1p(F.coalesce("benchmark_return", F.lit(0.0))))) - 1
+    day = curve.groupBy("session").agg(F.max_by("equity", "timestamp").alias("equity"), grown.alias("benchmark_return"))
+    before = F.lag("equity").over(Window.orderBy("session"))  # a row a session
+    return day.select("session", "equity", F.coalesce(F.try_divide(F.col("equity"), before) - 1, F.lit(0.0)).alias("daily_return"), "benchmark_return")
+
+
 def once_daily_reversal(bars: DataFrame, signal: int, flat: int, drop: float, n: int, cap: float, gross: float = 1.0, continuation: bool = False) -> DataFrame:
     """Longs, from the signal bar to the flat bar, on names that fell most by the signal, at or under their VWAP.
 

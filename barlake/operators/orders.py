@@ -44,6 +44,12 @@ def implementation_shortfall(orders: DataFrame, fills: DataFrame) -> DataFrame:
     return rows.withColumn("fill_rate", rate).withColumn("missed", F.coalesce(F.col("filled_quantity"), F.lit(0.0)) <= 0).withColumn("shortfall_bps", F.when(~F.col("missed"), bps))
 
 
+def latest_fills(fills: DataFrame, order: str = "seen_at") -> DataFrame:
+    """One row for each client_order_id: the last report by order; of several, the one with most filled."""
+    by = Window.partitionBy("client_order_id").orderBy(F.col(order).desc(), F.col("filled_quantity").desc())
+    return fills.withColumn("_k", F.row_number().over(by)).where("_k = 1").drop("_k")
+
+
 def kill_switch(shortfalls: DataFrame, last: int = 20, limit_bps: float = 2.0, key: str = "account", order: str = "client_order_id") -> DataFrame:
     """For each account the mean shortfall of its last fills and whether that trips the switch; no fills, no trip."""
     filled = shortfalls.where("not missed").withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where(F.col("_k") <= last)

@@ -94,6 +94,14 @@ def forecast_ceiling(weights: DataFrame, pairs: DataFrame, target: float, period
     return out.withColumn("target_weight", F.col("target_weight") * scale)
 
 
+def core_and_sleeve(targets: DataFrame, core: str, core_weight: float, active_weight: float, band: float, every: int, volatility_target: float | None = None, lookback: int = 20, context: tuple[str, ...] = ()) -> DataFrame:
+    """`sleeve` of the names but the core and the context, beside the core at its fixed weight and the context at none."""
+    active = targets.where(~F.col("symbol").isin(core, *context))
+    held = sleeve(active, active_weight, band, every, volatility_target, lookback)
+    rest = targets.where(F.col("symbol").isin(core, *context)).select("variant_id", "timestamp", "symbol", F.when(F.col("symbol") == core, core_weight).otherwise(0.0).alias("target_weight"))
+    return held.unionByName(rest)
+
+
 def sleeve(targets: DataFrame, active_weight: float, band: float, every: int, volatility_target: float | None = None, lookback: int = 20) -> DataFrame:
     """(variant_id, timestamp, symbol, target_weight) of a sleeve that trades only outside of a band.
 

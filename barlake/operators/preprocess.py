@@ -27,6 +27,40 @@ class Steps:
         return cls(winsor=0.02 if has("winsor") else None, zscore=has("zscore", "znorm"), demean=has("demean", "neutral"), lag=lag)
 
 
+def bundle_steps(json: Column) -> Column:
+    """struct of winsor and zscore, as a bundle's preprocessing (JSON text) asks for them: both unless it says otherwise.
+
+    An object says so by false, null, 0 or an empty text under winsorize and cross_sectional_zscore. A list of step objects names
+    what is to be done, by kind or else op: a name that holds winsor, and one that holds zscore or znorm. A list without
+    objects, and anything else, asks for both.
+    """
+    steps = F.from_json(json, "array<struct<kind: string, op: string>>")
+    is_list = F.ltrim(json).startswith("[")
+    objects = F.filter(steps, lambda s: s.isNotNull() & (s["kind"].isNotNull() | s["op"].isNotNull()))
+    names = F.transform(objects, lambda s: F.lower(F.coalesce(F.when(F.length(s["kind"]) > 0, s["kind"]), s["op"])))
+    listed = is_list & (F.size(F.coalesce(names, F.array().cast("array<string>"))) > 0)
+    named = lambda *marks: F.exists(names, lambda n: F.greatest(*[F.contains(n, F.lit(m)) for m in (*marks, marks[0])]))
+    value = lambda k: F.get_json_object(json, f"$.{k}")
+    set_ = F.from_json(json, "map<string,string>")
+    off = lambda k: F.map_contains_key(set_, k) & (value(k).isNull() | value(k).isin("false", "0", "0.0", "", "[]", "{}"))
+    is_object = F.coalesce(F.ltrim(json).startswith("{"), F.lit(False))
+    one = lambda k, *marks: F.when(F.coalesce(listed, F.lit(False)), named(*marks)).when(is_object, ~F.coalesce(off(k), F.lit(False))).otherwise(F.lit(True))
+    return F.struct(one("winsorize", "winsor").alias("winsor"), one("cross_sectional_zscore", "zscore", "znorm").alias("zscore"))
+
+
+def preprocess_variants(panel: DataFrame, x: str, variants: DataFrame) -> DataFrame:
+    """(variant_id, timestamp, symbol, value) of every variant (variant_id, winsor, zscore) of the steps, demeaned or lagged by none.
+
+    Each kind of steps is made once, and joined to the variants that ask for it.
+    """
+    kinds = [(w, z) for w in (False, True) for z in (False, True)]
+    made = [preprocess(panel, x, Steps(winsor=0.02 if w else None, zscore=z, demean=False, lag=0)).select("timestamp", "symbol", "value", F.lit(w).alias("winsor"), F.lit(z).alias("zscore")) for w, z in kinds]
+    rows = made[0]
+    for m in made[1:]:
+        rows = rows.union(m)
+    return rows.join(variants, ["winsor", "zscore"]).select("variant_id", "timestamp", "symbol", "value")
+
+
 def fields(panel: DataFrame, names: list[str]) -> DataFrame:
     """The wanted raw fields; `returns` is derived, `vwap` passes through where the source has it."""
     derived = {"returns": X.ts_returns("close", 1)}

@@ -27,6 +27,37 @@ def priority_universe(bars: DataFrame, preferred: DataFrame, cap: int, synthetic
     return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "symbol"))).where(F.col("place") <= cap)
 
 
+#: Beginnings of made-up tickers, which a number follows.
+SYNTHETIC = ("SYM",)
+
+
+def bind_universes(requests: DataFrame, bars: DataFrame, benchmark: str, cap: int | None = None, key: str = "candidate_id") -> DataFrame:
+    """(key, source, ok, reason, symbols): what each request may trade, names with most bars first, cap of them.
+
+    requests: (key, configured, wanted), both arrays of symbols or null. A configured list comes first, and fails if none
+    of it is in the bars; then the wanted list, less made-up tickers; if none of that is in the bars, all names are. The
+    benchmark is never among them. Letter case does not count; of equally many bars the lesser symbol comes first.
+    """
+    names = bars.where(F.upper("symbol") != benchmark.upper()).groupBy(F.upper("symbol").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+    made_up = "^(" + "|".join(SYNTHETIC) + ")[0-9]+$"
+    lists = requests.select(key, F.size(F.coalesce("configured", F.array().cast("array<string>"))).alias("_c"), F.explode_outer(F.array_union(
+        F.coalesce(F.transform("configured", lambda s: F.struct(F.lit("config").alias("source"), F.upper(s).alias("symbol"))), F.array().cast("array<struct<source: string, symbol: string>>")),
+        F.coalesce(F.transform(F.filter("wanted", lambda s: ~F.upper(s).rlike(made_up)), lambda s: F.struct(F.lit("bundle_symbol_list").alias("source"), F.upper(s).alias("symbol"))), F.array().cast("array<struct<source: string, symbol: string>>")),
+    )).alias("e")).select(key, "_c", "e.*")
+    found = lists.join(names, "symbol").groupBy(key, "source").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "symbol"))).alias("l"))
+    wide = requests.select(key, (F.size(F.coalesce("configured", F.array().cast("array<string>"))) > 0).alias("_own"))
+    for source in ("config", "bundle_symbol_list"):
+        wide = wide.join(found.where(F.col("source") == source).select(key, F.col("l").alias(source)), key, "left")
+    every = names.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "symbol"))).alias("_all"))  # one row, the names of the bars
+    wide = wide.crossJoin(F.broadcast(every))
+    source = F.when(F.col("_own"), "config").when(F.col("bundle_symbol_list").isNotNull(), "bundle_symbol_list").when(F.size("_all") > 0, "research_broad_pit").otherwise("none")
+    picked = F.when(F.col("_own"), F.col("config")).otherwise(F.coalesce("bundle_symbol_list", "_all"))
+    symbols = F.transform(F.coalesce(picked, F.array().cast("array<struct<n: bigint, symbol: string>>")), lambda x: x["symbol"])
+    out = wide.select(key, source.alias("source"), (symbols if cap is None else F.slice(symbols, 1, cap)).alias("symbols"))
+    reason = F.when(F.size("symbols") > 0, F.concat(F.lit("bound "), F.size("symbols").cast("string"), F.lit(" symbols"))).when(F.col("source") == "config", "config symbols not present in bars").otherwise("no bars available to bind a universe")
+    return out.select(key, "source", (F.size("symbols") > 0).alias("ok"), reason.alias("reason"), "symbols")
+
+
 def missing_price_exits(panel: DataFrame, sessions: int, haircut: float) -> DataFrame:
     """(timestamp, symbol, exit_price): a name whose close has been missing for `sessions` rows leaves at its last one."""
     w = Window.partitionBy("symbol").orderBy("timestamp")
@@ -89,6 +120,20 @@ def close_summary(reconciled: DataFrame, band: float) -> DataFrame:
     )
 
 
+def strategy_rebalance_due(sessions: DataFrame, last: DataFrame, strategies: DataFrame, every: int) -> DataFrame:
+    """rebalance_due for what each account runs now: an account is due at once if it was last rebalanced by another strategy.
+
+    last: (account, last_rebalance, strategy); strategies: (account, strategy), the accounts that count. The newest
+    rebalance is the one that counts; of several on one day, that of the greatest name. With another strategy, or none
+    before, sessions_since is `every`.
+    """
+    newest = last.groupBy("account").agg(F.max_by("strategy", F.struct("last_rebalance", "strategy")).alias("_was"), F.max("last_rebalance").alias("last_rebalance"))
+    counted = rebalance_due(sessions, newest.select("account", "last_rebalance"), every)
+    both = strategies.join(newest.select("account", "_was"), "account", "left").join(counted, "account", "left")
+    same = F.coalesce(F.col("_was") == F.col("strategy"), F.lit(False))
+    return both.select("account", "strategy", F.when(same, F.col("sessions_since")).otherwise(every).cast("long").alias("sessions_since"), (~same | F.coalesce("due", F.lit(True))).alias("due"))
+
+
 def rebalance_due(sessions: DataFrame, last: DataFrame, every: int) -> DataFrame:
     """For each account whether at least `every` distinct sessions came after its last rebalance; never rebalanced is due.
 
