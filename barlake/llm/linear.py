@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .textops import _BYTE_VALUE, _LOWER, SLICE_BYTES, _powers, buffers, mix64
+from .textops import _BYTE_VALUE, _LOWER, SLICE_BYTES, _pieces, _powers, buffers, mix64
 
 #: Size of the hashed feature space.
 BITS = 20
@@ -38,30 +38,43 @@ def _tokens(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes[real], starts[real]
 
 
+def row_parts(data: np.ndarray, offsets: np.ndarray, row: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, where each row begins and the end): a run of rows, or the parts of a single long one."""
+    part = data[offsets[row] : offsets[last]]
+    if last == row + 1 and len(part) > 4 * SLICE_BYTES:
+        for piece in _pieces(part, 4 * SLICE_BYTES):
+            yield piece, np.array([0, len(piece)])
+    else:
+        yield part, offsets[row : last + 1] - offsets[row]
+
+
 def features(texts: pa.Array, max_n: int = 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of rows: (first row, row after the last, row of each feature, its index, its value).
 
     Features are the distinct hashed n-grams (1 to max_n) of a text's tokens with value 1 + ln(count), and one that
-    counts words equal to the word before. Texts of more than SLICE_BYTES are taken in parts whose counts are added.
+    counts words equal to the word before. A long text is taken in parts that end at white space; their counts are
+    added, and the last tokens of a part go before the next one's, so that the parts cannot be told from the whole.
     """
     data, offsets = buffers(texts)
     n, row = len(offsets) - 1, 0
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
-        keys, counts = [], []
-        for at in range(offsets[row], max(offsets[last], offsets[row] + 1), 4 * SLICE_BYTES):
-            end = min(offsets[last], at + 4 * SLICE_BYTES)
-            firsts = np.clip(offsets[row : last + 1], at, end) - at
-            hashes, starts = _tokens(data[at:end], np.unique(firsts[:-1]))
+        keys, counts, carried = [], [], np.zeros(0, np.uint64)
+        for part, firsts in row_parts(data, offsets, row, last):
+            hashes, starts = _tokens(part, np.unique(firsts[:-1]))
             owner = np.searchsorted(firsts, starts, "right") - 1
+            old = len(carried)
+            hashes, owner = np.concatenate([carried, hashes]), np.concatenate([np.zeros(old, np.int64), owner])
+            carried = hashes[len(hashes) - min(len(hashes), max_n - 1) :]
             same = np.zeros(len(hashes), bool)
             same[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
-            grams = [np.where(same, _REPEAT, hashes)]
-            owners = [owner]
+            plain = np.where(same, _REPEAT, hashes)
+            grams, owners = [plain[old:]], [owner[old:]]
             run = hashes
             for k in range(1, max_n):
-                run = run[:-1] * _STEP + grams[0][k:]
+                run = run[:-1] * _STEP + plain[k:]
                 inside = owner[k:] == owner[: len(owner) - k]
+                inside[: max(old - k, 0)] = False  # what ends in a part before is counted there
                 grams.append(mix64(run)[inside])
                 owners.append(owner[k:][inside])
             flat = (np.concatenate(owners).astype(_U) << _U(BITS)) | (np.concatenate(grams) >> _U(64 - BITS))

@@ -8,12 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import linear
-from .shared import unused
+from .shared import materialize, unused
 
-#: Labelled rows that a classifier is fitted on, at most: those with the least hash of their id.
-SAMPLE_ROWS = 6000
+#: Labelled rows that a classifier is fitted on, at most: those with the least hash of their id, as far as their texts
+#: have so many bytes together.
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 128 << 20
 L1, PASSES = 2.0, 3
 
 
@@ -22,17 +24,32 @@ def held_out(key: Column, mod: int, rest: int) -> Column:
 
 
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, key: str, text: str, rows: int) -> DataFrame:
-    """(text, y) of at most `rows` labelled rows; the sample of ids is small enough to be sent to every task."""
+    """(text, y) of at most `rows` labelled rows and SAMPLE_BYTES; the sample of ids is small enough to be sent to every task.
+
+    Of repeated ids the text of the least hash counts, and label 1 before label 0.
+    """
     ids = labels.where(usable & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id")).agg(F.max(F.col(label).cast("double")).alias("y"))
     chosen = ids.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     own = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return own.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_id", "text", "y")
+    return within_bytes(own.join(F.broadcast(chosen), "_id"))
+
+
+def within_bytes(rows: DataFrame) -> DataFrame:
+    """(_id, text, y), one row an id, as far as the texts have SAMPLE_BYTES together in the order of the ids' hashes.
+
+    rows: a bounded sample (_id, text, y), of which only keys and sizes are put in order.
+    """
+    one = rows.groupBy("_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y"))
+    order = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = one.select("_id", F.sum(F.octet_length("text")).over(order).alias("_sum")).where(F.col("_sum") <= SAMPLE_BYTES).select("_id")
+    return one.join(F.broadcast(sizes), "_id").select("_id", "text", "y")
 
 
 def fit(sample: DataFrame, featurise=linear.feature_rows, l1: float = L1, passes: int = PASSES, alpha: float = 0.1, raised_in: int = 0) -> np.ndarray:
     """Weights, the bias first, from a bounded sample (text, y). Tasks make the features, only those reach the driver.
 
-    With raised_in, only features of that many rows of label 1 count that are twice as usual there as elsewhere.
+    With raised_in, only features of that many rows of label 1 count that are twice as usual there as elsewhere; tasks
+    count them and leave the others out, so that few reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,17 +61,42 @@ def fit(sample: DataFrame, featurise=linear.feature_rows, l1: float = L1, passes
             )
 
     made = sample.select("_id", "text", "y").mapInArrow(run, "id long, i binary, v binary, y double")
+    if raised_in:
+        made = _raised(materialize(made, "features"), raised_in)
     rows = [(r["id"], np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float16), r["y"]) for r in made.toLocalIterator()]
     rows.sort(key=lambda r: r[0])
-    if raised_in and rows:
-        high = np.array([r[3] > 0.5 for r in rows])
-        count = lambda part: np.bincount(np.concatenate([np.zeros(0, np.int32), *part]), minlength=1 << linear.BITS)
-        inside, outside = count([r[1] for r, h in zip(rows, high, strict=True) if h]), count([r[1] for r, h in zip(rows, high, strict=True) if not h])
-        keep = (inside >= raised_in) & (inside / max(high.sum(), 1) > 2 * outside / max((~high).sum(), 1))
-        rows = [(r[0], r[1][keep[r[1]]], r[2][keep[r[1]]], r[3]) for r in rows]
     return linear.Ftrl(l1=l1, alpha=alpha).fit([r[1:] for r in rows], passes).weights().astype(np.float32)
 
 
+def _raised(made: DataFrame, raised_in: int) -> DataFrame:
+    """made (id, i, v, y) with only the features of `fit`'s raised_in; their table is no larger than the feature space."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << linear.BITS), np.int64)
+        for batch in batches:
+            for i, y in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                seen[int(y > 0.5), np.frombuffer(i, np.int32)] += 1
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(seen[1, at]), pa.array(seen[0, at])], ["at", "high", "low"])
+
+    highs, rows = made.agg(F.count_if(F.col("y") > 0.5), F.count(F.lit(1))).first()
+    sums = made.mapInArrow(count, "at int, high long, low long").groupBy("at").agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
+    some = sums.where((F.col("high") >= raised_in) & (F.col("high") / max(highs, 1) > 2 * F.col("low") / max(rows - highs, 1)))
+    keep = np.zeros(1 << linear.BITS, bool)
+    keep[some.select("at").toArrow().column("at").to_numpy()] = True
+    shared = made.sparkSession.sparkContext.broadcast(keep)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+            v = [np.frombuffer(x, np.float16) for x in batch.column(2).to_pylist()]
+            kept = [shared.value[x] for x in i]
+            columns = [batch.column(0), pa.array([x[k].tobytes() for x, k in zip(i, kept, strict=True)], pa.binary()), pa.array([x[k].tobytes() for x, k in zip(v, kept, strict=True)], pa.binary()), batch.column(3)]
+            yield pa.record_batch(columns, ["id", "i", "v", "y"])
+
+    return made.mapInArrow(thin, made.schema)
+
+
 def scorer(docs: DataFrame, weights: np.ndarray, text: str, score=linear.score):
     """A vectorised function of the text; the weights (fixed size, 4 MB) are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)

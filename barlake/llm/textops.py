@@ -62,11 +62,11 @@ def hash_words_of(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.
     return mix64(np.add.reduceat(value, starts - starts[0])), starts
 
 
-def _pieces(text: np.ndarray) -> Iterator[np.ndarray]:
+def _pieces(text: np.ndarray, size: int | None = None) -> Iterator[np.ndarray]:
     """A long text in parts that end where a word ends."""
-    at = 0
-    while len(text) - at > SLICE_BYTES:
-        cut = at + SLICE_BYTES
+    at, size = 0, size or SLICE_BYTES
+    while len(text) - at > size:
+        cut = at + size
         gaps = np.flatnonzero(_IS_SPACE[text[cut:]]) if not _IS_SPACE[text[cut]] else np.zeros(1, np.int64)
         cut = cut + int(gaps[0]) if len(gaps) else len(text)
         yield text[at:cut]

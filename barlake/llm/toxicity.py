@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import linear
 from .linear import BITS, _tokens
-from .quality_model import SAMPLE_ROWS, bounded_sample, fit, held_out, scorer
+from .quality_model import SAMPLE_ROWS, bounded_sample, fit, held_out, scorer, within_bytes
 from .shared import materialize, unused
 from .textops import _BYTE_VALUE, _IS_SPACE, _LOWER, SLICE_BYTES, _powers, buffers, mix64
 
@@ -56,20 +56,18 @@ def _terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     n, row = len(offsets) - 1, 0
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
-        owners, codes = [], []
-        for at in range(offsets[row], max(offsets[last], offsets[row] + 1), 4 * SLICE_BYTES):
-            end = min(offsets[last], at + 4 * SLICE_BYTES)
-            firsts = np.clip(offsets[row : last + 1], at, end) - at
-            part = data[at:end]
+        owners, codes, before = [], [], None
+        for part, firsts in linear.row_parts(data, offsets, row, last):
             hashes, starts = _tokens(part, np.unique(firsts[:-1]))
             owner = np.searchsorted(firsts, starts, "right") - 1
             owners.append(owner)
             codes.append(hashes)
-            for places, found in _spellings(part, firsts):
+            spelled, before = _spellings(part, firsts, before)
+            for places, found in spelled:
                 owners.append(np.searchsorted(firsts, places, "right") - 1)
                 codes.append(found)
             if len(starts):
-                size = _lengths(part, starts)
+                size = _lengths(part, starts, firsts)
                 lower = _BYTE_VALUE[_LOWER[part]]
                 powers = _powers(max(BEGINNINGS))
                 total = np.zeros(len(starts), np.uint64)
@@ -84,8 +82,11 @@ def _terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         row = last
 
 
-def _spellings(data: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, codes) of each word's spelling and of the patterns that words show."""
+def _spellings(data: np.ndarray, firsts: np.ndarray, before: np.uint64 | None) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.uint64 | None]:
+    """(places, codes) of each word's spelling and of the patterns that words show, and the last spelling.
+
+    before: the last spelling of the part before, if the text goes on from there.
+    """
     inside = ~_IS_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -93,7 +94,7 @@ def _spellings(data: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarra
     begins[heads] = inside[heads]
     at = np.flatnonzero(inside & (_READ[data] > 0))
     if not len(at):
-        return
+        return [], before
     word, read = np.cumsum(begins)[at], _READ[data[at]]
     more = np.zeros(len(at), bool)
     more[1:] = (word[1:] == word[:-1]) & (read[1:] == read[:-1])
@@ -110,16 +111,15 @@ def _spellings(data: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarra
     codes = mix64(np.add.reduceat(_BYTE_VALUE[read] * _powers(int(span.max()))[place], starts) ^ _SPELLING)
     firsts_of = at[starts]
     row = np.searchsorted(firsts, firsts_of, "right")
-    again = firsts_of[1:][(codes[1:] == codes[:-1]) & (row[1:] == row[:-1])]
-    yield firsts_of, codes
-    for places, code in ((long, _STRETCHED), (mixed, _MIXED), (again, _AGAIN), (loud, _CAPITALS)):
-        yield places, np.full(len(places), code)
+    same = np.append(codes[:1] == before if before is not None else False, (codes[1:] == codes[:-1]) & (row[1:] == row[:-1]))
+    patterns = ((long, _STRETCHED), (mixed, _MIXED), (firsts_of[same], _AGAIN), (loud, _CAPITALS))
+    return [(firsts_of, codes), *((places, np.full(len(places), code)) for places, code in patterns)], codes[-1]
 
 
-def _lengths(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Bytes of the run of one kind that begins at each start."""
+def _lengths(data: np.ndarray, starts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Bytes of the run of one kind that begins at each start; a row's end ends it, too."""
     kind = linear._KIND[data]
-    ends = np.append(np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(data))
+    ends = np.unique(np.concatenate([np.flatnonzero(kind[1:] != kind[:-1]) + 1, firsts, [len(data)]]))
     return ends[np.searchsorted(ends, starts, "right")] - starts
 
 
@@ -345,7 +345,7 @@ def unlabelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, key: s
     known = labels.where("toxic is not null").select(F.col(key).cast("long").alias("_id"))
     chosen = own.join(known, "_id", "left_anti").distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_id", "text", F.lit(None).cast("double").alias("y"))
+    return within_bytes(texts.join(F.broadcast(chosen), "_id").withColumn("y", F.lit(None).cast("double")))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS, usable: Column | None = None, settings: dict | None = None) -> np.ndarray:

@@ -7,9 +7,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from barlake.llm import fingerprints, merkle_manifest, vector_codes
+from barlake.llm import fingerprints, linear, merkle_manifest, quality_model, toxicity, vector_codes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, hash string, idx int, guest string"
 
@@ -219,3 +220,31 @@ def test_vector_codes_of_an_empty_table_and_many_labels(spark, monkeypatch):
     rows = [(i, v, 0 if i % 3 else i) for i, v in enumerate(vectors(90, 4, 2))]
     got = sorted((tuple(r) for r in vector_codes.compress(spark.createDataFrame(rows, empty.schema)).collect()), key=repr)
     assert got == coded(rows)
+
+
+def test_features_of_long_texts_do_not_see_where_they_are_cut(monkeypatch):
+    r = random.Random(4)
+    words = ["stop", "stop", "ab", "sooooo", "b4d", "LOUD", "é", "naïve", "don't", "x!y", "--", "w" * 30]
+    texts = [" ".join(r.choice(words) + ("\n" if r.random() < 0.1 else "") for _ in range(n)) for n in (3, 400, 900)] + ["", "no", "y " * 300]
+    sets = lambda rows: [dict(zip(i.tolist(), v.tolist(), strict=True)) for i, v in rows]
+    whole = [sets(f(pa.array(texts))) for f in (linear.feature_rows, toxicity.term_features)]
+    trigrams = [sorted(zip(o.tolist(), i.tolist(), v.tolist(), strict=True)) for _, _, o, i, v in linear.features(pa.array(texts[1:2]), 3)]
+    for size in (16, 37, 64):
+        monkeypatch.setattr(linear, "SLICE_BYTES", size)
+        monkeypatch.setattr(toxicity, "SLICE_BYTES", size)
+        assert [sets(f(pa.array(texts))) for f in (linear.feature_rows, toxicity.term_features)] == whole
+        assert [sorted(zip(o.tolist(), i.tolist(), v.tolist(), strict=True)) for _, _, o, i, v in linear.features(pa.array(texts[1:2]), 3)] == trigrams
+
+
+def test_raised_features_and_the_bytes_of_samples(spark, monkeypatch):
+    rows = [(i, ("bad " if i % 4 == 0 else "good ") + f"w{i} common " * 3, 1.0 if i % 4 == 0 else 0.0) for i in range(60)] + [(3, "another text", 0.0)]
+    sample = quality_model.within_bytes(spark.createDataFrame(rows, "_id long, text string, y double"))
+    assert sample.count() == 60
+    weights = quality_model.fit(sample, raised_in=3)
+    kept = np.flatnonzero(weights[1:])
+    bad = next(linear.feature_rows(pa.array(["bad"])))[0]
+    common = next(linear.feature_rows(pa.array(["common"])))[0]
+    assert bad[0] in kept and common[0] not in kept and len(kept) <= 4
+    monkeypatch.setattr(quality_model, "SAMPLE_BYTES", 500)
+    few = quality_model.within_bytes(spark.createDataFrame(rows, "_id long, text string, y double")).collect()
+    assert 0 < sum(len(r.text) for r in few) <= 500
