@@ -34,11 +34,12 @@ def bundle_steps(json: Column) -> Column:
     what is to be done, by kind or else op: a name that holds winsor, and one that holds zscore or znorm. A list without
     objects, and anything else, asks for both.
     """
-    steps = F.from_json(json, "array<struct<kind: string, op: string>>")
-    is_list = F.ltrim(json).startswith("[")
-    objects = F.filter(steps, lambda s: s.isNotNull() & (s["kind"].isNotNull() | s["op"].isNotNull()))
-    names = F.transform(objects, lambda s: F.lower(F.coalesce(F.when(F.length(s["kind"]) > 0, s["kind"]), s["op"])))
-    listed = is_list & (F.size(F.coalesce(names, F.array().cast("array<string>"))) > 0)
+    whole = F.try_parse_json(json)
+    steps = F.when(F.schema_of_variant(whole).startswith("ARRAY"), F.try_variant_get(whole, "$", "array<variant>"))
+    objects = F.filter(steps, lambda s: F.coalesce(F.schema_of_variant(s).startswith("OBJECT"), F.lit(False)))
+    text = lambda s, k: F.coalesce(F.try_variant_get(s, f"$.{k}", "string"), F.lit(""))
+    names = F.filter(F.transform(objects, lambda s: F.lower(F.when(text(s, "kind") != "", text(s, "kind")).otherwise(text(s, "op")))), lambda n: n != "")
+    listed = F.size(F.coalesce(names, F.array().cast("array<string>"))) > 0
     named = lambda *marks: F.exists(names, lambda n: F.greatest(*[F.contains(n, F.lit(m)) for m in (*marks, marks[0])]))
     value = lambda k: F.get_json_object(json, f"$.{k}")
     set_ = F.from_json(json, "map<string,string>")

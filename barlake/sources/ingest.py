@@ -106,7 +106,7 @@ def company_facts(documents: DataFrame, taxonomy: str = "us-gaap", symbol: str =
 
 def scan_company_facts(spark: SparkSession, path: str, taxonomy: str = "us-gaap") -> DataFrame:
     """company_facts of JSON files, one whole file a company: <symbol>.json, or any name in a folder symbol=<symbol>."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"))
     folder, name = F.regexp_extract("file", "/symbol=([^/]+)/", 1), F.regexp_extract("file", r"/([^/]+?)(\.json|\.txt)?$", 1)
     return company_facts(files.select(F.when(folder != "", folder).otherwise(name).alias("symbol"), F.col("value").alias("json")), taxonomy)
 

@@ -26,7 +26,7 @@ def table(p):
     return p.sort_values(list(p.columns)).reset_index(drop=True)
 
 
-SAMPLE = sorted(ORACLES)[::3] + ["h02_metrics", "j01_rebalance_orders", "i04_causal_periods", "k01_stream_bars"]
+SAMPLE = sorted(ORACLES)[::3] + ["h02_metrics", "j01_rebalance_orders", "i04_causal_periods", "k01_stream_bars", "j01_guarded_order_plan", "k02_corrected_bars", "k03_once_per_bar", "k04_fill_events", "e06_decorrelated_variants", "h05_parameter_sweep", "e19_setup_regression", "l01_bundle_rules"]
 
 
 @pytest.mark.parametrize("name", sorted(set(SAMPLE)))
