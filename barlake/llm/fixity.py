@@ -1,11 +1,12 @@
 """Merkle fixity audit of WARC archives.
 
 Archives are WARC files that Spark writes; an index is what reading them gives: each record's place, offset, length and
-SHA-256. The tree of a file hashes ranges of FANOUT consecutive records with their offsets, then FANOUT neighbouring
-nodes and so on up to its root. Two replicas are compared root by root; only below roots that differ are their children
-compared, and so on down, which ends at the records of damaged offset ranges. What is compared shrinks by the fan-out
-at each step where the damage is local, and no tree is gathered anywhere: a node is an aggregate over at most FANOUT
-rows.
+SHA-256. The tree of a file hashes the records of FANOUT consecutive keys, in order and with their offsets from the first of
+them, then FANOUT neighbouring nodes and so on up to its root. Two replicas are compared root by root; only below roots
+that differ are their children compared, and so on down, which ends at the records of damaged offset ranges. A record
+that is lost or has another length shifts what follows it in the file but not within the ranges after its own, so the
+damage stays in one branch. No tree is gathered anywhere: a node is an aggregate over its children, a leaf over the
+records of its keys, which are no more than a volume holds.
 """
 
 from __future__ import annotations
@@ -49,17 +50,25 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     An archive holds PER_ARCHIVE consecutive keys in key order, null keys are archive -1. Where keys are repeated (or
     null) or texts are long, an archive has more than PER_ARCHIVE records or VOLUME_BYTES bytes; it is then dealt by
-    hash to as many volumes as that takes, each in key order. Records of one key follow each other by their hash. Null
-    urls and contents are empty, line ends in urls are left out. An empty table writes nothing.
+    hash to as many volumes as that takes (a power of two), each in key order. Equal records go to one volume, in two
+    replicas the same, unless they would fill one. Records of one key follow each other by their
+    hash. Null urls and contents are empty, line ends in urls are left out. An empty table writes nothing.
     """
     record = warc_record(F.col(key), F.col(url).cast("string"), F.col(content).cast("string"))
     number = F.coalesce(F.floor(F.col(key).cast("long") / PER_ARCHIVE), F.lit(-1)).cast("long")
     rows = pages.select(number.alias("archive"), F.col(key).cast("long").alias("key"), record.alias("record"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("same", F.xxhash64("key", "record"))
     share = F.greatest(F.count(F.lit(1)) / PER_ARCHIVE, F.sum(F.octet_length("record")) / VOLUME_BYTES)
-    volumes = rows.groupBy("archive").agg(F.ceil(share).cast("int").alias("volumes")).where("volumes > 1")
-    # few archives have several volumes; dealt by the row's place in its input, as equal records have equal hashes, so
-    # that a repeated task deals them alike
-    dealt = rows.join(materialize(volumes, "volumes"), "archive", "left").withColumn("volume", F.coalesce(F.pmod(F.xxhash64("row"), F.col("volumes")), F.lit(0)).cast("int"))
+    several = F.pow(F.lit(2), F.ceil(F.log2(share))).cast("int").alias("volumes")
+    volumes = materialize(rows.groupBy("archive").agg(several).where("volumes > 1"), "volumes")  # few archives have several
+    if volumes.isEmpty():
+        dealt = rows.withColumn("volume", F.lit(0))
+    else:
+        # many equal records are dealt by their rows' places in the input, so that a repeated task deals them alike
+        counts = rows.select("archive", "same", F.octet_length("record").alias("size")).join(volumes, "archive").groupBy("archive", "same").agg(F.count(F.lit(1)).alias("times"), F.sum("size").alias("size"))
+        counts = materialize(counts.where((F.col("times") > PER_ARCHIVE) | (F.col("size") > VOLUME_BYTES)).select("archive", "same", F.lit(True).alias("many")), "many")
+        by = F.when(F.coalesce("many", F.lit(False)), F.xxhash64("row")).otherwise(F.col("same"))
+        dealt = rows.join(volumes, "archive", "left").join(counts, ["archive", "same"], "left").withColumn("volume", F.coalesce(F.pmod(by, F.col("volumes")), F.lit(0)).cast("int"))
     order = ["archive", "volume", "key", F.xxhash64("record")]
     dealt.repartition("archive", "volume").sortWithinPartitions(*order).select("archive", "volume", "record").write.partitionBy("archive", "volume").option("lineSep", _EOL).option("compression", "gzip").text(path)
 
@@ -103,31 +112,56 @@ def archive_index(pages: DataFrame, key: str = "page_id", url: str = "url", cont
     return materialize(read_index(spark, path), "index")
 
 
-def _hash_of(children: str, shown) -> Column:
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*children.split()))), shown), ","), 256)
+def _hash_of(children: Column, shown) -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(children), shown), ","), 256)
 
 
-def leaves(index: DataFrame) -> DataFrame:
-    """(archive, volume, node, hash): level 0, a node for FANOUT consecutive records with their offsets."""
-    shown = lambda c: F.concat_ws(":", c["offset"].cast("string"), c["length"].cast("string"), c["sha256"])
-    node = F.floor(F.col("nth") / FANOUT).cast("long")
-    return index.groupBy("archive", "volume", node.alias("node")).agg(_hash_of("nth offset length sha256", shown).alias("hash"))
+def _leaf(absolute: bool) -> Column:
+    """The leaf of a record: of its key, or where offsets count in the whole file, of its place."""
+    place = F.col("nth") if absolute else F.pmod(F.coalesce("key", F.lit(0)), F.lit(PER_ARCHIVE))
+    return F.floor(place / FANOUT).cast("long").alias("node")
+
+
+def leaves(index: DataFrame, absolute: bool = False) -> DataFrame:
+    """(archive, volume, node, hash): level 0, a node for the records of FANOUT consecutive keys with their offsets from the first.
+
+    If absolute, for FANOUT consecutive records with their offsets in the file.
+    """
+    list_ = F.collect_list(F.struct("nth", "offset", "length", "sha256")).alias("list")
+    start = F.lit(0).cast("long") if absolute else F.array_min(F.col("list.offset"))
+    shown = lambda c: F.concat_ws(":", (c["offset"] - F.col("start")).cast("string"), c["length"].cast("string"), c["sha256"])
+    lists = index.groupBy("archive", "volume", _leaf(absolute)).agg(list_).withColumn("start", start)
+    return lists.select("archive", "volume", "node", _hash_of(F.col("list"), shown).alias("hash"))
 
 
 def parents(level: DataFrame) -> DataFrame:
     """The level above: hashes of FANOUT neighbouring nodes, in order and with their places."""
     shown = lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"])
-    return level.groupBy("archive", "volume", F.floor(F.col("node") / FANOUT).cast("long").alias("node")).agg(_hash_of("node hash", shown).alias("hash"))
+    return level.groupBy("archive", "volume", F.floor(F.col("node") / FANOUT).cast("long").alias("node")).agg(_hash_of(F.collect_list(F.struct("node", "hash")), shown).alias("hash"))
 
 
-def tree(index: DataFrame) -> list[DataFrame]:
+def tree(index: DataFrame, absolute: bool = False) -> list[DataFrame]:
     """Levels from the leaves to the roots."""
-    levels = [materialize(leaves(index), "leaves")]
+    levels = [materialize(leaves(index, absolute), "leaves")]
     for _ in range(LEVELS):
         levels.append(parents(levels[-1]))
     return levels
 
 
+def descend(ours: list[DataFrame], theirs: list[DataFrame]) -> list[DataFrame]:
+    """The nodes that differ between two trees, the roots first; only children of nodes that differ are compared."""
+    node = ["archive", "volume", "node"]
+    found: list[DataFrame] = []
+    for depth in range(LEVELS, -1, -1):
+        a, b = ours[depth], theirs[depth]
+        if found:
+            up = found[-1].withColumnRenamed("node", "up")
+            a, b = (x.withColumn("up", F.floor(F.col("node") / FANOUT).cast("long")).join(up, ["archive", "volume", "up"], "left_semi").drop("up") for x in (a, b))
+        both = a.withColumnRenamed("hash", "x").join(b.withColumnRenamed("hash", "y"), node, "full_outer")
+        found.append(materialize(both.where("not x <=> y").select(*node), "branches"))
+    return found
+
+
 def audit(primary: DataFrame, replica: DataFrame, moved: bool = False) -> DataFrame:
     """Records of two archive indexes that differ: (key, archive, offset, length, primary_sha256, replica_sha256, status).
 
@@ -136,17 +170,8 @@ def audit(primary: DataFrame, replica: DataFrame, moved: bool = False) -> DataFr
     and two empty ones, give no rows. Repeated records count as often as they occur. A changed record of a repeated key
     is reported as one missing and one extra.
     """
-    ours, theirs = tree(primary), tree(replica)
-    node = ["archive", "volume", "node"]
-    open_: DataFrame | None = None
-    for depth in range(LEVELS, -1, -1):
-        a, b = ours[depth], theirs[depth]
-        if open_ is not None:
-            up = open_.withColumnRenamed("node", "up")
-            a, b = (x.withColumn("up", F.floor(F.col("node") / FANOUT).cast("long")).join(up, ["archive", "volume", "up"], "left_semi").drop("up") for x in (a, b))
-        both = a.withColumnRenamed("hash", "x").join(b.withColumnRenamed("hash", "y"), node, "full_outer")
-        open_ = materialize(both.where("not x <=> y").select(*node), "branches")
-    below = [x.withColumn("node", F.floor(F.col("nth") / FANOUT).cast("long")).join(open_, node, "left_semi").drop("node", "nth") for x in (primary, replica)]
+    open_ = descend(tree(primary, moved), tree(replica, moved))[-1]
+    below = [x.withColumn("node", _leaf(moved)).join(open_, ["archive", "volume", "node"], "left_semi").drop("node", "nth") for x in (primary, replica)]
     # how often a record occurs on each side; a null key is one like any other
     record = ["archive", "none", "key", "sha256"]
     shown = ["archive", "volume", F.col("key").isNull().alias("none"), F.coalesce("key", F.lit(0)).alias("key"), "offset", "length", "sha256"]

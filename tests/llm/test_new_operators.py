@@ -9,8 +9,9 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from barlake.llm import fingerprints, linear, merkle_manifest, quality_model, toxicity, vector_codes
+from barlake.llm import fingerprints, fixity, linear, merkle_manifest, quality_model, toxicity, vector_codes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, hash string, idx int, guest string"
 
@@ -248,3 +249,24 @@ def test_raised_features_and_the_bytes_of_samples(spark, monkeypatch):
     monkeypatch.setattr(quality_model, "SAMPLE_BYTES", 500)
     few = quality_model.within_bytes(spark.createDataFrame(rows, "_id long, text string, y double")).collect()
     assert 0 < sum(len(r.text) for r in few) <= 500
+
+
+def test_fixity_compares_only_the_branches_of_the_damage(spark, monkeypatch):
+    for name, value in (("FANOUT", 4), ("PER_ARCHIVE", 64)):
+        monkeypatch.setattr(fixity, name, value)
+    shape = "page_id long, url string, html string"
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * (i % 5)) for i in range(3200)], shape)
+    levels = lambda rows: fixity.tree(fixity.archive_index(rows))
+    ours = levels(pages)
+    for copy in (pages.where("page_id <> 1000"), pages.withColumn("html", F.when(F.col("page_id") == 1000, "longer than it was before").otherwise(F.col("html")))):
+        roots, middle, leaves = (x.count() for x in fixity.descend(ours, levels(copy)))
+        # 50 roots, 4 and 4 children were compared, of 800 leaves
+        assert (roots, middle, leaves) == (1, 1, 1)
+    hot = spark.createDataFrame([(7, f"u{i % 900}", f"{i % 900}") for i in range(1000)] + [(8, "same", "same")] * 300, shape)
+    before, after = fixity.archive_index(hot), fixity.archive_index(hot.where("url <> 'u500'"))
+    assert before.select("volume").distinct().count() == 32
+    one = fixity.descend(fixity.tree(before), fixity.tree(after))[-1]
+    spread = one.join(before.where("key = 8").select("archive", "volume").distinct(), ["archive", "volume"], "left_anti")
+    assert one.count() <= 32 and [(r.key, r.status) for r in fixity.audit(before, after).collect()] == [(7, "missing")]
+    few = spark.createDataFrame([(7, f"u{i}", f"{i}") for i in range(1000)], shape)
+    assert fixity.descend(levels(few), levels(few.where("url <> 'u500'")))[-1].count() == 1 and spread.count() <= 1
