@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +10,7 @@ from barlake.sources import bars as B
 from barlake.streaming import jobs
 
 from .registry import query
+from .registry import work_dir as _work_dir
 from .strategy_queries import _rounded, _scores
 from .table_queries import _resample_sql, _ticks
 
@@ -113,11 +111,6 @@ def e05_buffered_selection(spark, sf_dir):
     return I.buffered_selection(ranked, 3, 5, 2)
 
 
-def _work_dir(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query(
     """WITH t AS (SELECT ts, event_type AS symbol, MIN(100 + 0.0123456789 * value) AS price, MIN(1 + event_id % 100) AS volume FROM events GROUP BY 1, 2), b AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS timestamp FROM t)
 SELECT timestamp, symbol, ROUND(ARG_MIN(price, ts), 6) AS open, ROUND(MAX(price), 6) AS high, ROUND(MIN(price), 6) AS low, ROUND(ARG_MAX(price, ts), 6) AS close, CAST(SUM(volume) AS BIGINT) AS volume

@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.operators import rolling_model, statistics
 from barlake.operators import sweep as W
 from barlake.sources.bars import densify
 
-from .intraday_queries import _work_dir
 from .portfolio_queries import _r6, six
 from .registry import PANEL_SQL, bars_sql, bars_of, query, table
+from .registry import stored as _stored
 from .session_bars import BENCHMARK, SESSION_SQL, session_bars
 from .signal_queries import _CLOSES, _REL, _SETUP, _VW
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df written to the session's shared folder and read back, for what reads it several times."""
-    path = f"{_work_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # ---- the setup regression: windows of 12 sessions, at least 5 of them and 20 rows, ridge 2.5, clip 1.6, label within 0.05
 
 _X = rolling_model.FEATURES

@@ -14,7 +14,7 @@ from barlake.operators import weights as W
 from barlake.sources import ingest
 
 from .intraday_queries import _work_dir
-from .registry import panel_of, query, register, table, with_bars, with_panel
+from .registry import panel_of, query, register, stored, table, with_bars, with_panel
 from .strategy_queries import _EVAL, _S, _SCORE, _T, _TOP, _full, _scores
 
 _X = f"OVER ({_T})"
@@ -267,8 +267,8 @@ fo AS (SELECT timestamp, SQRT(GREATEST(SUM(wa * wb * cov * 252.0), 0)) AS fv FRO
     )
 )
 def e11_forecast_ceiling(spark, sf_dir):
-    s = _scores(spark, sf_dir)
-    weights = W.inverse_volatility(W.top_n(s, 3).join(s.select("timestamp", "symbol", "sigma"), ["timestamp", "symbol"]), "sigma").select("timestamp", "symbol", "target_weight")
+    s = stored(_scores(spark, sf_dir))
+    weights = stored(W.inverse_volatility(W.top_n(s, 3).join(s.select("timestamp", "symbol", "sigma"), ["timestamp", "symbol"]), "sigma").select("timestamp", "symbol", "target_weight"))
     out = P.forecast_ceiling(weights, P.trailing_pairs(s, weights, "r", 26, 20), 0.02)
     return out.select("timestamp", "symbol", F.round("target_weight", 6).alias("target_weight"), F.round("forecast_volatility", 6).alias("forecast_volatility"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -60,6 +62,19 @@ def bars_of(spark: SparkSession, lines: DataFrame, panel: str, symbols: int) ->
     return spark.sql("WITH " + _BARS.format(session=PANELS[panel][0], symbols=symbols).replace("FROM lineitem", "FROM {lines}") + " SELECT * FROM bars", lines=lines)
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share; a local one only where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once and read back, for a query that reads it several times."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def panel_of(spark: SparkSession, sf_dir: str, panel: str = "daily10") -> DataFrame:
     from barlake.functions.factors import ts_returns
 

@@ -8,7 +8,7 @@ from barlake.functions import factors as X
 from barlake.operators import evaluate as V
 from barlake.operators import weights as W
 
-from .registry import bars, panel_of, query, register, with_bars, with_panel
+from .registry import bars, panel_of, query, register, stored, with_bars, with_panel
 
 _S = "PARTITION BY symbol ORDER BY timestamp"
 _T = "PARTITION BY timestamp"
@@ -133,6 +133,11 @@ def _scores(spark, sf_dir, panel="weekly10"):
     return p.withColumn("score", F.round(X.ts_returns("close", 8), 6)).withColumn("sigma", F.round(X.ts_std("r", 12), 6))
 
 
+def _stored_scores(spark, sf_dir, panel="weekly10"):
+    """The scores written once, for queries that read them several times."""
+    return stored(_scores(spark, sf_dir, panel))
+
+
 def _shown(targets):
     return targets.select("timestamp", "symbol", F.round("target_weight", 6).alias("target_weight"), "score")
 
@@ -221,7 +226,7 @@ dd AS (SELECT *, equity / MAX(equity) OVER (ORDER BY timestamp) - 1 AS drawdown
 
 
 def _portfolio(spark, sf_dir, bps=10.0, panel="weekly10"):
-    s = _scores(spark, sf_dir, panel)
+    s = _stored_scores(spark, sf_dir, panel)
     return V.portfolio_returns(s, W.top_n(s, 3), 4, bps)
 
 
@@ -319,9 +324,10 @@ def h10_cost_stress(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     """Weekly momentum of five names: top 2, next open, 10 bps, one row of metrics."""
-    s = _scores(spark, sf_dir, "weekly5")
+    s = _stored_scores(spark, sf_dir, "weekly5")
     targets = W.constrain(W.top_n(s, 2), 0.6, 1.0)
     return _rounded(V.metrics(V.equity_curve(V.portfolio_returns(s, targets, 4, 10.0))))
 
 
-register("momentum_topn_metrics", flagship)
+_FLAGSHIP = _EVAL.replace("k <= 3", "k <= 2").replace("SELECT timestamp, symbol, 1.0 / COUNT(*) OVER", "SELECT timestamp, symbol, LEAST(0.6, 1.0 / COUNT(*) OVER").replace(f"({_T}) AS w FROM top", f"({_T})) AS w FROM top")
+register("momentum_topn_metrics", flagship, with_panel(f"SELECT {_METRICS} FROM dd", "weekly5", _FLAGSHIP))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +37,12 @@ def refresh_bars(spark: SparkSession, path: str, fresh: DataFrame) -> None:
     """Put fresh bars in or over those of the dataset; only the years that they touch are rewritten."""
     years = [r["y"] for r in fresh.select(F.year("timestamp").alias("y")).distinct().orderBy("y").collect()]  # calendar years
     old = spark.read.schema(BAR_DATASET).parquet(path).where(F.col("year").isin(years)).drop("year")
-    # the old files of a year are read and replaced by one job, so they are read before the swap
-    merged = upsert(old, fresh.select(*old.columns))
-    merged.write.mode("overwrite").parquet(f"{path.rstrip('/')}.refresh")
-    write_bars(spark.read.schema(BAR_SCHEMA).parquet(f"{path.rstrip('/')}.refresh"), path)
+    # staged first, as years are read and replaced; readers do not see the folder, and what fails before the swap changes nothing
+    staged = f"{path.rstrip('/')}/_refresh-{uuid.uuid4().hex}"
+    upsert(old, fresh.select(*old.columns)).write.parquet(staged)
+    write_bars(spark.read.schema(BAR_SCHEMA).parquet(staged), path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def constituents(lists: DataFrame, months: DataFrame) -> DataFrame:
