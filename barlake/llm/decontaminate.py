@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize, unused
 from .textops import buffers
 
 WINDOW = 10
-#: Bytes of normalised items in one automaton, which takes about 100 times that. A benchmark is one automaton; only
-#: what is beyond this goes into a next one, which takes the first one's place for another look at the same batch.
+#: Bytes of normalised items in one automaton, which takes about 100 times that. A benchmark is one automaton; one of more
+#: bytes is dealt to several, and the documents are read once for each of them.
 AUTOMATON_BYTES = 4 << 20
-#: Bytes of normalised items at most; they pass through the driver and are sent to every worker as they are.
-BENCHMARK_BYTES = 256 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: ASCII bytes other than 0-9, A-Z and a-z end a word; bytes of other characters belong to words.
@@ -60,68 +61,81 @@ class Automaton:
                 yield end + 1 - size, size, names
 
 
-def build(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[list[tuple[str | None, bytes]]]:
-    """(item, normalised text) of the items with words, in parts of at most AUTOMATON_BYTES (one longer item is a part).
-
-    Equal rows count once. Items of null id are kept without a name. A benchmark is the small side by nature; one of
-    more than BENCHMARK_BYTES is refused (its parts can be scanned for one after the other).
+    def hits(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Of a normalised text the number of words, the stretches of words that are hit, in order, and the items found."""
+        words = text.split()
+        found: list[tuple[int, int]] = []
+        items: set[str] = set()
+        for first, size, names in sorted(self.scan(words), key=lambda x: x[0]):
+            if found and first <= found[-1][1]:
+                found[-1] = (found[-1][0], max(found[-1][1], first + size))
+            else:
+                found.append((first, first + size))
+            items.update(names)
+        return len(words), found, items
+
+
+def pieces_of(normal: bytes, n: int) -> Iterator[bytes]:
+    """A normalised item, a long one in pieces that share n - 1 words, so that they have all its windows and no others."""
+    most = AUTOMATON_BYTES // 16
+    if len(normal) <= most:
+        yield normal
+        return
+    words = normal.split()
+    ends = np.cumsum([len(w) + 1 for w in words])
+    at = 0
+    while True:
+        end = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")), at + n)
+        yield b" ".join(words[at:end])
+        if end >= len(words):
+            return
+        at = end - (n - 1)
+
+
+def build(benchmark: DataFrame, item: str = "item_id", text: str = "text", n: int = WINDOW) -> list[DataFrame]:
+    """(item, piece) of the items with words, normalised, as a table for each automaton; no items make one empty table.
+
+    Equal rows count once. Items of null id are kept without a name. Pieces are dealt by hash, so that a part has half of
+    AUTOMATON_BYTES on average.
     """
-    parts: list[list[tuple[str | None, bytes]]] = [[]]
-    size = total = 0
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
-    for row in rows.toLocalIterator():
-        normal = b" ".join(words_of(row["text"].encode()))
-        if not normal:
-            continue
-        total += len(normal)
-        if total > BENCHMARK_BYTES:
-            raise ValueError(f"a benchmark of more than {BENCHMARK_BYTES} bytes")
-        if size and size + len(normal) > AUTOMATON_BYTES:
-            parts.append([])
-            size = 0
-        parts[-1].append((row["item"], normal))
-        size += len(normal)
-    return parts
-
-
-class Scanner:
-    """Scans batches with the automata of all parts, of which one at a time is in memory."""
-
-    def __init__(self, parts: list[list[tuple[str | None, bytes]]], n: int):
-        self.parts, self.n = parts, n
-        self.only = Automaton(parts[0], n) if len(parts) == 1 else None
-
-    def scan(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, set[str]]]:
-        """Of each normalised text the number of words, which of them are hit, and the items found."""
-        found: list[tuple[np.ndarray, set[str]] | None] = [None] * len(texts)
-        count = [0] * len(texts)
-        for part in self.parts:
-            machine = self.only or Automaton(part, self.n)
-            for k, text in enumerate(texts):
-                words = text.split()
-                count[k] = len(words)
-                for begin, size, names in machine.scan(words):
-                    if found[k] is None:
-                        found[k] = (np.zeros(len(words) + 1, np.int32), set())
-                    change, items = found[k]
-                    change[begin] += 1
-                    change[begin + size] -= 1
-                    items.update(names)
-        return [(n, np.cumsum(f[0][:-1]) > 0 if f else np.zeros(0, bool), f[1] if f else set()) for n, f in zip(count, found, strict=True)]
-
-
-def spans_in(normal: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
-    """The hit stretches as byte offsets of the original text.
-
-    Normalising keeps one byte for one byte, so an offset there is an offset in the original.
-    """
-    if not hit.any():
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            normal = [b" ".join(words_of(t.encode())) for t in batch.column(1).to_pylist()]
+            made = [(i, p) for i, t in zip(batch.column(0).to_pylist(), normal, strict=True) if t for p in pieces_of(t, n)]
+            yield pa.record_batch([pa.array([i for i, _ in made], pa.string()), pa.array([p for _, p in made], pa.binary())], ["item", "piece"])
+
+    pieces = materialize(rows.mapInArrow(run, "item string, piece binary"), "benchmark")
+    total = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    parts = 1 if total <= AUTOMATON_BYTES else -(-2 * total // AUTOMATON_BYTES)
+    number = F.pmod(F.xxhash64("piece"), F.lit(parts))
+    return [pieces.where(number == k) for k in range(parts)]
+
+
+_kept: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, items: list[tuple[str | None, bytes]], n: int) -> Automaton:
+    """The automaton of a part, made once in a worker and kept for its next batches and tasks; one at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Automaton(items, n)
+    return _kept[name]
+
+
+def _sent(part: DataFrame) -> tuple[str, Broadcast]:
+    return uuid.uuid4().hex, part.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["piece"])) for r in part.collect()])
+
+
+def _offsets(normal: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches of words as byte offsets of the original text: normalising keeps one byte for one byte."""
+    if not found:
         return []
     inside = ~np.isin(np.frombuffer(normal, np.uint8), [9, 10, 11, 12, 13, 32])
     starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
     ends = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-    return [(int(starts[a]), int(ends[b - 1])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    return [(int(starts[a]), int(ends[b - 1])) for a, b in found]
 
 
 def _normal(texts: pa.Array) -> list[bytes]:
@@ -137,31 +151,52 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", ke
     of hit words as byte offsets of the UTF-8 text. Null and empty texts have no words. Items whose text is null or has
     no words have no windows; an item of null id has windows but no name, so it hits words and is not among the items;
     items with equal windows are all named. With no items nothing is hit. Repeated rows each give their row, other
-    columns are not read, and memory follows the longest batch of texts.
+    columns are not read, and memory follows the longest batch of texts. With several automata, docs are read once for
+    each, as any table that is read again they must give the same rows in the same order, and what is found in a row is
+    put together by the row's number.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark))
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    parts = build(benchmark, n=n)
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = _found(base, parts[0], n, True)
+    for part in parts[1:]:
+        found = found.union(_found(base, part, n, False))
+    if len(parts) > 1:
+        flat = lambda c: F.flatten(F.collect_list(c))
+        found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(flat("hits")).alias("hits"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
+        found = found.withColumn("hits", F.aggregate("hits", F.slice("hits", 1, 1), _joined))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["last"] - h["first"])
+    spans = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", spans.alias("spans"))
+
+
+def _joined(done: Column, hit: Column) -> Column:
+    """Stretches in order, with one more that may go on from the last of them."""
+    old = F.element_at(done, -1)
+    later = F.greatest(old["last"], hit["last"])
+    more = F.struct(old["first"].alias("first"), later.alias("last"), old["start"].alias("start"), F.greatest(old["end"], hit["end"]).alias("end"))
+    return F.when(hit["first"] <= old["last"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(more))).otherwise(F.concat(done, F.array(hit)))
+
+
+_HIT = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "last", "start", "end")]))
+
+
+def _found(base: DataFrame, part: DataFrame, n: int, all_rows: bool) -> DataFrame:
+    """(row, doc_id, n_words, hits, items) of what one automaton finds; rows without a hit only where all are asked for."""
+    name, shared = _sent(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value, n)
+        machine = _automaton(name, shared.value, n)
         for batch in batches:
-            normal = _normal(batch.column(1))
-            rows = scanner.scan(normal)
-            spans = [spans_in(x, hit) for x, (_, hit, _) in zip(normal, rows, strict=True)]
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([int(r[1].sum()) for r in rows], pa.int64()),
-                    pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
-                    pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], span_type),
-                ],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
+            normal = _normal(batch.column(2))
+            rows = [machine.hits(x) for x in normal]
+            hits = [[dict(zip(("first", "last", "start", "end"), (a, b, c, d), strict=True)) for (a, b), (c, d) in zip(r[1], _offsets(x, r[1]), strict=True)] for x, r in zip(normal, rows, strict=True)]
+            out = pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array(hits, _HIT), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))],
+                ["row", "doc_id", "n_words", "hits", "items"],
             )
+            yield out if all_rows else out.filter(pa.array([bool(h) for h in hits], pa.bool_()))
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, "row long, doc_id long, n_words long, hits array<struct<first: long, last: long, start: long, end: long>>, items array<string>")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -176,15 +211,25 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """docs without the rows whose own text holds a window of the benchmark; all columns kept, in one pass.
 
     The verdict is made row by row beside the row itself, so null and repeated keys are no matter. A row without words
-    stays; with no items all rows stay.
+    stays; with no items all rows stay. With several automata, docs are read once for each, and the numbers of the rows
+    that go are joined to the rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark))
+    parts = build(benchmark, n=n)
+    if len(parts) > 1:
+        row = unused(docs, "_row")
+        numbered = docs.withColumn(row, F.monotonically_increasing_id())
+        base = numbered.select(F.col(row).alias("row"), F.lit(0).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        gone = _found(base, parts[0], n, False).select("row")
+        for part in parts[1:]:
+            gone = gone.union(_found(base, part, n, False).select("row"))
+        return numbered.join(gone.distinct().withColumnRenamed("row", row), row, "left_anti").select(*docs.columns)
     at = docs.columns.index(text)
+    name, shared = _sent(parts[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value, n)
+        machine = _automaton(name, shared.value, n)
         for batch in batches:
-            clean = [not hit.any() for _, hit, _ in scanner.scan(_normal(batch.column(at)))]
+            clean = [next(machine.scan(x.split()), None) is None for x in _normal(batch.column(at))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

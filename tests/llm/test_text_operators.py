@@ -269,14 +269,30 @@ def test_decontamination(spark, docs, none, monkeypatch):
 def test_spans_are_offsets_of_the_original():
     text = "é, ONE--Two\x00three! four".encode()
     normal = text.translate(decontaminate._NORMAL)
-    n, hit, items = decontaminate.Scanner([[("1", b"one two three")]], 10).scan([normal])[0]
-    assert (n, items) == (5, {"1"}) and [text[x:y] for x, y in decontaminate.spans_in(normal, hit)] == [b"ONE--Two\x00three"]
-
-
-def test_large_benchmark_is_refused(docs, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 10)
-    with pytest.raises(ValueError):
-        decontaminate.build(docs, "doc_id")
+    n, found, items = decontaminate.Automaton([("1", b"one two three")], 10).hits(normal)
+    assert (n, items) == (5, {"1"}) and [text[x:y] for x, y in decontaminate._offsets(normal, found)] == [b"ONE--Two\x00three"]
+
+
+def test_large_items_and_benchmarks_are_cut_and_automata_made_once(spark, monkeypatch):
+    whole = words(4000, 11, 3000)
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 1600)
+    pieces = list(decontaminate.pieces_of(" ".join(whole).encode(), 10))
+    windows = lambda w: [tuple(w[i : i + 10]) for i in range(len(w) - 9)]
+    assert len(pieces) > 100 and all(len(p.split()) >= 10 for p in pieces)
+    assert [x for p in pieces for x in windows(p.decode().split())] == windows(whole)
+    assert list(decontaminate.pieces_of(b"few " * 3, 10)) == [b"few " * 3]
+    bench = spark.createDataFrame([(i, " ".join(words(12, i, 4000))) for i in range(200)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 1200)
+    assert len(decontaminate.build(bench)) >= 20
+    texts = [(0, "x " + " ".join(words(12, 7, 4000)) + " " + " ".join(words(12, 8, 4000)[1:])), (1, " ".join(words(11, 7, 4000)[2:])), (None, None), (0, "é " + " ".join(words(12, 150, 4000)[:10]))]
+    docs = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, _row int")
+    got = sorted(tuple(r) for r in decontaminate.scan_documents(docs, bench).select("doc_id", "n_words", "n_hit", "items", F.expr("transform(spans, s -> s.start)")).collect() if r.doc_id is not None)
+    assert got == [(0, 11, 10, ["150"], [3]), (0, 24, 23, ["7", "8"], [2]), (1, 9, 0, [], [])]
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1]
+    made = []
+    monkeypatch.setattr(decontaminate, "Automaton", lambda items, n: made.append(n) or len(made))
+    assert [decontaminate._automaton(k, [], 10) for k in ("a", "a", "a", "b", "b")] == [1, 1, 1, 2, 2]
 
 
 def test_many_words_have_symbols():
