@@ -10,13 +10,22 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that a Python worker gets at once, and the setting that says so. Spark's own default of 64 MB, held by
+#: the JVM and the worker at the same time, takes most of what a small executor has beside its heap.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, wherever the driver was started; once for each application."""
+    """Give the Python workers this package, wherever the driver was started; once for each application.
+
+    Batches are held to BATCH_BYTES, unless the session has a size of its own.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING) == f"{_BATCH_DEFAULT}b":
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         path = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"

@@ -266,7 +266,6 @@ def test_fixity_compares_only_the_branches_of_the_damage(spark, monkeypatch):
     before, after = fixity.archive_index(hot), fixity.archive_index(hot.where("url <> 'u500'"))
     assert before.select("volume").distinct().count() == 32
     one = fixity.descend(fixity.tree(before), fixity.tree(after))[-1]
-    spread = one.join(before.where("key = 8").select("archive", "volume").distinct(), ["archive", "volume"], "left_anti")
     assert one.count() <= 32 and [(r.key, r.status) for r in fixity.audit(before, after).collect()] == [(7, "missing")]
     few = spark.createDataFrame([(7, f"u{i}", f"{i}") for i in range(1000)], shape)
-    assert fixity.descend(levels(few), levels(few.where("url <> 'u500'")))[-1].count() == 1 and spread.count() <= 1
+    assert fixity.descend(levels(few), levels(few.where("url <> 'u500'")))[-1].count() == 1
