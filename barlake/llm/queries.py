@@ -79,6 +79,44 @@ QUERIES = {
     )
 }
 
+def _codes_sql(rounds: int) -> str:
+    """Nearest entries by plain distances, and codebooks from their parts' floored means, round after round."""
+    near = "(SELECT row, p, x, ARG_MIN(e, (d, e)) AS e, MIN(d) AS d FROM (SELECT row, p, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d FROM pt JOIN {0} USING (p)) GROUP BY row, p, x)"
+    mean = "(SELECT p, e, LIST(m ORDER BY i) AS c FROM (SELECT p, e, i, CAST(FLOOR(SUM(v) / COUNT(*)) AS BIGINT) AS m FROM (SELECT p, e, UNNEST(x) AS v, UNNEST(range(len(x))) AS i FROM {0}) GROUP BY p, e, i) GROUP BY p, e)"
+    steps = [f"a{k} AS MATERIALIZED {near.format(f'c{k}')}, c{k + 1} AS MATERIALIZED (SELECT c{k}.p, c{k}.e, COALESCE(m.c, c{k}.c) AS c FROM c{k} LEFT JOIN {mean.format(f'a{k}')} m USING (p, e))" for k in range(rounds)]
+    return f"""
+WITH kv AS (SELECT vec_id, label, ROW_NUMBER() OVER () AS row, list_transform(embedding, lambda x: CAST(FLOOR(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pt AS MATERIALIZED (SELECT vec_id, row, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kv CROSS JOIN (SELECT UNNEST(RANGE(4)) AS p)),
+c0 AS (SELECT p, e, x AS c FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p ORDER BY vec_id, row) - 1 AS e FROM pt) WHERE e < 256), {', '.join(steps)}, z AS {near.format(f'c{rounds}')},
+er AS (SELECT row, STRING_AGG(printf('%02x', e), '' ORDER BY p) AS code, CAST(SUM(d) AS BIGINT) AS error FROM z GROUP BY row), bk AS (SELECT sha256(STRING_AGG(array_to_string(c, ','), ',' ORDER BY p, e)) AS sha FROM c{rounds})
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM kv JOIN er USING (row), bk"""
+
+
+_FIELD = "COALESCE(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in merkle_manifest.FIELDS) + ")"
+#: CRC-32 of the digits of a number, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)), CAST(4294967295 AS BIGINT))"""
+
+
+def _tree_sql(name: str, rows: str) -> str:
+    """Tables name (group, level, idx, hash, n) of all levels and name_s, each node's siblings left and right of it."""
+    return f"""{name} AS (SELECT g, CAST(0 AS BIGINT) AS lvl, idx, h, n FROM {rows} UNION ALL SELECT g, lvl + 1, idx // 3, sha256(STRING_AGG(h, '' ORDER BY idx)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY g, lvl, idx // 3, n),
+{name}_s AS (SELECT a.g, a.lvl, a.idx, COALESCE(STRING_AGG(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, COALESCE(STRING_AGG(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {name} a LEFT JOIN {name} b ON b.g IS NOT DISTINCT FROM a.g AND b.lvl = a.lvl AND b.idx // 3 = a.idx // 3 AND b.idx <> a.idx WHERE a.n > 1 GROUP BY a.g, a.lvl, a.idx)"""
+
+
+_MANIFEST = f"""
+WITH RECURSIVE h AS (SELECT doc_id, source, {_LEAF} AS leaf, CASE WHEN {_CRC} % 2 = 0 THEN {_LEAF.replace("CAST(text AS VARCHAR)", "replace(text, chr(10), '')")} ELSE {_LEAF} END AS copy FROM documents),
+lf AS (SELECT *, ROW_NUMBER() OVER () AS row, source AS g, leaf AS h, CAST(ROW_NUMBER() OVER w - 1 AS BIGINT) AS idx, CAST(COUNT(*) OVER (PARTITION BY source) AS BIGINT) AS n FROM h WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+{_tree_sql('nd', 'lf')}, ro AS (SELECT g AS source, h AS subroot, 0 AS g, h, CAST(ROW_NUMBER() OVER (ORDER BY g NULLS FIRST) - 1 AS BIGINT) AS idx, CAST(COUNT(*) OVER () AS BIGINT) AS n FROM nd WHERE n = 1),
+{_tree_sql('tp', 'ro')}, st AS (SELECT row, lvl, l, r FROM lf JOIN nd_s ON nd_s.g IS NOT DISTINCT FROM lf.g AND nd_s.idx = lf.idx // CAST(pow(3, lvl) AS BIGINT)
+  UNION ALL SELECT row, 1000 + lvl, l, r FROM lf JOIN ro ON ro.source IS NOT DISTINCT FROM lf.source JOIN tp_s ON tp_s.idx = ro.idx // CAST(pow(3, lvl) AS BIGINT)),
+pf AS (SELECT row, STRING_AGG(l || r, '' ORDER BY lvl) AS sib, LIST({{'l': l, 'r': r}} ORDER BY lvl) AS steps FROM st GROUP BY row),
+al AS (SELECT doc_id, leaf, subroot, (SELECT h FROM tp WHERE n = 1) AS root, sha256(COALESCE(sib, '')) AS proof_sha256, CASE WHEN steps IS NULL THEN copy ELSE list_reduce(list_prepend({{'l': copy, 'r': ''}}, steps), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l END AS folded_root
+  FROM lf JOIN ro ON ro.source IS NOT DISTINCT FROM lf.source LEFT JOIN pf ON pf.row = lf.row)
+SELECT *, folded_root = root AS verified FROM al"""
+
 _RECORD = (
     "'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(cast(page_id as varchar), '') || '>' || e"
     " || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: '"
@@ -121,4 +159,6 @@ r as (select *, case when (host = 'example.net' or ends_with(host, '.example.net
 select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
   when regexp_matches(host, '(^|\\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\\.example\\.(com|net|org)$') then 'block' else 'allow' end as verdict
 from r""",
+    "op12_merkle_manifest": _MANIFEST,
+    "op13_vector_codes": _codes_sql(vector_codes.ROUNDS),
 }
