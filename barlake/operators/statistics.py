@@ -116,7 +116,7 @@ def promotion_metrics(returns: DataFrame, bps: float = 10.0, stress_bps: float =
     rows = returns.join(days.select("timestamp", fold.alias("fold")), "timestamp")
     m = metrics(equity_curve(rows, (key, "fold")), (key, "fold"))
     of = lambda f, c: F.max(F.when(F.col("fold") == f, F.col(c)))
-    g = m.groupBy(key).agg(of("test", "total_return").alias("test_return"), of("test", "sharpe").alias("test_sharpe"), of("val", "sharpe").alias("_val"), of("test", "max_drawdown").alias("max_drawdown"), of("test", "alpha").alias("alpha"), F.abs(of("test", "beta")).alias("abs_beta"))
+    g = m.groupBy(key).agg(of("test", "total_return").alias("test_return"), of("test", "sharpe").alias("test_sharpe"), of("test", "n").alias("test_n"), of("val", "sharpe").alias("_val"), of("test", "max_drawdown").alias("max_drawdown"), of("test", "alpha").alias("alpha"), F.abs(of("test", "beta")).alias("abs_beta"))
     whole = metrics(equity_curve(returns, (key,)), (key,)).select(key, "annual_turnover")
     extra = rows.where("fold = 'test'").withColumn("_s", F.col("daily_return") - F.col("turnover") * ((stress_bps - bps) / 1e4))
     stressed = extra.groupBy(key).agg((F.exp(F.sum(F.log1p("_s"))) - 1).alias("stressed_return"))

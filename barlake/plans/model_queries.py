@@ -9,10 +9,11 @@ from barlake.operators import sweep as W
 from barlake.sources.bars import densify
 
 from .portfolio_queries import _r6, six
-from .registry import PANEL_SQL, bars_sql, bars_of, query, table
+from .registry import ORACLES, PANEL_SQL, bars_of, bars_sql, query, table
 from .registry import stored as _stored
 from .session_bars import BENCHMARK, SESSION_SQL, session_bars
 from .signal_queries import _CLOSES, _REL, _SETUP, _VW
+from .table_queries import _CUST, held_suppliers
 
 
 # ---- the setup regression: windows of 12 sessions, at least 5 of them and 20 rows, ridge 2.5, clip 1.6, label within 0.05
@@ -119,3 +120,73 @@ def h05_parameter_sweep(spark, sf_dir):
     """72 variants of momentum from signal to train and test metrics, ranked by the lesser Sharpe."""
     out = W.sweep(growing_panel(spark, sf_dir), statistics.grid(spark, _GRID), 0.7, 0.9, 10.0)
     return out.select(*[six(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+# ---- all gates over the variants of the sweep, and control of false discoveries among those that pass
+
+_GATES = ("return", "sharpe", "stability", "drawdown", "turnover", "alpha", "beta", "cost_stress")
+_TESTS = ("test_return > 0", "test_sharpe >= 0.3", "stability >= 0", "max_drawdown >= -0.35", "annual_turnover <= 50", "alpha > 0", "abs_beta <= 1.5", "stressed_return > 0")
+_PROMOTION = (
+    _SWEEP.split(",\nfd AS")[0]
+    + f""",
+ca AS (SELECT k, timestamp, k + 1 AS place, COUNT(*) OVER () AS n FROM dk), cu AS (SELECT *, LEAST(GREATEST(FLOOR(n * 0.6), 1), n - 2) AS one FROM ca), cv AS (SELECT *, LEAST(GREATEST(FLOOR(n * 0.8), one + 1), n - 1) AS two FROM cu),
+cf AS (SELECT k, timestamp, CASE WHEN place <= one THEN 'train' WHEN place <= two THEN 'val' ELSE 'test' END AS fold FROM cv), bm AS (SELECT k, forward AS b FROM pk WHERE symbol = 'S0'),
+rb AS (SELECT rt.variant_id, rt.k, timestamp, fold, r, turnover, b FROM rt JOIN cf USING (k) LEFT JOIN bm USING (k)),
+pe AS (SELECT *, EXP(SUM(LN(1 + r)) OVER (PARTITION BY variant_id, fold ORDER BY k)) AS e FROM rb), pd AS (SELECT *, e / MAX(e) OVER (PARTITION BY variant_id, fold ORDER BY k) - 1 AS dr FROM pe),
+pm AS (SELECT variant_id, fold, COUNT(*) AS n, ARG_MAX(e, k) - 1 AS tr, COALESCE(AVG(r) * SQRT(252.0) / NULLIF(STDDEV_POP(r), 0), 0) AS sh, MIN(dr) AS md, COALESCE(COVAR_POP(r, b) / NULLIF(VAR_POP(b), 0), 0) AS beta, AVG(r) AS mr, AVG(b) AS mb,
+  EXP(SUM(LN(1 + r - turnover * 0.0005))) - 1 AS stressed FROM pd GROUP BY 1, 2),
+pt AS (SELECT variant_id, SUM(turnover) * 365.25 / GREATEST(DATE_DIFF('day', MIN(timestamp), MAX(timestamp)), 1) AS annual_turnover FROM rb GROUP BY 1),
+pg AS (SELECT t.variant_id, t.n AS test_n, t.tr AS test_return, t.sh AS test_sharpe, LEAST(t.sh, v.sh) AS stability, t.md AS max_drawdown, annual_turnover, (t.mr - t.beta * t.mb) * 252 AS alpha, ABS(t.beta) AS abs_beta, t.stressed AS stressed_return
+  FROM pm t JOIN pm v ON v.variant_id = t.variant_id AND v.fold = 'val' JOIN pt ON pt.variant_id = t.variant_id WHERE t.fold = 'test'),
+ph AS (SELECT *, list_filter([{', '.join(f"CASE WHEN NOT COALESCE({t}, FALSE) THEN '{g}' END" for g, t in zip(_GATES, _TESTS, strict=True))}], lambda x: x IS NOT NULL) AS failed, ABS(test_sharpe / SQRT(252.0) * SQRT(test_n) / SQRT(2.0)) AS az FROM pg),
+pi AS (SELECT *, 1 / (1 + 0.3275911 * az) AS t FROM ph), pj AS (SELECT *, 0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * EXP(-az * az) AS tail FROM pi),
+pv AS (SELECT *, CASE WHEN test_n < 2 THEN 1.0 WHEN test_sharpe >= 0 THEN tail ELSE 1 - tail END AS p_value FROM pj),
+fk AS (SELECT variant_id, p_value, ROW_NUMBER() OVER (ORDER BY p_value, variant_id) AS k, COUNT(*) OVER () AS m FROM pv WHERE len(failed) = 0), fz AS (SELECT variant_id, COALESCE(k <= MAX(CASE WHEN p_value <= 0.2 * k / m THEN k END) OVER (), FALSE) AS kept FROM fk)"""
+)
+_SHOWN = ("test_return", "test_sharpe", "stability", "max_drawdown", "annual_turnover", "alpha", "abs_beta", "stressed_return")
+
+
+def _promotion_metrics(spark, sf_dir):
+    panel = growing_panel(spark, sf_dir)
+    from barlake.operators.evaluate import holding_returns
+
+    market = holding_returns(panel).where("symbol = 'S0'").select("timestamp", F.col("forward").alias("benchmark_return"))
+    returns = _stored(W.sweep_returns(panel, statistics.grid(spark, _GRID), 0.9, 10.0).join(market, "timestamp", "left"))
+    return statistics.promotion_metrics(returns)
+
+
+@query(f"{_PROMOTION} SELECT variant_id, array_to_string(failed, ',') AS failed, CASE WHEN len(failed) = 0 THEN 'pass' ELSE 'fail' END AS verdict, {', '.join(f'{_r6(c)} AS {c}' for c in _SHOWN)} FROM pv")
+def h15_gates_of_sweep(spark, sf_dir):
+    """All eight gates over the variants of the sweep, with what they read."""
+    out = statistics.gates(_promotion_metrics(spark, sf_dir), statistics.PROMOTION_GATES)
+    return out.select("variant_id", F.array_join("failed", ",").alias("failed"), "verdict", *[six(F.col(c)).alias(c) for c in _SHOWN])
+
+
+@query(
+    f"""{_PROMOTION} SELECT pv.variant_id, {_r6('p_value')} AS p_value, CASE WHEN len(failed) > 0 THEN array_to_string(failed, ',') WHEN kept THEN '' ELSE 'fails_fdr' END AS failed, CASE WHEN COALESCE(kept, FALSE) THEN 'promote' ELSE 'reject' END AS verdict
+FROM pv LEFT JOIN fz ON fz.variant_id = pv.variant_id"""
+)
+def h18_promotion_of_sweep(spark, sf_dir):
+    """The variants of the sweep that pass all gates and the control of false discoveries."""
+    out = statistics.promote_batch(_promotion_metrics(spark, sf_dir), 0.2)
+    return out.select("variant_id", six(F.col("p_value")).alias("p_value"), F.array_join("failed", ",").alias("failed"), "verdict")
+
+
+#: The same from the daily returns of suppliers, bought once at 10 bps, beside those of every tenth supplier.
+_HELD = (
+    f"""WITH {_CUST}, dk AS (SELECT timestamp, ROW_NUMBER() OVER (ORDER BY timestamp) - 1 AS k FROM (SELECT DISTINCT timestamp FROM ret)), hr AS (SELECT variant_id, timestamp, CASE WHEN timestamp = MIN(timestamp) OVER (PARTITION BY variant_id) THEN 1.0 ELSE 0.0 END AS turnover, daily_return FROM ret),
+hb AS (SELECT CAST(l_shipdate AS DATE) AS timestamp, AVG(l_discount) - 0.05 AS forward FROM lineitem WHERE l_suppkey % 10 = 0 GROUP BY 1), pk AS (SELECT k, 'S0' AS symbol, forward FROM hb JOIN dk USING (timestamp)), rt AS (SELECT variant_id, k, daily_return - turnover * 0.001 AS r, turnover FROM hr JOIN dk USING (timestamp)),
+ca AS"""
+    + _PROMOTION.split("\nca AS")[1]
+)
+ORACLES["h15_promotion_gates_all_eight"] = f"{_HELD} SELECT variant_id, array_to_string(failed, ',') AS failed, CASE WHEN len(failed) = 0 THEN 'pass' ELSE 'fail' END AS verdict FROM pv"
+
+
+@query(
+    f"""{_HELD} SELECT pv.variant_id, {_r6('p_value')} AS p_value, CASE WHEN len(failed) > 0 THEN array_to_string(failed, ',') WHEN kept THEN '' ELSE 'fails_fdr' END AS failed, CASE WHEN COALESCE(kept, FALSE) THEN 'promote' ELSE 'reject' END AS verdict
+FROM pv LEFT JOIN fz ON fz.variant_id = pv.variant_id""".replace("0.2 * k / m", "0.4 * k / m")
+)
+def h18_promotion_all_gates(spark, sf_dir):
+    """Suppliers as variants: some pass all gates and the control of false discoveries."""
+    out = statistics.promote_batch(statistics.promotion_metrics(held_suppliers(spark, sf_dir)), 0.4)
+    return out.select("variant_id", six(F.col("p_value")).alias("p_value"), F.array_join("failed", ",").alias("failed"), "verdict")
