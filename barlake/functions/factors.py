@@ -25,6 +25,11 @@ def cross_section(time: str = TIME) -> WindowSpec:
     return Window.partitionBy(time)
 
 
+def _in_order(time: str = TIME) -> WindowSpec:
+    """A cross-section whose sums add in the order of symbols, so that they are the same however rows are dealt to tasks."""
+    return Window.partitionBy(time).orderBy(SYMBOL).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -143,12 +148,12 @@ def cs_percentile(x, time: str = TIME) -> Column:
 
 
 def cs_zscore(x, time: str = TIME) -> Column:
-    w = cross_section(time)
+    w = _in_order(time)
     return F.try_divide(_col(x) - F.avg(_col(x)).over(w), F.stddev_samp(_col(x)).over(w))
 
 
 def cs_demean(x, time: str = TIME) -> Column:
-    return _col(x) - F.avg(_col(x)).over(cross_section(time))
+    return _col(x) - F.avg(_col(x)).over(_in_order(time))
 
 
 cs_neutralize = cs_demean

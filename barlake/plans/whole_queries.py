@@ -112,7 +112,7 @@ def e09_core_and_sleeve(spark, sf_dir):
 
 # ---- walk-forward with turnover, regimes
 
-_MONTHS = """mr AS (SELECT l_suppkey % 10 AS variant_id, CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS timestamp, AVG(l_discount) - 0.05 AS daily_return, COUNT(*) % 7 * 0.1 AS turnover FROM lineitem GROUP BY 1, 2), my AS (SELECT *, CAST(EXTRACT(year FROM timestamp) AS INTEGER) AS y FROM mr)"""
+_MONTHS = """mr AS (SELECT l_suppkey % 10 AS variant_id, CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS timestamp, (AVG(l_discount) - 0.05) * 0.987654321 AS daily_return, COUNT(*) % 7 * 0.1 AS turnover FROM lineitem GROUP BY 1, 2), my AS (SELECT *, CAST(EXTRACT(year FROM timestamp) AS INTEGER) AS y FROM mr)"""
 
 
 def _metrics_sql(rows: str, keys: str) -> str:
@@ -123,7 +123,7 @@ def _metrics_sql(rows: str, keys: str) -> str:
 def _months(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     by = [(F.col("l_suppkey") % 10).alias("variant_id"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("timestamp")]
-    return lines.groupBy(*by).agg((F.avg("l_discount") - 0.05).alias("daily_return"), (F.count(F.lit(1)) % 7 * 0.1).alias("turnover"))
+    return lines.groupBy(*by).agg(((F.avg("l_discount") - 0.05) * 0.987654321).alias("daily_return"), (F.count(F.lit(1)) % 7 * 0.1).alias("turnover"))
 
 
 @query(

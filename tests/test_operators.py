@@ -43,6 +43,16 @@ def test_no_look_ahead(small, make):
     assert whole.exceptAll(early).count() == 0
 
 
+def test_cross_sections_do_not_depend_on_how_rows_are_dealt(spark):
+    rows = [(day(i), f"S{k}", 100 + ((i * 37 + k * 101) % 997) / 7.0) for i in range(20) for k in range(23)]
+    d = spark.createDataFrame(rows, "timestamp date, symbol string, x double")
+    seen = []
+    for parts in (1, 4, 8):
+        dealt = d.repartition(parts, "symbol").repartition(parts, "timestamp")
+        seen.append({(r.timestamp, r.symbol): (r.a, r.b) for r in dealt.select("timestamp", "symbol", X.cs_demean("x").alias("a"), X.cs_zscore("x").alias("b")).collect()})
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
+
+
 def test_windows_must_be_positive():
     with pytest.raises(ValueError):
         X.ts_mean("close", 0)
