@@ -44,6 +44,15 @@ def _full(agg: Column, x: Column, n: int, w: WindowSpec) -> Column:
     return F.when(F.count(x).over(w) == n, agg.over(w))
 
 
+def rounded(x, digits: int) -> Column:
+    """x to so many digits by way of the double x * 10^digits, as SQL engines round doubles; halves go away from zero.
+
+    Spark's round goes by the shortest decimal text of x instead, which parts from it where x is a written tie: 0.70815
+    is 0.7081 here (7081.499... ten-thousandths) and 0.7082 there.
+    """
+    return F.round(_col(x) * 10.0**digits) / 10.0**digits
+
+
 def ts_delay(x, n: int, by: WindowSpec | None = None) -> Column:
     _last(n, by)
     return F.lag(_col(x), n).over(by or series())

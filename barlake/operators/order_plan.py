@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barlake.functions.factors import rounded
+
 #: Shares and cash below this are none.
 TINY = 1e-12
 #: An account needs this equity to sell short.
@@ -115,7 +117,7 @@ def order_plan(targets: DataFrame, positions: DataFrame, prices: DataFrame, acco
         limit_price = F.lit(None).cast("double")
     else:
         raw = F.col("price") * (1 + F.when(F.col("side") == "buy", 1.0).otherwise(-1.0) * policy.limit_offset_bps / 10000)
-        limit_price = F.when(raw >= 1, F.round(raw, 2)).otherwise(F.round(raw, 4))
+        limit_price = F.when(raw >= 1, rounded(raw, 2)).otherwise(rounded(raw, 4))
         limit_price = F.when(F.col("exits"), None).otherwise(limit_price) if policy.market_exits else limit_price
     rows = rows.withColumn("purpose", purpose).withColumn("limit_price", limit_price).withColumn("order_price", F.coalesce("limit_price", "price"))
     most = F.coalesce("max_notional", F.lit(policy.max_order_notional))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barlake.functions.factors import rounded
 from barlake.operators import order_plan
 
 from .registry import query, table
@@ -66,7 +67,7 @@ def j01_guarded_order_plan(spark, sf_dir):
     )
     number = F.col("l_suppkey") % 20
     symbol = F.concat(F.lit("P"), number.cast("string")).alias("symbol")
-    prices = lines.where(number != 7).groupBy(symbol).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) / 10, 2).alias("price"))
+    prices = lines.where(number != 7).groupBy(symbol).agg(rounded(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) / 10, 2).alias("price"))
     held = o.join(lines.where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"))
     signed = F.col("l_quantity") * F.when((F.col("o_custkey") + number) % 4 == 0, -1).otherwise(1)
     positions = held.groupBy(F.col("o_custkey").alias("account"), symbol).agg(F.sum(signed).alias("quantity"))
@@ -77,4 +78,4 @@ def j01_guarded_order_plan(spark, sf_dir):
     limits = spark.createDataFrame([("P3", 0.02, None, None), ("P4", None, 400.0, None), ("P5", None, None, 0.01)], "symbol string, max_weight double, max_notional double, max_share double")
     policy = order_plan.Policy("plan", "momentum", 0.05, 0.2, 0.03, 50.0, 0.002, 1500.0, 0.05, 0.02, 5.0, True, True)
     plan = order_plan.order_plan(targets, positions, prices, accounts, waiting, names, limits, policy)
-    return plan.withColumns({"target_weight": F.round("target_weight", 6), "quantity": F.round("quantity", 4), "notional": F.round("notional", 2)})
+    return plan.withColumns({"target_weight": rounded("target_weight", 6), "quantity": rounded("quantity", 4), "notional": rounded("notional", 2)})

@@ -278,3 +278,14 @@ def test_rolling_ridge_equals_numpy(spark):
     p = spark.createDataFrame(errors, "session date, symbol string, label double, prediction double")
     picked = {(r.session, r.symbol): r.prediction for r in rolling_model.calibrated_pick(p, p, 1, 1.0, 3, 4).collect()}
     assert picked == {(day(d), "A"): pytest.approx(sum(0.01 * k for k in range(max(0, d - 3), d)) / min(3, d)) for d in range(2, 6)}
+
+
+def test_rounded_goes_by_the_double_as_sql_engines_do(spark):
+    import duckdb
+
+    xs = [0.70815, -0.70815, 50.025, 1.005, -2.675, 2.5, 335.44999999999999, 0.0]
+    rows = spark.createDataFrame([(x,) for x in [*xs, None]], "x double")
+    for digits in (2, 4, 6):
+        want = [duckdb.sql(f"SELECT ROUND({x!r}::DOUBLE, {digits})").fetchall()[0][0] for x in xs]
+        assert [r[0] for r in rows.select(X.rounded("x", digits)).collect()] == [*want, None]
+    assert [r[0] for r in rows.select(F.round("x", 4)).take(1)] == [0.7082] != [r[0] for r in rows.select(X.rounded("x", 4)).take(1)]
