@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
-#: Stretches kept by one worker, some 200 bytes each. A full store stays as it is, for what is frequent comes early,
+#: Stretches kept by one worker, some 150 bytes each. A full store stays as it is, for what is frequent comes early,
 #: and is renewed after ten times as many stretches had no place in it.
 KEPT = 600_000
 _loaded: dict[str, Encoder] = {}
+#: Latin letters, of which the pattern makes one token, and up to three marks (no apostrophe), which make another.
+_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]{0,3})")
 
 
 def default_tokenizer() -> str:
@@ -23,13 +26,16 @@ class _Spacing(Exception):
 
 
 class _Stretches(dict):
-    """Ids of stretches that follow a space, made when first asked for."""
+    """Ids of stretches that follow a space, or with an empty `lead` a line break, made when first asked for."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, lead: str = " ", kept: int = KEPT):
         self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
-        self.space = self.split(" a")[0][0][0]  # the character of the byte-level alphabet that stands for a space
-        self.marks: dict[str, bytes] = {}
-        self.unkept = 0
+        self.lead, self.kept, self.unkept = lead, kept, 0
+        self.lead_piece = self.split(" a")[0][0][0] if lead else ""  # the character of the byte-level alphabet that stands for a space
+        self.letters = {ord(c): self.split(c)[0][0] for c in map(chr, range(0xC0, 0x250)) if c.isalpha()}
+        self.line = self.ids(self.split("\n")[0][0])
+        self.marks = {"": b""}
+        self.after_line = _Stretches(tokenizer, "", kept // 6) if lead else self
 
     def ids(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model(piece)]).tobytes()
@@ -37,19 +43,28 @@ class _Stretches(dict):
     def __missing__(self, text: str) -> bytes:
         if not text or text[0].isspace() or text[-1].isspace():
             raise _Spacing
-        head, mark = (text, "") if text.isalpha() else (text[:-1], text[-1])
-        if head.isascii() and head.isalpha() and (not mark or mark in ".,!?;:"):
-            # a word and at most one mark: two tokens' worth of text, whatever comes next
-            found = self.ids(self.space + head)
-            if mark:
-                found += self.marks.get(mark) or self.marks.setdefault(mark, self.ids(mark))
+        if "\n" in text:
+            first, *rest = text.split("\n")
+            if first and not first[-1].isspace() and not any(not x or x[0].isspace() or x[-1].isspace() for x in rest):
+                # a line break between two characters that are no white space is a token, whatever they are; mostly
+                # such stretches are new and the words in them are not, so only these are kept
+                return self[first] + b"".join([self.line + self.after_line[x] for x in rest])
+        word = _WORD.fullmatch(text)
+        if not word:
+            found = b"".join([self.ids(p) for p, _ in self.split(self.lead + text)])
+        elif word[2]:
+            # letters, then marks: two tokens' worth of text, whatever comes next; kept once the word is known without them
+            known = self.get(word[1])
+            found = (known or self[word[1]]) + (self.marks.get(word[2]) or self.marks.setdefault(word[2], self.ids(word[2])))
+            if not known:
+                return found
         else:
-            found = b"".join([self.ids(p) for p, _ in self.split(" " + text)])
-        if len(self) < KEPT:
+            found = self.ids(self.lead_piece + (text if text.isascii() else text.translate(self.letters)))
+        if len(self) < self.kept:
             self[text] = found
         else:
             self.unkept += 1
-            if self.unkept > 10 * KEPT:
+            if self.unkept > 10 * self.kept:
                 self.clear()
                 self.unkept = 0
         return found
@@ -70,8 +85,8 @@ class Encoder:
 
     For a byte-level BPE with that pre-tokenizer's own pattern a text is cut before every single space that stands
     between two characters that are not white space. The pattern always ends a token there (a space is taken only as
-    the first character of a token, and no token holds a space between two others), so encoding the stretches one by
-    one gives the ids of the whole; stretches are kept with their ids. A text with other spacing, one that holds the
+    the first character of a token, and no token holds a space between two others), and so it does on both sides of a
+    single line break; encoding the stretches one by one gives the ids of the whole, and they are kept with their ids. A text with other spacing, one that holds the
     name of an added token (which the library reads as that token), and every text of another kind of vocabulary is
     encoded whole.
     """

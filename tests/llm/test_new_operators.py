@@ -269,3 +269,37 @@ def test_fixity_compares_only_the_branches_of_the_damage(spark, monkeypatch):
     assert one.count() <= 32 and [(r.key, r.status) for r in fixity.audit(before, after).collect()] == [(7, "missing")]
     few = spark.createDataFrame([(7, f"u{i}", f"{i}") for i in range(1000)], shape)
     assert fixity.descend(levels(few), levels(few.where("url <> 'u500'")))[-1].count() == 1
+
+
+def test_stretches_are_kept_by_words_and_give_the_ids_of_whole_texts():
+    import random
+
+    from barlake.llm import tokens
+
+    e = tokens.Encoder(tokens.default_tokenizer())
+    draw, parts = random.Random(3), ["the", "Word", "é", "ßa", "œuvre", "×", "ª", ",", ".", "!?;", "....", "%%%", "'s", "don't", "\n", "\n\n", " ", "\t", "\r\n", "\xa0", "12", "a1", "<|", "日本", "\x1c", "😀", "A.\nB", "x\n's"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) + draw.choice([" ", "", "\n"]) for _ in range(draw.randint(1, 9)))
+        assert e.encode(text) == e._whole(text), text
+    fresh = tokens.Encoder(tokens.default_tokenizer())
+    assert fresh.encode("go onward.\nBeyond, words") == fresh._whole("go onward.\nBeyond, words")
+    assert {"onward", "words"} == set(fresh.stretches) and "Beyond" in fresh.stretches.after_line
+
+
+def test_release_deletes_shuffle_files_of_finished_steps(spark):
+    import glob
+    import time
+
+    from barlake.llm import shared
+
+    files = lambda: set(glob.glob("/tmp/blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    shared.materialize(spark.range(1000).groupBy((F.col("id") % 97).alias("k")).count(), "released")
+    made = files() - before
+    assert made
+    shared.release(spark)
+    for _ in range(100):
+        if not made & files():
+            break
+        time.sleep(0.1)
+    assert not made & files()
