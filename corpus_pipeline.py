@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barlake.llm import decontaminate, jaccard, packing, quality_model, toxicity
-from barlake.llm.shared import load, materialize, ship_package
+from barlake.llm.shared import load, materialize, release, ship_package
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
