@@ -23,8 +23,13 @@ _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
 
 def _tokens(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each maximal run of one kind (words, marks), A-Z lower-cased."""
+    return _sized_tokens(data, firsts)[:2]
+
+
+def _sized_tokens(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and bytes of each maximal run of one kind, and the value of each byte at its place in its run."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     kind = _KIND[data]
     begins = np.empty(len(data), bool)
     begins[0] = True
@@ -33,9 +38,10 @@ def _tokens(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts = np.flatnonzero(begins)
     span = np.diff(np.append(starts, len(data)))
     place = np.arange(len(data)) - np.repeat(starts, span)
-    hashes = mix64(np.add.reduceat(_BYTE_VALUE[_LOWER[data]] * _powers(int(span.max()))[place], starts))
+    values = _BYTE_VALUE[_LOWER[data]] * _powers(int(span.max()))[place]
+    hashes = mix64(np.add.reduceat(values, starts))
     real = kind[starts] > 0
-    return hashes[real], starts[real]
+    return hashes[real], starts[real], span[real], values
 
 
 def row_parts(data: np.ndarray, offsets: np.ndarray, row: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .linear import BITS, _tokens
+from .linear import BITS, _sized_tokens
 from .quality_model import SAMPLE_ROWS, bounded_sample, fit, held_out, scorer, within_bytes
 from .shared import materialize, unused
 from .textops import _BYTE_VALUE, _IS_SPACE, _LOWER, SLICE_BYTES, _powers, buffers, mix64
@@ -58,26 +58,20 @@ def _terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
         owners, codes, before = [], [], None
         for part, firsts in linear.row_parts(data, offsets, row, last):
-            hashes, starts = _tokens(part, np.unique(firsts[:-1]))
-            owner = np.searchsorted(firsts, starts, "right") - 1
+            hashes, starts, size, values = _sized_tokens(part, firsts[:-1])
+            owner = _rows_of(starts, firsts)
             owners.append(owner)
             codes.append(hashes)
             spelled, before = _spellings(part, firsts, before)
             for places, found in spelled:
-                owners.append(np.searchsorted(firsts, places, "right") - 1)
+                owners.append(_rows_of(places, firsts))
                 codes.append(found)
-            if len(starts):
-                size = _lengths(part, starts, firsts)
-                lower = _BYTE_VALUE[_LOWER[part]]
-                powers = _powers(max(BEGINNINGS))
-                total = np.zeros(len(starts), np.uint64)
-                for k in range(max(BEGINNINGS)):
-                    long = size > k
-                    total[long] += lower[starts[long] + k] * powers[k]
-                    if k + 1 in BEGINNINGS:
-                        more = size > k + 1
-                        codes.append(mix64(total[more] ^ _SALT[k]))
-                        owners.append(owner[more])
+            upto = np.append(_U(0), np.cumsum(values))
+            for k in BEGINNINGS:  # each among the words that went on before
+                more = size > k
+                owner, starts, size = owner[more], starts[more], size[more]
+                codes.append(mix64((upto[starts + k] - upto[starts]) ^ _SALT[k - 1]))
+                owners.append(owner)
         yield row, last, np.concatenate(owners), np.concatenate(codes)
         row = last
 
@@ -116,11 +110,9 @@ def _spellings(data: np.ndarray, firsts: np.ndarray, before: np.uint64 | None) -
     return [(firsts_of, codes), *((places, np.full(len(places), code)) for places, code in patterns)], codes[-1]
 
 
-def _lengths(data: np.ndarray, starts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Bytes of the run of one kind that begins at each start; a row's end ends it, too."""
-    kind = linear._KIND[data]
-    ends = np.unique(np.concatenate([np.flatnonzero(kind[1:] != kind[:-1]) + 1, firsts, [len(data)]]))
-    return ends[np.searchsorted(ends, starts, "right")] - starts
+def _rows_of(places: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The row of each place; places ascend."""
+    return np.repeat(np.arange(len(firsts) - 1), np.diff(np.searchsorted(places, firsts)))
 
 
 def term_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -130,8 +122,12 @@ def term_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield index[a:b].astype(np.int32), value[a:b].astype(np.float32)
 
 
-def _hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _hashed(texts: pa.Array, useful: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """useful: which indices of terms said once or more are looked at; all without it."""
     for first, last, owner, code in _terms(texts):
+        if useful is not None:
+            some = np.flatnonzero(useful[code >> _U(64 - BITS)])
+            owner, code = owner[some], code[some]
         once, count = np.unique((owner.astype(_U) << _U(BITS)) | (code >> _U(64 - BITS)), return_counts=True)
         twice = once[count > 1]
         twice = np.sort(twice ^ (_TWICE & _U((1 << BITS) - 1)))
@@ -142,7 +138,10 @@ def _hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 def term_score(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
-    out = [np.bincount(o, weights[i + 1] * v, last - first) + weights[0] for first, last, o, i, v in _hashed(texts)]
+    # a term without a weight, said once or twice, adds nothing
+    useful = weights[1:] != 0
+    useful = useful | useful[np.arange(1 << BITS) ^ int(_TWICE & _U((1 << BITS) - 1))]
+    out = [np.bincount(o, weights[i + 1] * v, last - first) + weights[0] for first, last, o, i, v in _hashed(texts, useful)]
     return 1 / (1 + np.exp(-np.clip(np.concatenate(out) if out else np.zeros(0), -35, 35)))
 
 
@@ -188,7 +187,11 @@ def _votes(texts: pa.Array, voters: list[tuple[int, int, float]]) -> pa.Array:
     of = np.full((3, len(known)), -1)
     of[times, place] = np.arange(len(voters))
     sizes, spoken = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+    may = np.zeros(1 << BITS, bool)
+    may[known >> _U(64 - BITS)] = True
     for first, last, owner, code in _terms(texts):
+        some = np.flatnonzero(may[code >> _U(64 - BITS)])  # few of the others
+        owner, code = owner[some], code[some]
         at = np.minimum(np.searchsorted(known, code), len(known) - 1)
         hit = np.flatnonzero(known[at] == code)
         said, count = np.unique(owner[hit] * len(known) + at[hit], return_counts=True)

@@ -555,6 +555,19 @@ def test_ftrl_equals_the_plain_form():
     assert np.abs(got[: len(want)] - [want.get(i, 0.0) for i in range(len(want))]).max() < 1e-6 and (got[60:] == 0).all()
 
 
+def test_scores_look_only_at_terms_with_weights():
+    texts = pa.array([" ".join(words(200, 1)), None, "twice twice", "", " ".join(words(900, 2))])
+    everything = [np.concatenate(x) for x in list(zip(*toxicity._hashed(texts), strict=True))[2:]]
+    weights = np.zeros((1 << linear.BITS) + 1, np.float32)
+    weights[0], weights[np.unique(everything[1])[::40] + 1] = -1, 0.25
+    once = weights[1:] != 0
+    useful = once | once[np.arange(1 << linear.BITS) ^ int(toxicity._TWICE & np.uint64((1 << linear.BITS) - 1))]
+    looked_at = sum(len(x[3]) for x in toxicity._hashed(texts, useful))
+    assert 0 < looked_at < len(everything[1]) / 8
+    total = np.bincount(everything[0], weights[everything[1] + 1] * everything[2], 5) + weights[0]
+    assert np.array_equal(toxicity.term_score(texts, weights), 1 / (1 + np.exp(-total)))
+
+
 def test_scores_are_sparse_dot_products():
     texts = pa.array(["a b c a b", None, "", "Z!! z!! z", "a b c a b"])
     weights = np.random.default_rng(2).normal(size=(1 << linear.BITS) + 1).astype(np.float32)
