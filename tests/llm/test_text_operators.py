@@ -437,6 +437,13 @@ def test_jaccard_join_with_null_and_repeated_ids(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, " ".join(a)), (5, " ".join(b)), (None, ""), (None, None), (9, "x")])
 
 
+def test_turns_share_the_keys_of_all_documents():
+    texts = pa.array([" ".join(words(n, n)) for n in (3, 40, 300)])
+    keys = lambda *turn: [k for b in jaccard._keys_pass(5, 75, np.zeros(0, np.uint64), *turn)(iter([pa.record_batch([texts], ["text"])])) for k in b.column(0).to_pylist()]
+    parts = [keys(turn, jaccard.TURNS) for turn in range(jaccard.TURNS)]
+    assert jaccard.TURNS > 1 and sorted(sum(parts, [])) == sorted(keys()) and max(map(len, parts)) < 0.8 * len(keys())
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
