@@ -444,6 +444,14 @@ def test_turns_share_the_keys_of_all_documents():
     assert jaccard.TURNS > 1 and sorted(sum(parts, [])) == sorted(keys()) and max(map(len, parts)) < 0.8 * len(keys())
 
 
+def test_near_copies_are_looked_up_once(spark, tmp_path):
+    texts = [" ".join(words(60, max(i, 2))) for i in range(9)]
+    spark.createDataFrame([(i, texts[i]) for i in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    kept = jaccard.drop_near_copies(spark.read.parquet(str(tmp_path / "docs")))
+    assert kept._jdf.queryExecution().executedPlan().toString().count(f"{tmp_path}/docs") == 1  # the filter's literal is in no plan twice
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(3, 9)]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
