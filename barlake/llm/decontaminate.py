@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, unused
-from .textops import buffers
+from .textops import buffers, let_go, new_store
 
 WINDOW = 10
 #: Bytes of normalised items in one automaton, which takes about 100 times that. A benchmark is one automaton; one of more
@@ -113,11 +113,12 @@ def build(benchmark: DataFrame, item: str = "item_id", text: str = "text", n: in
     return [pieces.where(number == k) for k in range(parts)]
 
 
-_kept: dict[str, Automaton] = {}
+_kept: dict[str, Automaton] = new_store()
 
 
 def _automaton(name: str, items: list[tuple[str | None, bytes]], n: int) -> Automaton:
     """The automaton of a part, made once in a worker and kept for its next batches and tasks; one at a time."""
+    let_go(but=_kept)
     if name not in _kept:
         _kept.clear()
         _kept[name] = Automaton(items, n)

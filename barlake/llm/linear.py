@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .textops import _BYTE_VALUE, _LOWER, SLICE_BYTES, _pieces, _powers, buffers, mix64
+from .textops import _BYTE_VALUE, _LOWER, SLICE_BYTES, _pieces, _powers, buffers, let_go, mix64
 
 #: Size of the hashed feature space.
 BITS = 20
@@ -44,11 +44,11 @@ def _sized_tokens(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.
     return hashes[real], starts[real], span[real], values
 
 
-def row_parts(data: np.ndarray, offsets: np.ndarray, row: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, where each row begins and the end): a run of rows, or the parts of a single long one."""
-    part = data[offsets[row] : offsets[last]]
-    if last == row + 1 and len(part) > 4 * SLICE_BYTES:
-        for piece in _pieces(part, 4 * SLICE_BYTES):
+def row_parts(data: np.ndarray, offsets: np.ndarray, row: int, last: int, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, where each row begins and the end): a run of rows, or the parts of a single long one, of some `size` bytes."""
+    part, size = data[offsets[row] : offsets[last]], size or 4 * SLICE_BYTES
+    if last == row + 1 and len(part) > size:
+        for piece in _pieces(part, size):
             yield piece, np.array([0, len(piece)])
     else:
         yield part, offsets[row : last + 1] - offsets[row]
@@ -61,6 +61,7 @@ def features(texts: pa.Array, max_n: int = 2) -> Iterator[tuple[int, int, np.nda
     counts words equal to the word before. A long text is taken in parts that end at white space; their counts are
     added, and the last tokens of a part go before the next one's, so that the parts cannot be told from the whole.
     """
+    let_go()
     data, offsets = buffers(texts)
     n, row = len(offsets) - 1, 0
     while row < n:

@@ -7,10 +7,12 @@ import os
 import re
 from array import array
 
+from .textops import let_go, new_store
+
 #: Stretches kept by one worker, some 150 bytes each. A full store stays as it is, for what is frequent comes early,
 #: and is renewed after ten times as many stretches had no place in it.
 KEPT = 600_000
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[str, Encoder] = new_store()
 #: Latin letters, of which the pattern makes one token, and up to three marks (no apostrophe), which make another.
 _WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]{0,3})")
 
@@ -115,6 +117,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
+    let_go(but=_loaded)
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]

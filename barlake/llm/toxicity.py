@@ -27,7 +27,7 @@ from . import linear
 from .linear import BITS, _sized_tokens
 from .quality_model import SAMPLE_ROWS, bounded_sample, fit, held_out, scorer, within_bytes
 from .shared import materialize, unused
-from .textops import _BYTE_VALUE, _IS_SPACE, _LOWER, SLICE_BYTES, _powers, buffers, mix64
+from .textops import _BYTE_VALUE, _IS_SPACE, _LOWER, _powers, buffers, let_go, mix64
 
 #: What was chosen on splits inside the training rows. ratio: a voter's odds ratio, less one standard deviation, is this
 #: at least, for one side or the other; unlabelled: rows without a label for each labelled row the classifier learns from.
@@ -36,6 +36,10 @@ SETTINGS = {"ratio": 10, "l1": 0.1, "passes": 5, "alpha": 0.5, "raised_in": 3, "
 ROUNDS, DAMP = 8, 20
 #: Share of labels that are right.
 LABEL = 0.999
+#: Bytes of texts whose terms are made together: a byte takes 55 to 100 bytes of arrays. Longer texts are cut at white space.
+SLICE_BYTES = 1 << 18
+#: Pairs of votes taken together, or all of one vote: a pair takes some 90 bytes of arrays.
+PAIRS = 1 << 18
 #: Lengths in bytes of the word beginnings looked at; only words that go on count.
 BEGINNINGS = (4, 5, 6, 7)
 _U = np.uint64
@@ -52,12 +56,13 @@ _FIGURE = np.isin(np.arange(256), list(b"0123456789@$"))
 
 def _terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of rows: (first row, row after the last, row of each term, its 64-bit code): words and beginnings."""
+    let_go()
     data, offsets = buffers(texts)
     n, row = len(offsets) - 1, 0
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
         owners, codes, before = [], [], None
-        for part, firsts in linear.row_parts(data, offsets, row, last):
+        for part, firsts in linear.row_parts(data, offsets, row, last, 4 * SLICE_BYTES):
             hashes, starts, size, values = _sized_tokens(part, firsts[:-1])
             owner = _rows_of(starts, firsts)
             owners.append(owner)
@@ -239,13 +244,17 @@ class LabelModel:
         row = np.repeat(np.arange(len(n)), np.diff(ends))
         each = np.array([np.append(np.bincount(at, x[row], v), x.sum()) for x in (n, w)])
         keys, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+        waiting = 0
         for _, _, a, b in _together(ends):
             own = (at[a] < at[b]) & (self.toxic[at[a]] == self.toxic[at[b]])
             a, b = a[own], b[own]
             key, place = np.unique(at[a] * v + at[b], return_inverse=True)
             keys.append(key)
             weights.append(np.bincount(place, np.where(self.toxic[at[a]], w[row[a]], (n - w)[row[a]]), len(key)))
-        return each, np.concatenate(keys), np.concatenate(weights)
+            waiting += len(key)
+            if waiting > max(PAIRS, len(keys[0])):
+                keys, weights, waiting = *([x] for x in _added(keys, weights)), 0
+        return each, *_added(keys, weights)
 
     def update(self, each: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> float:
         """The greatest change of a share or of the shift, from the sums of all rows."""
@@ -267,20 +276,28 @@ class LabelModel:
         return max(float(np.abs(self.share - before).max()), abs(self.shift - shift))
 
 
-def _together(ends: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of rows with about `most` pairs: (first vote, vote after the last, a, b): all pairs of two votes of a row."""
-    sizes = np.diff(ends)
-    done = np.append(0, np.cumsum(sizes * (sizes - 1)))
-    row = 0
-    while row < len(sizes):
-        last = max(row + 1, int(np.searchsorted(done, done[row] + most, "right")) - 1)
-        votes = np.arange(ends[row], ends[last])
-        count = np.repeat(sizes[row:last], sizes[row:last])
-        a = np.repeat(votes, count)
-        start = np.repeat(np.repeat(ends[row:last], sizes[row:last]), count)
-        b = start + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
-        yield int(ends[row]), int(ends[last]), a[a != b], b[a != b]
-        row = last
+def _added(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, and the sum of its weights."""
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(place, np.concatenate(weights), len(key))
+
+
+def _together(ends: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of votes with about `most` pairs (PAIRS): (first vote, vote after the last, a, b): all pairs of one of
+    them, a, with another vote of its row. A row with many votes is in several runs."""
+    sizes, most = np.diff(ends), most or PAIRS
+    others = np.repeat(sizes - 1, sizes)  # of each vote
+    start = np.repeat(ends[:-1], sizes)
+    done = np.append(0, np.cumsum(others))
+    vote = 0
+    while vote < len(others):
+        last = max(vote + 1, int(np.searchsorted(done, done[vote] + most, "right")) - 1)
+        count = others[vote:last]
+        a = np.repeat(np.arange(vote, last), count)
+        b = np.repeat(start[vote:last] - (done[vote:last] - done[vote]), count) + np.arange(len(a))
+        b += b >= a  # past the vote itself
+        yield vote, last, a, b
+        vote = last
 
 
 def _flat(votes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -326,8 +343,7 @@ def fit_voters(docs: DataFrame, voters: list[tuple[int, int, float]], prior: flo
             each, keys, weights = np.zeros((2, len(k))), np.zeros(0, np.int64), np.zeros(0)
             for batch in batches:
                 more, *pairs = m.sums(*_flat(batch.column(0)), batch.column(1).to_numpy().astype(float))
-                keys, place = np.unique(np.concatenate([keys, pairs[0]]), return_inverse=True)
-                each, weights = each + more, np.bincount(place, np.concatenate([weights, pairs[1]]), len(keys))
+                each, (keys, weights) = each + more, _added([keys, pairs[0]], [weights, pairs[1]])
             kind, at = np.repeat([0, 1, 2], [len(k), len(k), len(keys)]), np.concatenate([k, k, keys])
             yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(at), pa.array(np.concatenate([*each, weights]))], ["kind", "at", "x"])
 

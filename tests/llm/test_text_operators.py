@@ -7,6 +7,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -620,6 +621,57 @@ def test_label_model_equals_plain_expectation_maximisation():
     assert corr[0, 1] > 0
 
 
+def test_votes_that_speak_together_are_taken_in_bounded_runs(monkeypatch):
+    r = np.random.default_rng(5)
+    sizes = [0, 1, 300, 2, 0, 40, 1, 7]
+    ends = np.cumsum([0, *sizes])
+    at = np.concatenate([np.sort(r.permutation(400)[:k]) for k in sizes])
+    n = r.integers(1, 9, len(sizes)).astype(float)
+    want = [(int(i), int(j)) for x, y in zip(ends[:-1], ends[1:], strict=True) for i in range(x, y) for j in range(x, y) if i != j]
+    found = []
+    for size in (1 << 30, 1000, 1):
+        monkeypatch.setattr(toxicity, "PAIRS", size, raising=False)
+        runs = list(toxicity._together(ends))
+        assert [p for _, _, a, b in runs for p in zip(a.tolist(), b.tolist(), strict=True)] == want
+        assert all(len(a) <= max(size, max(sizes)) for _, _, a, _ in runs)
+        model = toxicity.LabelModel(r.permutation(400) / 400 if not found else shares, 0.2)
+        shares = model.first
+        for _ in range(2):
+            model.update(*model.sums(at, ends, n))
+        found.append(model.posterior(at, ends))
+    assert all(np.abs(p - found[0]).max() < 1e-9 for p in found) and len(model.pairs)
+
+
+def test_terms_take_little_memory_beside_the_texts():
+    texts = pa.array([" ".join(f"Word{i * k % 9973} l0ud" for i in range(500)) for k in range(1, 300)])  # some 2 MB
+    list(toxicity._terms(texts.slice(0, 1)))
+    tracemalloc.start()
+    for _ in toxicity._terms(texts):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50e6
+
+
+def test_workers_let_go_of_what_earlier_stages_kept():
+    """Workers outlive a stage of the pipeline; what they keep for its tasks must not stay during the next ones."""
+    texts = pa.array(["some words", None])
+    for kernel in (toxicity.term_features, linear.feature_rows, textops.word_hashes):
+        tokens.encoder(tokens.default_tokenizer()).encode("some words")
+        assert tokens.encoder(tokens.default_tokenizer()) is tokens.encoder(tokens.default_tokenizer())
+        list(kernel(texts))
+        assert not tokens._loaded
+        decontaminate._automaton("part", [("a", b"some words")], 2)
+        assert decontaminate._automaton("part", [], 2).hits(b"some words")[2] == {"a"}
+        list(kernel(texts))
+        assert not decontaminate._kept
+    decontaminate._automaton("part", [("a", b"some words")], 2)
+    tokens.encoder(tokens.default_tokenizer())
+    assert tokens._loaded and not decontaminate._kept
+    decontaminate._automaton("part", [("a", b"some words")], 2)
+    assert decontaminate._kept and not tokens._loaded
+
+
 def test_classifiers_of_empty_and_repeated_rows(spark, none):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
     rows = [(i, ("fine words here " if i % 2 else "awful things there ") + f"n{i}", "", "", 0, "kept", 0) for i in range(40)]
