@@ -119,10 +119,10 @@ def pair_statistics(returns: DataFrame, value: str, min_obs: int) -> DataFrame:
 
 
 def overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Sizes of two signal sets, of what they share and of their union, and the Jaccard share."""
+    """Sizes of two signal sets, of what they share and of their union, and the Jaccard share, null if both are empty."""
     a, b = left.select(*keys).distinct().withColumn("_a", F.lit(1)), right.select(*keys).distinct().withColumn("_b", F.lit(1))
     g = a.join(b, keys, "full_outer").agg(F.count("_a").alias("n_left"), F.count("_b").alias("n_right"), F.count(F.col("_a") + F.col("_b")).alias("n_both"), F.count(F.lit(1)).alias("n_union"))
-    return g.withColumn("jaccard", F.coalesce(F.try_divide("n_both", "n_union"), F.lit(0.0)))
+    return g.withColumn("jaccard", F.try_divide("n_both", "n_union"))
 
 
 def panel_universe(bars: DataFrame, n: int, window: int = 63, min_price: float = 5.0, min_dollar: float = 2e7, benchmark: str = "SPY", causal: bool = True) -> DataFrame:

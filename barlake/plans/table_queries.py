@@ -310,7 +310,8 @@ def f06_pair_statistics(spark, sf_dir):
 )
 def f08_signal_overlap(spark, sf_dir):
     p = panel_of(spark, sf_dir)
-    return _rounded(universe.overlap(p.where("r > 0.002"), p.where("r > 0.004 or r < -0.01"), ["timestamp", "symbol"]))
+    out = _rounded(universe.overlap(p.where("r > 0.002"), p.where("r > 0.004 or r < -0.01"), ["timestamp", "symbol"]))
+    return out.withColumn("jaccard", F.coalesce("jaccard", F.lit(float("nan"))))  # two empty sets: 0 / 0 is NaN in its SQL
 
 
 # ---- statistics
