@@ -27,6 +27,20 @@ def with_runs(ranked: DataFrame, dates: DataFrame) -> DataFrame:
     return rows.join(starts.select("variant_id", "_at", run.alias("run")), ["variant_id", "_at"]).drop("_at")
 
 
+def candidates(ranked: DataFrame, limits: DataFrame) -> DataFrame:
+    """The rows of ranked that `select_held` can choose under any of the limits, with `walked`: whether a first walk can reach them.
+
+    ranked: (timestamp, symbol, rank, sector, ...), whole pools; limits: (n, exit_rank, per_sector, ...) of all variants, a
+    table as small as the user's list. A first walk goes through incumbents up to exit_rank and the best max(3 * exit_rank,
+    5 * n) names; pairs matter to it alone. The second takes names by rank while their sector has room: after the best
+    per_sector names of a sector all others find it full. So what is left out is never chosen, whatever the size of the pool.
+    """
+    most, last, room = limits.agg(F.max(F.greatest(3 * F.col("exit_rank"), 5 * F.col("n"))), F.max("exit_rank"), F.max("per_sector")).first()  # one row
+    place, nth = (F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "symbol")) for keys in (["timestamp"], ["timestamp", "sector"]))
+    rows = ranked.withColumn("walked", (place <= most) | (F.col("rank") <= last)).withColumn("_nth", nth)
+    return rows.where((F.col("_nth") <= room) | F.col("walked")).drop("_nth")
+
+
 def select_held(ranked: DataFrame, dates: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(variant_id, timestamp, symbol, place) of the names held after each rebalance.
 
@@ -35,7 +49,8 @@ def select_held(ranked: DataFrame, dates: DataFrame, pairs: DataFrame | None = N
     up to exit_rank, in the order in which they were chosen, and the best max(3 * exit_rank, 5 * n) names. A name joins
     unless its sector is full or, with pairs (as of `portfolio.trailing_pairs`), it correlates above max_corr with one
     that has joined. If names are missing, all are walked by rank without the correlation test. Names that are not
-    usable are chosen but not held. Only pairs above the limit reach the fold.
+    usable are chosen but not held. Only pairs above the limit reach the fold. Of large pools the `candidates` are enough, and
+    pairs of those that are walked.
     """
     import pandas as pd
 

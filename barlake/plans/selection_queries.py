@@ -44,9 +44,10 @@ def _inputs(spark, sf_dir):
     rank = F.row_number().over(Window.partitionBy("timestamp").orderBy(F.round("score", 9).desc(), "symbol"))
     number = F.substring("symbol", 2, 9).cast("int")
     signals = momentum_signals(panel, [(13, 16)]).join(F.broadcast(dates), "timestamp", "left_semi")
-    ranked = _stored(signals.select("timestamp", "symbol", rank.alias("rank"), F.concat(F.lit("G"), (number % 3).cast("string")).alias("sector"), (number % 7 != 3).alias("usable")))
     grid = spark.createDataFrame(_GRID, _NAMES)
-    return panel.withColumn("r", ts_returns("close", 1)), ranked, ranked.crossJoin(F.broadcast(grid)), dates  # the grid has 20 rows
+    pools = signals.select("timestamp", "symbol", rank.alias("rank"), F.concat(F.lit("G"), (number % 3).cast("string")).alias("sector"), (number % 7 != 3).alias("usable"))
+    ranked = _stored(selection.candidates(pools, grid))
+    return panel.withColumn("r", ts_returns("close", 1)), ranked.where("walked"), ranked.drop("walked").crossJoin(F.broadcast(grid)), dates  # the grid has 20 rows
 
 
 def _shown(held):
@@ -63,6 +64,6 @@ def e05_buffered_variants(spark, sf_dir):
 @query("WITH RECURSIVE " + _BASE.replace("WHERE tested", ""))
 def e06_decorrelated_variants(spark, sf_dir):
     """The same with five limits on correlations over 26 weeks, and the limit of the pool."""
-    panel, ranked, rows, dates = _inputs(spark, sf_dir)
-    pairs = portfolio.trailing_pairs(panel.select("timestamp", "symbol", "r"), ranked, "r", 26, 20)
+    panel, walked, rows, dates = _inputs(spark, sf_dir)
+    pairs = portfolio.trailing_pairs(panel.select("timestamp", "symbol", "r"), walked, "r", 26, 20)
     return _shown(selection.select_held(rows, dates, pairs))

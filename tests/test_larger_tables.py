@@ -4,10 +4,11 @@ import datetime as dt
 import math
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from barlake.operators import universe
+from barlake.operators import selection, universe
 from barlake.plans.catalogue import ORACLES, QUERIES
 
 
@@ -38,3 +39,32 @@ def test_overlap_of_two_empty_sets_is_that_of_its_sql(spark, tmp_path):
     assert math.isnan(want[4]) and mine["jaccard"] is not None and math.isnan(mine["jaccard"])
     none = spark.createDataFrame([], "timestamp int, symbol string")
     assert universe.overlap(none, none, ["timestamp", "symbol"]).first()["jaccard"] is None  # the operator's missing is null
+
+
+def test_candidates_are_few_and_give_what_whole_pools_give(spark):
+    r = np.random.default_rng(8)
+    dates = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(12)]
+    rows = []
+    for d in dates:
+        rows += [(d, f"N{i}", k + 1, f"G{0 if k < 12 else i % 4}", bool(r.random() < 0.8)) for k, i in enumerate(r.permutation(60))]  # the first are of one sector
+    pools = spark.createDataFrame(rows, "timestamp date, symbol string, rank int, sector string, usable boolean")
+    grid = spark.createDataFrame([(0, 3, 2, 1, 0.2), (1, 2, 3, 2, 0.6), (2, 1, 1, 1, 0.9)], "variant_id int, n int, exit_rank int, per_sector int, max_corr double")
+    pairs = spark.createDataFrame([(d, f"N{i}", f"N{j}", float(r.random())) for d in dates for i in range(60) for j in range(60) if f"N{i}" < f"N{j}"], "timestamp date, a string, b string, corr double")
+    days = spark.createDataFrame([(d,) for d in dates], "timestamp date")
+    few = selection.candidates(pools, grid).cache()
+    assert few.groupBy("timestamp").count().agg({"count": "max"}).first()[0] <= 15 + 4 * 2 < 60
+    walked = few.where("walked").select("timestamp", "symbol")
+    near = pairs.join(walked.withColumnRenamed("symbol", "a"), ["timestamp", "a"], "left_semi").join(walked.withColumnRenamed("symbol", "b"), ["timestamp", "b"], "left_semi")
+    whole = selection.select_held(pools.crossJoin(grid), days, pairs).collect()
+    assert len(whole) > 30 and sorted(selection.select_held(few.drop("walked").crossJoin(grid), days, near).collect()) == sorted(whole)
+
+
+def test_decorrelated_variants_pair_walked_names_only(spark, tmp_path, monkeypatch):
+    from barlake.operators import portfolio
+
+    r = np.random.default_rng(2)
+    path, _ = tables(tmp_path, supplier={"s_suppkey": list(range(600))}, lineitem=lines(range(60), 7 * 24, lambda s, d: float(r.random() / 10)))
+    given, of_names = [], portfolio.trailing_pairs
+    monkeypatch.setattr(portfolio, "trailing_pairs", lambda panel, names, *more: given.append(names) or of_names(panel, names, *more))
+    assert QUERIES["e06_decorrelated_variants"](spark, path).count() > 0
+    assert 0 < given[0].groupBy("timestamp").count().agg({"count": "max"}).first()[0] <= 15  # max(3 * 5, 5 * 3), of up to 60 names
