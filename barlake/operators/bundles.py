@@ -1,7 +1,7 @@
 """Candidate bundles as data: a walk over all values of JSON texts, and the rules that a bundle must pass before import.
 
-A text is parsed once into a VARIANT; each level of nesting is one lateral explode of the objects and arrays of the level
-above, so that rules on keys hold at any depth and rules on fields see the types that the text has.
+A text is parsed once into a VARIANT. Its values are unfolded level by level inside the row, so that rules on keys hold at
+any depth, rules on fields see the types that the text has, and neither the walk nor the rules move rows between tasks.
 """
 
 from __future__ import annotations
@@ -27,9 +27,13 @@ TOKENS = ("python", "pickle", "lambda", "exec", "eval", "callable", "entrypoint"
 MAX_DEPTH = 64
 
 
+#: A string of a JSON text. Possessive, so that a long one takes no stack.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
 def depth(json: Column) -> Column:
     """How deep objects and arrays are nested in a JSON text; brackets inside strings do not count."""
-    marks = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|[\[\]{}]'), F.lit(0))
+    marks = F.split(F.regexp_replace(json, _STRING + r'|[^"\[\]{}]++|"', ""), "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(s: Column, m: Column) -> Column:
@@ -39,9 +43,28 @@ def depth(json: Column) -> Column:
     return F.aggregate(marks, start, step, lambda s: s["most"])
 
 
+def _openings(json: Column) -> Column:
+    """The number of opening brackets, strings included: a text is nested no deeper."""
+    return F.octet_length(json) - F.octet_length(F.replace(F.replace(json, F.lit("{"), F.lit("")), F.lit("["), F.lit("")))
+
+
+def _too_deep(json: Column) -> Column:
+    return F.when(_openings(json) <= MAX_DEPTH, F.lit(False)).otherwise(depth(json) > MAX_DEPTH)
+
+
 def _kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN or VOID."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+
+
+def _inside(value: Column) -> Column:
+    """(path, name, value, kind) of what an object or array given as such a struct holds; nothing for other values."""
+    fields = F.map_entries(F.try_variant_get(value["value"], "$", "map<string, variant>"))
+    of = lambda path, name, x: F.struct(F.concat(value["path"], path).alias("path"), name.alias("name"), x.alias("value"), _kind(x).alias("kind"))
+    named = F.transform(fields, lambda e: of(F.concat(F.lit("."), e["key"]), e["key"], e["value"]))
+    entries = F.try_variant_get(value["value"], "$", "array<variant>")
+    listed = F.transform(entries, lambda x, i: of(F.concat(F.lit("["), i.cast("string"), F.lit("]")), F.lit(None).cast("string"), x))
+    return F.when(value["kind"] == "OBJECT", named).otherwise(listed)
 
 
 def walk(texts: DataFrame, key: str, json: str = "json") -> DataFrame:
@@ -50,27 +73,42 @@ def walk(texts: DataFrame, key: str, json: str = "json") -> DataFrame:
     Paths are like $.a.b[1].c. Texts that are no JSON, or hold an object with a repeated key, have no values here, nor
     have those nested deeper than MAX_DEPTH.
     """
-    spark = texts.sparkSession
-    rows = texts.select(F.col(key).alias("id"), F.lit("$").alias("path"), F.try_parse_json(json).alias("value"), depth(F.col(json)).alias("deep")).where(f"value is not null and deep <= {MAX_DEPTH}")
-    levels = rows.agg(F.max("deep")).first()[0] or 0
-    level, found = rows.drop("deep"), None
-    for _ in range(levels):
-        level = spark.sql("SELECT id, concat(path, if(t.key IS NULL, concat('[', t.pos, ']'), concat('.', t.key))) AS path, t.key AS name, t.value AS value FROM {level}, LATERAL variant_explode(value) t", level=level)
-        level = level.withColumn("kind", _kind(F.col("value")))
-        here = level.select("id", "path", "name", "kind")
-        found = here if found is None else found.union(here)
-        level = level.where("kind in ('OBJECT', 'ARRAY')").drop("name", "kind")
-    if found is None:
-        found = rows.select("id", "path", F.lit(None).cast("string").alias("name"), F.lit("").alias("kind")).limit(0)
-    return found.withColumnRenamed("id", key)
+    text = F.col(json)
+    deep = texts.select(F.when(_openings(text) > 0, depth(text)).alias("deep")).where(f"deep <= {MAX_DEPTH}")
+    levels = deep.agg(F.max("deep")).first()[0] or 0
+    rows = texts.where(~_too_deep(text)).select(F.col(key).alias("id"), F.try_parse_json(json).alias("v"))
+    whole = F.struct(F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), F.col("v").alias("value"), _kind(F.col("v")).alias("kind"))
+    rows = rows.select("id", F.filter(F.array(whole), lambda e: e["kind"].isin("OBJECT", "ARRAY")).alias("open"))
+    found = []
+    for k in range(levels):
+        rows = rows.withColumn("level", F.flatten(F.transform("open", _inside)))
+        shown = F.transform("level", lambda e: F.struct(e["path"].alias("path"), e["name"].alias("name"), e["kind"].alias("kind")))
+        rows = rows.select("id", *found, shown.alias(f"found_{k}"), F.filter("level", lambda e: e["kind"].isin("OBJECT", "ARRAY")).alias("open"))
+        found.append(f"found_{k}")
+    every = F.flatten(F.array(*found)) if found else F.array().cast("array<struct<path: string, name: string, kind: string>>")
+    return rows.select("id", F.inline(every)).withColumnRenamed("id", key)
+
+
+def _forbidden(json: Column, value: Column) -> Column:
+    """The keys at any depth of a parsed text that hold a token of executable content, in order and once.
+
+    Keys are read off the variant's own text, in which a key's closing quote is followed by a colon at once and the only
+    escapes are those that JSON needs. Texts that hold no token anywhere, nor an escape that could hide one, are not looked at.
+    """
+    lower = F.lower(json)
+    may = json.contains("\\u")
+    for t in TOKENS:
+        may = may | lower.contains(t)
+    names = F.regexp_extract_all(F.to_json(value), F.lit(r'"([^"\\]*+(?:\\.[^"\\]*+)*+)":|' + _STRING), F.lit(1))
+    plain = F.transform(names, lambda n: F.when(n.contains("\\"), F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), n, F.lit('"'))), "$", "string")).otherwise(n))
+    hits = F.filter(plain, lambda n: F.arrays_overlap(F.split(F.lower(n), r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, TOKENS))))
+    return F.when(may & ~_too_deep(json), F.array_sort(F.array_distinct(hits)))
 
 
 def forbidden_keys(texts: DataFrame, key: str, json: str = "json") -> DataFrame:
     """(key, names): the keys at any depth that hold a token of executable content; tokens are split at what is no letter or digit."""
-    names = walk(texts, key, json).where("name is not null").select(key, "name")
-    tokens = F.split(F.lower("name"), r"[^\p{L}\p{N}]+")
-    hits = names.where(F.arrays_overlap(tokens, F.array(*map(F.lit, TOKENS))))
-    return hits.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("names"))
+    parsed = texts.withColumn("_v", F.try_parse_json(json)).where("_v is not null")
+    return parsed.select(key, _forbidden(F.col(json), F.col("_v")).alias("names")).where("size(names) > 0")
 
 
 def validate_bundles(bundles: DataFrame, key: str, json: str = "json") -> DataFrame:

@@ -45,8 +45,10 @@ bu AS (SELECT o_orderkey, '{{"candidate_id":"' || CAST(o_orderkey AS VARCHAR) ||
 
 
 def _bundles(spark, sf_dir):
+    """A bundle for each order. The keys are dealt out first: they are small, and a file has fewer parts than the texts need tasks."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     body = F.get(F.array(*map(F.lit, _texts())), (F.col("o_orderkey") % _N).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit('{"candidate_id":"'), F.col("o_orderkey").cast("string"), F.lit('",'), body, F.lit("}")).alias("json"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").repartition(parts, "o_orderkey").select("o_orderkey", F.concat(F.lit('{"candidate_id":"'), F.col("o_orderkey").cast("string"), F.lit('",'), body, F.lit("}")).alias("json"))
 
 
 @query(f"WITH {_BUNDLES_SQL} SELECT o_orderkey, errors, warnings, errors = '' AS ok FROM bu")

@@ -1,6 +1,7 @@
 """Small cases of what larger tables showed, most of them against the query's own SQL."""
 
 import datetime as dt
+import json
 import math
 
 import duckdb
@@ -8,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from barlake.operators import selection, universe
+from barlake.operators import bundles, selection, universe
 from barlake.plans.catalogue import ORACLES, QUERIES
 
 
@@ -68,3 +69,27 @@ def test_decorrelated_variants_pair_walked_names_only(spark, tmp_path, monkeypat
     monkeypatch.setattr(portfolio, "trailing_pairs", lambda panel, names, *more: given.append(names) or of_names(panel, names, *more))
     assert QUERIES["e06_decorrelated_variants"](spark, path).count() > 0
     assert 0 < given[0].groupBy("timestamp").count().agg({"count": "max"}).first()[0] <= 15  # max(3 * 5, 5 * 3), of up to 60 names
+
+
+def values(x, path="$"):
+    """(path, name, kind) of all values below x."""
+    kinds = {dict: "OBJECT", list: "ARRAY", str: "STRING", bool: "BOOLEAN", int: "BIGINT", float: "DECIMAL", type(None): "VOID"}
+    for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
+        here = f"{path}.{k}" if isinstance(x, dict) else f"{path}[{k}]"
+        yield here, k if isinstance(x, dict) else None, kinds[type(v)]
+        yield from values(v, here)
+
+
+ODD = [
+    {"a": {"b": [1, {"c": None, "d": [[], {}, [True, 2.5]]}], "": "x"}, 'q"u\\o\nte': [{"eval": 1}]}, {"text": "x{[" * 70000, "deep": {"Exec now": "y"}}, [[["z"]]], 3, "s", {}, [],
+    {"a": "run eval: {\"eval\": 1}", "medieval": {"lambda\nnow": 0, "command ": {"Ünshell": 1, "ünd-SHELL": 2}}}, {"ev\nal": 1, "é": {"python": 1}},
+]
+
+
+def test_walk_gives_all_values_of_odd_and_of_long_texts(spark):
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(ODD)] + [(90, "{bad"), (91, None), (92, "[" * 70 + "]" * 70), (93, '{"a":1,"a":2}')], "k int, json string")
+    found = bundles.walk(rows, "k")
+    want = [(i, *v) for i, x in enumerate(ODD) for v in values(x)]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1  # a text is parsed once, not once for each level
