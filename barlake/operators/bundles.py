@@ -121,19 +121,23 @@ def validate_bundles(bundles: DataFrame, key: str, json: str = "json") -> DataFr
     """
     v = F.try_parse_json(json)
     top = F.when(_kind(F.col("_v")) == "OBJECT", F.json_object_keys(json))
-    rows = bundles.withColumn("_v", v).withColumn("_keys", top)
-    at = lambda path: F.try_variant_get("_v", f"$.{path}", "variant")
-    text = lambda path: F.when(_kind(at(path)) == "STRING", F.try_variant_get("_v", f"$.{path}", "string"))
+    rows = bundles.withColumn("_v", v).withColumns({"_keys": top, "_bad": _forbidden(F.col(json), F.col("_v")), "_deep": _too_deep(F.col(json))})
+    # each field is taken out of the text once, and its kind named once; as columns, since a struct's fields would be made for each use
+    paths = (*REQUIRED, *OPTIONAL, *(f"signal_spec.{k}" for k in ("kind", "expression", "reference")))
+    rows = rows.withColumns({f"_at_{p.replace('.', '_')}": F.try_variant_get("_v", f"$.{p}", "variant") for p in paths})
+    at = lambda path: F.col(f"_at_{path.replace('.', '_')}")
+    rows = rows.withColumns({f"_kind_{p.replace('.', '_')}": F.coalesce(_kind(at(p)), F.lit("")) for p in paths})
+    kind = lambda path: F.col(f"_kind_{path.replace('.', '_')}")
+    text = lambda path: F.when(kind(path) == "STRING", F.try_variant_get(at(path), "$", "string"))
     has = lambda k: F.array_contains("_keys", k)
-    kind = lambda path: F.coalesce(_kind(at(path)), F.lit(""))
     none = F.array().cast("array<string>")
     rule = lambda bad, name: F.when(F.coalesce(bad, F.lit(False)), F.array(F.lit(name))).otherwise(none)
     named = lambda prefix, found: F.coalesce(F.transform(F.array_sort(found), lambda k: F.concat(F.lit(prefix), k)), none)
     lits = lambda values: F.array(*map(F.lit, values))
     filled = lambda k: F.coalesce(F.length(F.trim(text(k))) > 0, F.lit(False))
-    entries = lambda path: F.try_variant_get("_v", f"$.{path}", "array<variant>")
+    entries = lambda path: F.try_variant_get(at(path), "$", "array<variant>")
     wrong = lambda path, right: F.when(kind(path) == "ARRAY", F.filter(F.transform(entries(path), lambda x, i: F.when(F.coalesce(_kind(x), F.lit("VOID")) != right, i.cast("string"))), lambda x: x.isNotNull()))
-    signal = F.when(kind("signal_spec") == "OBJECT", F.json_object_keys(F.to_json(at("signal_spec"))))
+    signal = F.when(kind("signal_spec") == "OBJECT", F.map_keys(F.try_variant_get(at("signal_spec"), "$", "map<string, variant>")))
     whole = (kind("lookback") == "BIGINT") | F.schema_of_variant(at("lookback")).rlike(r"^DECIMAL\((19|[23][0-9]),0\)")
     inputs = F.when(kind("required_inputs") == "ARRAY", entries("required_inputs"))
     input_names = F.transform(inputs, lambda x: F.coalesce(F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string")), F.to_json(x)))
@@ -146,17 +150,16 @@ def validate_bundles(bundles: DataFrame, key: str, json: str = "json") -> DataFr
         *[rule(specified & (text("signal_spec.kind") == k) & (kind(f"signal_spec.{k}") != "STRING"), k) for k in ("expression", "reference")],
         rule(has("required_inputs") & (kind("required_inputs") != "ARRAY"), "type:required_inputs"), rule(F.size(inputs) == 0, "no_inputs"), named("input:", F.array_except(input_names, lits(INPUTS))),
         rule(has("frequency") & ~F.coalesce(text("frequency").isin(*FREQUENCIES), F.lit(False)), "frequency"),
-        rule(has("lookback") & ~F.coalesce(whole & (F.try_variant_get("_v", "$.lookback", "decimal(38,0)") >= 1), F.lit(False)), "lookback"),
+        rule(has("lookback") & ~F.coalesce(whole & (F.try_variant_get(at("lookback"), "$", "decimal(38,0)") >= 1), F.lit(False)), "lookback"),
         rule(has("approval_status") & ~F.coalesce(text("approval_status").isin(*APPROVALS), F.lit(False)), "approval"),
         rule(has("preprocessing") & ~kind("preprocessing").isin("ARRAY", "OBJECT"), "type:preprocessing"), named("step:", wrong("preprocessing", "OBJECT")),
         rule(has("universe_assumptions") & (~kind("universe_assumptions").isin("ARRAY", "OBJECT", "STRING") | ((kind("universe_assumptions") == "STRING") & ~filled("universe_assumptions"))), "type:universe_assumptions"),
         named("symbol:", wrong("universe_assumptions", "STRING")), *[rule(has(k) & (kind(k) != "OBJECT"), f"type:{k}") for k in ("portfolio_construction", "evaluation_summary")],
         *[rule(has(k) & (kind(k) != "STRING"), f"type:{k}") for k in ("data_fingerprint", "code_hash")],
     )
-    errors = F.when(F.col("_keys").isNull(), lits(["json"])).when(depth(F.col(json)) > MAX_DEPTH, lits(["depth"])).otherwise(errors)
+    errors = F.when(F.col("_keys").isNull(), lits(["json"])).when(F.col("_deep"), lits(["depth"])).otherwise(errors)
     warnings = F.concat(rule(~F.coalesce(text("approval_status") == "approved", F.lit(False)), "not_approved"), rule(F.coalesce(F.length(text("data_fingerprint")), F.lit(0)) == 0, "no_fingerprint"))
-    bad = forbidden_keys(bundles, key, json).select(F.col(key).alias("_key"), F.col("names").alias("_bad"))
-    out = rows.join(bad, F.col(key).eqNullSafe(F.col("_key")), "left").select(*bundles.columns, errors.alias("errors"), F.when(F.col("_keys").isNull(), none).otherwise(warnings).alias("warnings"))
+    out = rows.select(*bundles.columns, errors.alias("errors"), F.when(F.col("_keys").isNull(), none).otherwise(warnings).alias("warnings"))
     return out.withColumn("ok", F.size("errors") == 0)
 
 

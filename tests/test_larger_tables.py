@@ -93,3 +93,14 @@ def test_walk_gives_all_values_of_odd_and_of_long_texts(spark):
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1  # a text is parsed once, not once for each level
+
+
+def test_rules_move_no_rows_and_see_keys_behind_escapes(spark):
+    hidden = '{"\\u0065val":{"x":[{"sub\\u002dshell":1}]},"value":"eval","a\\\\eval":1,"b\\"":{"reduce\\"d":1}}'
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(ODD)] + [(50, hidden), (51, "[" * 70 + "]" * 70)], "k int, json string")
+    names = {r.k: r.names for r in bundles.forbidden_keys(rows, "k").collect()}
+    assert names == {0: ["eval"], 1: ["Exec now"], 7: ["command ", "lambda\nnow", "ünd-SHELL"], 8: ["python"], 50: ["a\\eval", "eval", 'reduce"d', "sub-shell"]}
+    checked = bundles.validate_bundles(rows, "k")
+    assert {r.k: [e[10:] for e in r.errors if e.startswith("forbidden:")] for r in checked.where("k in (1, 7, 50)").collect()} == {k: names[k] for k in (1, 7, 50)}
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
