@@ -163,6 +163,12 @@ def validate_bundles(bundles: DataFrame, key: str, json: str = "json") -> DataFr
     return out.withColumn("ok", F.size("errors") == 0)
 
 
+def import_states(bundles: DataFrame, key: str, json: str = "json") -> DataFrame:
+    """`validate_bundles` with the state of each bundle, quarantined or rejected, and paper_enabled, which is false for all."""
+    checked = validate_bundles(bundles, key, json)
+    return checked.withColumn("state", F.when(F.col("ok"), F.lit("quarantined")).otherwise(F.lit("rejected"))).withColumn("paper_enabled", F.lit(False))
+
+
 def import_bundles(bundles: DataFrame, key: str, json: str = "json") -> tuple[DataFrame, DataFrame]:
     """Bundles that pass all rules as quarantined records, in which nothing is enabled, and the rejected ones."""
     return quarantine(validate_bundles(bundles, key, json))

@@ -68,5 +68,4 @@ def l01_bundle_walk(spark, sf_dir):
 @query(f"WITH {_BUNDLES_SQL} SELECT o_orderkey, CASE WHEN errors = '' THEN 'quarantined' ELSE 'rejected' END AS state, FALSE AS paper_enabled FROM bu")
 def l07_bundle_import(spark, sf_dir):
     """Bundles that pass all rules go to quarantine, the others are rejected; nothing is enabled."""
-    kept, rejected = bundles.import_bundles(_bundles(spark, sf_dir), "o_orderkey")
-    return kept.select("o_orderkey", "state", "paper_enabled").union(rejected.select("o_orderkey", F.lit("rejected"), F.lit(False)))
+    return bundles.import_states(_bundles(spark, sf_dir), "o_orderkey").select("o_orderkey", "state", "paper_enabled")

@@ -104,3 +104,11 @@ def test_rules_move_no_rows_and_see_keys_behind_escapes(spark):
     assert {r.k: [e[10:] for e in r.errors if e.startswith("forbidden:")] for r in checked.where("k in (1, 7, 50)").collect()} == {k: names[k] for k in (1, 7, 50)}
     plan = checked._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_import_judges_a_bundle_once(spark, tmp_path):
+    orders = {"o_orderkey": pa.array(range(200), pa.int64()), "o_custkey": pa.array([0] * 200, pa.int64())}
+    path, duck = tables(tmp_path, orders=orders)
+    got = QUERIES["l07_bundle_import"](spark, path)
+    assert sorted(map(tuple, got.collect())) == sorted(duck.sql(ORACLES["l07_bundle_import"]).fetchall())
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
