@@ -704,3 +704,14 @@ def test_pipeline_on_awkward_tables(spark, tmp_path):
     assert Counter(r.doc_id for r in d.collect()) == Counter([1, 3, 4, None])
     packed = corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in packed) == Counter([1, 3, 4, None]) and len({r.sequence_id for r in packed}) == 1
+
+
+def test_keys_are_dealt_to_parts_that_grow_with_the_sets(spark, monkeypatch):
+    texts = [" ".join(words(60, max(i, 2))) for i in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, given, bucketed = sorted(jaccard.similar_components(docs).collect()), [], jaccard._bucketed
+    monkeypatch.setattr(jaccard, "_bucketed", lambda keys: given.append(keys.rdd.getNumPartitions()) or bucketed(keys))
+    monkeypatch.setattr(jaccard, "KEYS_A_TASK", 8)
+    assert sorted(jaccard.similar_components(docs).collect()) == want
+    shingles = sum(r.n_shingles for r in want)
+    assert given == [-(-shingles // (2 * jaccard.TURNS * 8))] * jaccard.TURNS and given[0] > 4  # the session shuffles into 4
